@@ -23,6 +23,12 @@ def _since(as_of: dt.date, days: int, column: str = "transaction_date") -> Colum
     return F.col(column) >= F.date_sub(F.lit(as_of), days)
 
 
+def _age(as_of: dt.date, born: str) -> Column:
+    """Completed years; a birthday counts from its calendar day on."""
+    ahead = F.date_format(F.lit(as_of), "MMdd") < F.date_format(born, "MMdd")
+    return F.year(F.lit(as_of)) - F.year(born) - ahead.cast("int")
+
+
 def stg_accounts(accounts: DataFrame) -> DataFrame:
     status = tidy("account_status")
     return accounts.select(
@@ -220,6 +226,15 @@ def int_customer_spend_metrics(transactions: DataFrame, as_of: dt.date) -> DataF
     )
 
 
+def recent_transaction_profile(transactions: DataFrame, as_of: dt.date) -> DataFrame:
+    """Recently used accounts and categories per customer, and the recent mean amount."""
+    return transactions.groupBy("customer_id").agg(
+        F.count_distinct(F.when(_since(as_of, 30), F.col("account_id"))).alias("active_accounts_with_transactions_30d"),
+        F.count_distinct(F.when(_since(as_of, 90), F.col("merchant_category"))).alias("merchant_category_count_90d"),
+        mean(F.when(_since(as_of, 30), F.abs("amount"))).alias("avg_30d_transaction_amount"),
+    )
+
+
 def mart_customer_features(
     customers: DataFrame,
     accounts: DataFrame,
@@ -278,7 +293,7 @@ def mart_customer_features(
     ).split()
     return joined.select(
         "customer_id",
-        F.floor(F.months_between(F.lit(as_of), "date_of_birth") / 12).cast("int").alias("customer_age"),
+        _age(as_of, "date_of_birth").alias("customer_age"),
         "customer_tenure_days",
         or_zero("account_count", "raw_account_count").alias("account_count"),
         or_zero("active_account_count", "raw_active_account_count").alias("active_account_count"),

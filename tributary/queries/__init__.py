@@ -1,0 +1,16 @@
+"""Operators bound to the given tables, with the SQL each must agree with."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+_MODULES = ("graphs",)
+
+
+def load():
+    """``(queries, oracles)`` of all modules."""
+    for name in _MODULES:
+        import_module(f"tributary.queries.{name}")
+    from tributary.queries import registry
+
+    return registry.QUERIES, registry.ORACLES
