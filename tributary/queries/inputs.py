@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer files than cores, so text work on a small copy uses all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def node(model: str, key, layer: str):
     return F.struct(
         F.lit(model).alias("model"), F.col(key).cast("string").alias("column") if isinstance(key, str) else key.alias("column"), F.lit(layer).alias("layer")
@@ -146,7 +152,7 @@ _CUSTOMER_SQL = "select id, name from {{ source('crm', 'customers') }} as s wher
 def sql_files(spark: SparkSession, sf: str) -> DataFrame:
     """``project_id, relative_path, raw_sql``; the project is the customer's nation."""
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
     layer = F.when(F.col("o_orderstatus") == "F", "staging").when(F.col("o_orderstatus") == "O", "intermediate").otherwise("marts")
     of_orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.format_string("nation_%d", "c_nationkey").alias("project_id"),
@@ -201,10 +207,17 @@ TEMPLATES = (
 
 def raw_projections(spark: SparkSession, sf: str) -> DataFrame:
     """``project_id, model, step_id, position, output_name, expression``, unclassified."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
     kind = ((F.col("l_orderkey") + F.col("l_linenumber")) % len(TEMPLATES)).cast("int")
-    pick = lambda i: F.element_at(F.array(*[F.format_string(t[i], *keys) for t in TEMPLATES]), kind + 1)
+
+    def pick(index: int):
+        text = None
+        for n, template in enumerate(TEMPLATES):
+            made = F.format_string(template[index], *keys)
+            text = F.when(kind == n, made) if text is None else text.when(kind == n, made)
+        return text
+
     return lines.select(
         F.lit("shop").alias("project_id"),
         F.format_string("order_%d", "l_orderkey").alias("model"),
@@ -291,3 +304,43 @@ edges AS (SELECT src_model, src_column, CASE WHEN src_model LIKE 'cust%' THEN 's
     model AS dst_model, output_name AS dst_column, own_layer AS dst_layer, transformation_type, expression
   FROM owned WHERE src_model IS NOT NULL GROUP BY ALL)
 """
+
+
+# --- manifests: one project per order ---------------------------------------------------------------
+
+_MANIFEST = """{"metadata": {"dbt_schema_version": "https://schemas.example.com/manifest/%2$s.json", "project_name": "shop_%1$d", "adapter_type": "postgres"},
+"nodes": {
+ "model.shop.stg_%1$d": {"resource_type": "model", "unique_id": "model.shop.stg_%1$d", "name": "stg_%1$d", "path": "staging/stg_%1$d.sql",
+  "original_file_path": "models/%3$s/staging/stg_%1$d.sql", "database": "db", "schema": "an", "alias": "s_%1$d", "tags": [], "description": "",
+  "config": {"materialized": "view"}, "raw_code": "select raw %1$d", "compiled_code": "", "compiled": false,
+  "depends_on": {"macros": ["macro.m"], "nodes": ["source.shop.crm.customers", "source.shop.crm.orders"]}},
+ "model.shop.mart_%1$d": {"resource_type": "model", "unique_id": "model.shop.mart_%1$d", "name": "mart_%1$d", "path": "mart_%1$d.sql",
+  "original_file_path": "extra/marts/mart_%1$d.sql", "schema": "an", "alias": "m_%1$d", "tags": ["b", "a"], "description": "order %1$d",
+  "meta": {"owner": "cust_%4$d", "level": 3}, "config": {"materialized": "table"}, "raw_code": "select x", "compiled_code": "select 1 from an.s_%1$d", "compiled": true,
+  "depends_on": {"nodes": ["model.shop.stg_%1$d", "seed.shop.s", "model.shop.ghost"]}},
+ "test.shop.t1": {"resource_type": "test", "name": "t1", "depends_on": {"nodes": ["model.shop.mart_%1$d"]}},
+ "test.shop.t2": {"resource_type": "test", "name": "t2", "depends_on": {"nodes": ["model.shop.mart_%1$d", "model.shop.stg_%1$d"]}}},
+"sources": {
+ "source.shop.crm.orders": {"source_name": "crm", "name": "orders", "identifier": "orders_v%5$d", "database": "late", "schema": "late", "source_description": "late", "columns": {"o_b": {"name": "o_b"}, "o_a": {"name": "o_a"}}},
+ "source.shop.crm.customers": {"source_name": "crm", "name": "customers", "database": "db", "schema": "raw_%5$d", "source_description": "first", "description": "buyers", "columns": {}}}%6$s"""
+
+
+def manifest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``project_id, text``: status P has an old version, large orders a truncated document."""
+    orders = spread(table(spark, sf, "orders"))
+    version = F.when(F.col("o_orderstatus") == "F", "v12").when(F.col("o_orderstatus") == "O", "v11").otherwise("v10")
+    end = F.when(F.col("o_totalprice") < 450000, "}").otherwise("")
+    return orders.select(
+        F.format_string("shop_%d", "o_orderkey").alias("project_id"),
+        F.format_string(
+            _MANIFEST, "o_orderkey", version, F.lower(F.regexp_replace("o_orderpriority", "[^A-Z]", "")), "o_custkey",
+            F.pmod("o_custkey", F.lit(7)), end,
+        ).alias("text"),
+    )
+
+
+MANIFEST_SQL = """
+WITH a AS (SELECT o_orderkey AS k, 'shop_' || o_orderkey AS project_id, o_custkey AS ck, o_custkey % 7 AS v, lower(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g')) AS grp,
+    CASE o_orderstatus WHEN 'F' THEN 'v12' WHEN 'O' THEN 'v11' ELSE 'v10' END AS version, o_totalprice < 450000 AS readable FROM orders),
+m AS (SELECT * FROM a WHERE readable AND version <> 'v10')
+"""
