@@ -10,30 +10,41 @@ from pyspark.sql import functions as F
 from tributary.scratch import Scratch
 
 
-def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+def with_positions(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    name: str = "position",
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Add the 1-based position of each row in its group, for a unique ``by + order``.
 
     Rows are range-partitioned by the full key, so a group of any size spreads over many tasks. The
-    position is the rank inside the row's partition plus the group's rows in earlier partitions.
+    position is the rank inside the row's partition plus the group's rows in earlier partitions;
+    ``sums`` adds running totals from the first row of the group in the same way.
     """
-    by, order = list(by), list(order)
+    by, order, sums = list(by), list(order), dict(sums or {})
     scratch = Scratch(df.sparkSession, "positions")
     placed = scratch.save(
         df.repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id()), "placed"
     )
+    totals = {"n_": F.count(F.lit(1)), **{f"{key}_": F.sum(value) for key, value in sums.items()}}
     earlier = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*by, "part_")
-        .agg(F.count(F.lit(1)).alias("n_"))
-        .select(*by, "part_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
-    )
-    inside = F.row_number().over(Window.partitionBy(*by, "part_").orderBy(*order))
-    return (
-        placed.withColumn("rank_", inside)
-        .join(offsets, [*by, "part_"])
-        .withColumn(name, F.col("before_") + F.col("rank_"))
-        .drop("part_", "rank_", "before_")
+        .agg(*[total.alias(key) for key, total in totals.items()])
+        .select(*by, "part_", *[F.sum(key).over(earlier).alias(key) for key in totals])
     )
+    inside = Window.partitionBy(*by, "part_").orderBy(*order)
+    ranked = placed.withColumn("rank_", F.row_number().over(inside))
+    for key, value in sums.items():
+        so_far = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = ranked.withColumn(key, so_far)
+    ranked = ranked.join(offsets, [*by, "part_"]).withColumn(name, F.coalesce("n_", F.lit(0)) + F.col("rank_"))
+    for key in sums:
+        before, here = F.col(f"{key}_"), F.col(key)
+        ranked = ranked.withColumn(key, F.when(here.isNull(), before).when(before.isNull(), here).otherwise(before + here))
+    return ranked.drop("part_", "rank_", *totals)
 
 
 def rolling(

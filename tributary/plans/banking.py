@@ -23,10 +23,10 @@ def _since(as_of: dt.date, days: int, column: str = "transaction_date") -> Colum
     return F.col(column) >= F.date_sub(F.lit(as_of), days)
 
 
-def _age(as_of: dt.date, born: str) -> Column:
-    """Completed years; a birthday counts from its calendar day on."""
-    ahead = F.date_format(F.lit(as_of), "MMdd") < F.date_format(born, "MMdd")
-    return F.year(F.lit(as_of)) - F.year(born) - ahead.cast("int")
+def completed_years(as_of: Column, born: Column) -> Column:
+    """Whole years between two dates; a birthday counts from its calendar day on."""
+    ahead = F.date_format(as_of, "MMdd") < F.date_format(born, "MMdd")
+    return F.year(as_of) - F.year(born) - ahead.cast("int")
 
 
 def stg_accounts(accounts: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def mart_customer_features(
     ).split()
     return joined.select(
         "customer_id",
-        _age(as_of, "date_of_birth").alias("customer_age"),
+        completed_years(F.lit(as_of), F.col("date_of_birth")).alias("customer_age"),
         "customer_tenure_days",
         or_zero("account_count", "raw_account_count").alias("account_count"),
         or_zero("active_account_count", "raw_active_account_count").alias("active_account_count"),

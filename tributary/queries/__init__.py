@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("graphs", "text", "catalogue", "projects", "features")
+_MODULES = ("graphs", "text", "catalogue", "projects", "features", "relational")
 
 
 def load():

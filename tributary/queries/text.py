@@ -135,15 +135,16 @@ def known_ref_edges(spark, sf):
     return D.known_ref_edges(models, D.model_dependencies(models)).select("project_id", "src", "dst")
 
 
-_CYCLE_MODELS = """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 10 AS r, 'shop_' || (o_custkey % 7) AS unused FROM orders),
+_CYCLE_MODELS = """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 10 AS r FROM orders),
 e AS (SELECT k AS src, CASE WHEN r < 4 THEN k + 1 WHEN r = 4 THEN k - 4 ELSE k - 5 END AS dst FROM k
-      UNION ALL SELECT k, k + 10 FROM k WHERE k % 20 = 0),
+      UNION ALL SELECT k, k + 10 FROM k WHERE k % 20 = 0
+      UNION ALL SELECT k, k + 1 FROM k WHERE r BETWEEN 5 AND 8),
 cyc AS (SELECT k FROM k WHERE r < 5 AND k - r + 4 <= (SELECT max(k) FROM k))
 """
 
 
 def _cycle_models(spark, sf):
-    """Models named after order keys whose refs are the edges of the cycle graph."""
+    """Models named after order keys whose refs are the cycle graph and ladders among its tails."""
     name = lambda c: F.format_string("m_%d", c)
     none = F.lit(None).cast("string")
     orders = I.table(spark, sf, "orders")
@@ -152,7 +153,10 @@ def _cycle_models(spark, sf):
         F.lit("view").alias("materialization"), none.alias("description"), F.array().cast("array<string>").alias("tags"),
         F.lit(0).cast("bigint").alias("test_count"), none.alias("owner"),
     )
-    deps = I.cycle_edges(spark, sf).select(
+    k = F.col("o_orderkey")
+    ladders = orders.where((k % 10).between(5, 8)).select(k.alias("src"), (k + 1).alias("dst"))
+    refs = I.cycle_edges(spark, sf).unionByName(ladders.join(orders.select(k.alias("dst")), "dst", "left_semi"))
+    deps = refs.select(
         F.lit("loop").alias("project_id"), name("dst").alias("model"), F.lit("ref").alias("dependency_type"),
         name("src").alias("target_name"),
     )
