@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import paths
@@ -14,15 +14,21 @@ PROJECT_FILE = "dbt_project.yml"
 SKIPPED_FOLDERS = ("target", "dbt_packages", "logs", "__pycache__", "node_modules")
 
 
-def read_sql_files(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
-    """All ``*.sql`` below ``root``: ``project_id, relative_path, raw_sql``."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").text(root, wholetext=True)
+def relative_to(spark: SparkSession, root: str, path: Column | str) -> Column:
+    """A file's path below ``root``, whatever scheme and authority it was listed with."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    path = F.regexp_replace(F.url_decode("_metadata.file_path"), r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    plain = F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    return F.replace(plain, F.lit(base), F.lit(""))
+
+
+def read_sql_files(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
+    """All ``*.sql`` below ``root``, also empty ones: ``project_id, relative_path, raw_sql``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", "*.sql").load(root)
     return files.select(
         F.lit(project_id or root).alias("project_id"),
-        F.replace(path, F.lit(base), F.lit("")).alias("relative_path"),
-        F.col("value").alias("raw_sql"),
+        relative_to(spark, root, "path").alias("relative_path"),
+        F.col("content").cast("string").alias("raw_sql"),
     )
 
 
@@ -75,7 +81,7 @@ def project_roots(inventory: DataFrame, max_depth: int = 4) -> DataFrame:
     )
     above = candidates.select(
         "relative_path",
-        F.explode(F.sequence(F.lit(0), F.size("segments") - 1)).alias("n"),
+        F.explode(F.sequence(F.lit(0), F.greatest(F.size("segments") - 1, F.lit(0)))).alias("n"),
         "segments",
     ).where(F.col("n") < F.size("segments"))
     above = above.select("relative_path", F.array_join(F.slice("segments", F.lit(1), F.col("n")), "/").alias("ancestor"))
@@ -94,6 +100,4 @@ def project_roots(inventory: DataFrame, max_depth: int = 4) -> DataFrame:
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files below ``root``, relative to it; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
-    plain = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    return files.select(F.replace(plain, F.lit(base), F.lit("")).alias("path"))
+    return files.select(relative_to(spark, root, "path").alias("path"))

@@ -33,10 +33,13 @@ _corrupt STRING
 
 def read_manifests(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Manifest files below ``path``: ``project_id, text``; the project is the folder above ``target``."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-    files = reader.text(path, wholetext=not one_per_line)
-    project = F.regexp_replace(F.col("_metadata.file_path"), r"(/target)?/[^/]*$", "")
-    return files.select(project.alias("project_id"), F.col("value").alias("text"))
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.json"}
+    project = lambda path: F.regexp_replace(path, r"(/target)?/[^/]*$", "").alias("project_id")
+    if one_per_line:
+        lines = spark.read.options(**options).text(path)
+        return lines.select(project(F.col("_metadata.file_path")), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    return files.select(project(F.col("path")), F.col("content").cast("string").alias("text"))
 
 
 def parse_manifests(documents: DataFrame) -> DataFrame:
