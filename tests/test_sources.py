@@ -37,7 +37,7 @@ def test_manifest_tables_from_files(spark, tmp_path):
     write_project(tmp_path, "good", nodes=nodes, sources=sources)
     write_project(tmp_path, "old", version="v9")
     write_project(tmp_path, "broken", text='{"metadata": {"dbt_schema')
-    write_project(tmp_path, "empty", text="")
+    write_project(tmp_path, "empty", text="\n")
     write_project(tmp_path, "list", text="[1, 2]")
     documents = manifest.read_manifests(spark, str(tmp_path)).withColumn("project_id", F.element_at(F.split("project_id", "/"), -1))
     accepted, rejected = manifest.split_by_version(manifest.parse_manifests(documents))

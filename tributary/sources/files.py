@@ -22,7 +22,10 @@ def relative_to(spark: SparkSession, root: str, path: Column | str) -> Column:
 
 
 def read_sql_files(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
-    """All ``*.sql`` below ``root``, also empty ones: ``project_id, relative_path, raw_sql``."""
+    """All ``*.sql`` below ``root``: ``project_id, relative_path, raw_sql``.
+
+    Spark's file sources pass over files of zero bytes, so such a file is no model here.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.option("pathGlobFilter", "*.sql").load(root)
     return files.select(
