@@ -23,36 +23,91 @@ class RoundLimitExceeded(RuntimeError):
     """A loop needed more rounds than the caller allowed."""
 
 
-def _closure(edges: DataFrame, targets: DataFrame, direction: str, max_rounds: int) -> DataFrame:
-    scratch = Scratch(edges.sparkSession, f"closure-{direction}")
-    near, far = ("src", "dst") if direction == DOWNSTREAM else ("dst", "src")
-    hops = scratch.save(
-        edges.select(F.col(near).alias("node"), F.col(far).alias("next")).where("next is not null"),
-        "hops",
-    )
-    node_type = hops.schema["node"].dataType
+class _Numbering:
+    """Numbers for nodes that are not numbers themselves.
+
+    Rounds shuffle the keys over and over, so text and struct nodes are replaced by one bigint each.
+    The numbers are stored before use: a recomputed task reads the same ones.
+    """
+
+    def __init__(self, scratch: Scratch, *columns: DataFrame):
+        kind = columns[0].schema.fields[0].dataType
+        self.table = None
+        if isinstance(kind, T.IntegralType):
+            return
+        nodes = columns[0].toDF("name_")
+        for more in columns[1:]:
+            nodes = nodes.unionByName(more.toDF("name_"))
+        nodes = nodes.where("name_ is not null").distinct()
+        self.table = scratch.save(nodes.withColumn("number_", F.monotonically_increasing_id()), "numbers")
+
+    def encode(self, df: DataFrame, *columns: str) -> DataFrame:
+        if self.table is None:
+            return df
+        for column in columns:
+            key = self.table.select(F.col("name_").alias(column), "number_")
+            df = df.join(key, column).drop(column).withColumnRenamed("number_", column)
+        return df
+
+    def decode(self, df: DataFrame, *columns: str) -> DataFrame:
+        if self.table is None:
+            return df
+        order = df.columns
+        for column in columns:
+            key = self.table.select(F.col("number_").alias(column), "name_")
+            df = df.join(key, column).drop(column).withColumnRenamed("name_", column)
+        return df.select(*order)
+
+
+def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str, max_rounds: int) -> DataFrame:
+    """Closure of ``goals(target)`` over stored ``hops(node, next)``."""
+    kind = hops.schema["node"].dataType
     schema = T.StructType(
-        [
-            T.StructField("target", node_type),
-            T.StructField("node", node_type),
-            T.StructField("depth", T.IntegerType()),
-        ]
-    )
-    frontier = scratch.save(
-        targets.select("target", F.col("target").alias("node")).distinct(), "levels/depth=0"
+        [T.StructField("target", kind), T.StructField("node", kind), T.StructField("depth", T.IntegerType())]
     )
+    start = goals.select(F.col("target").cast(kind)).distinct().withColumn("node", F.col("target"))
+    frontier = scratch.save(start, f"{tag}/depth=0")
     for depth in range(1, max_rounds + 1):
-        seen = scratch.load("levels", schema).select("target", "node")
+        seen = scratch.load(tag, schema).select("target", "node")
         reached = (
             frontier.join(hops, "node")
             .select("target", F.col("next").alias("node"))
             .distinct()
             .join(seen, ["target", "node"], "left_anti")
         )
-        frontier = scratch.save(reached, f"levels/depth={depth}")
+        frontier = scratch.save(reached, f"{tag}/depth={depth}")
         if frontier.isEmpty():
-            return scratch.load("levels", schema)
-    raise RoundLimitExceeded(f"{direction} closure still growing after {max_rounds} rounds")
+            return scratch.load(tag, schema)
+    raise RoundLimitExceeded(f"closure still growing after {max_rounds} rounds")
+
+
+def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratch, tag: str, max_rounds: int) -> DataFrame:
+    """Longest-path levels of ``nodes(by, node)`` over stored ``hops(by, src, dst)``."""
+    kept = scratch.save(nodes.select(*by, "node").distinct(), f"{tag}/level=0")
+    schema = T.StructType([*kept.schema.fields, T.StructField("level", T.IntegerType())])
+    for level in range(1, max_rounds + 1):
+        starts = kept.withColumnRenamed("node", "src")
+        ends = hops.join(starts, [*by, "src"], "left_semi") if level > 1 else hops
+        kept = scratch.save(ends.select(*by, F.col("dst").alias("node")).distinct(), f"{tag}/level={level}")
+        if kept.isEmpty():
+            return scratch.load(tag, schema).groupBy(*by, "node").agg(F.max("level").alias("level"))
+    raise RoundLimitExceeded(f"paths longer than {max_rounds} edges, or a cycle")
+
+
+def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch):
+    """``(numbering, hops, goals)`` with near and far end swapped for the upstream direction."""
+    numbers = _Numbering(scratch, edges.select("src"), edges.select("dst"), targets.select("target"))
+    plain = edges.select("src", "dst").where("src is not null and dst is not null")
+    near, far = ("src", "dst") if direction == DOWNSTREAM else ("dst", "src")
+    hops = numbers.encode(plain, "src", "dst").select(F.col(near).alias("node"), F.col(far).alias("next"))
+    return numbers, scratch.save(hops, "hops"), numbers.encode(targets.select("target"), "target")
+
+
+def _closure(edges: DataFrame, targets: DataFrame, direction: str, max_rounds: int) -> DataFrame:
+    scratch = Scratch(edges.sparkSession, f"closure-{direction}")
+    numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
+    found = _closure_of(hops, goals, scratch, "levels", max_rounds)
+    return numbers.decode(found, "target", "node")
 
 
 def downstream(edges: DataFrame, targets: DataFrame, max_rounds: int = 500) -> DataFrame:
@@ -65,6 +120,20 @@ def upstream(edges: DataFrame, targets: DataFrame, max_rounds: int = 500) -> Dat
     return _closure(edges, targets, UPSTREAM, max_rounds)
 
 
+def ordered_chain(
+    edges: DataFrame, targets: DataFrame, direction: str = DOWNSTREAM, max_rounds: int = 500
+) -> DataFrame:
+    """A closure in source-first order: ``target, node, level``; order by ``target, level, node``."""
+    scratch = Scratch(edges.sparkSession, f"ordered-{direction}")
+    numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
+    chain = _closure_of(hops, goals, scratch, "chain", max_rounds).select("target", "node")
+    src, dst = ("node", "next") if direction == DOWNSTREAM else ("next", "node")
+    inside = chain.join(hops, "node").select("target", F.col(src).alias("src"), F.col(dst).alias("dst"))
+    inside = scratch.save(inside, "inside")
+    levels = _levels_of(inside, chain, ["target"], scratch, "levels", max_rounds)
+    return numbers.decode(levels, "target", "node")
+
+
 def direct_successors(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Immediate consumers of each target: ``target, node``."""
     return (
@@ -101,19 +170,10 @@ def topological_levels(
     """
     scratch = Scratch(nodes.sparkSession, "levels")
     by = list(by)
-    hops = scratch.save(edges.select(*by, "src", "dst"), "hops")
-    kept = scratch.save(nodes.select(*by, "node").distinct(), "kept/level=0")
-    schema = T.StructType([*kept.schema.fields, T.StructField("level", T.IntegerType())])
-    for level in range(1, max_rounds + 1):
-        starts = kept.withColumnRenamed("node", "src")
-        ends = hops.join(starts, [*by, "src"], "left_semi") if level > 1 else hops
-        kept = scratch.save(
-            ends.select(*by, F.col("dst").alias("node")).distinct(), f"kept/level={level}"
-        )
-        if kept.isEmpty():
-            stored = scratch.load("kept", schema)
-            return stored.groupBy(*by, "node").agg(F.max("level").alias("level"))
-    raise RoundLimitExceeded(f"paths longer than {max_rounds} edges, or a cycle")
+    numbers = _Numbering(scratch, nodes.select("node"), edges.select("src"), edges.select("dst"))
+    hops = scratch.save(numbers.encode(edges.select(*by, "src", "dst"), "src", "dst").select(*by, "src", "dst"), "hops")
+    plain = numbers.encode(nodes.select(*by, "node"), "node")
+    return numbers.decode(_levels_of(hops, plain, by, scratch, "kept", max_rounds), "node")
 
 
 def terminal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,7 +213,9 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
     """``node, above, below``: the least node that reaches it and the least one it reaches.
 
     Nodes are ordered by hash first: in a random order a chain of components is split near its
-    middle, so the number of outer passes grows with the logarithm of its length.
+    middle, so the number of outer passes grows with the logarithm of its length. Besides its
+    neighbours' labels a node takes the label of its own label (what reaches that node reaches this
+    one too), so a label crosses a long path in few rounds.
     """
     links = scratch.save(
         edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("down")).unionByName(
@@ -169,9 +231,6 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
     )
     state = scratch.save(state, f"{tag}/label-0")
 
-    def lower(offer: str, label: str):
-        return F.coalesce(F.col(offer) < F.col(label), F.lit(False))
-
     for turn in range(1, max_rounds + 1):
         offers = (
             state.where("fresh")
@@ -183,13 +242,18 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
                 F.min(F.when(~F.col("down"), F.col("below"))).alias("from_below"),
             )
         )
+        over = state.where("above.n <> node").select(F.col("node").alias("via_above"), F.col("above").alias("jump_above"))
+        under = state.where("below.n <> node").select(F.col("node").alias("via_below"), F.col("below").alias("jump_below"))
+        news = (
+            state.join(offers, "node", "left")
+            .join(over, F.col("above.n") == F.col("via_above"), "left")
+            .join(under, F.col("below.n") == F.col("via_below"), "left")
+        )
+        best_above = F.least("above", "from_above", "jump_above")
+        best_below = F.least("below", "from_below", "jump_below")
+        moved = (best_above < F.col("above")) | (best_below < F.col("below"))
         state = scratch.save(
-            state.join(offers, "node", "left").select(
-                "node",
-                F.when(lower("from_above", "above"), F.col("from_above")).otherwise(F.col("above")).alias("above"),
-                F.when(lower("from_below", "below"), F.col("from_below")).otherwise(F.col("below")).alias("below"),
-                (lower("from_above", "above") | lower("from_below", "below")).alias("fresh"),
-            ),
+            news.select("node", best_above.alias("above"), best_below.alias("below"), moved.alias("fresh")),
             f"{tag}/label-{turn}",
         )
         scratch.drop(f"{tag}/label-{turn - 1}")
@@ -207,7 +271,8 @@ def cycle_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     the edges: no reachability pairs are built.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    pairs = scratch.save(edges.select("src", "dst").distinct(), "pairs")
+    numbers = _Numbering(scratch, edges.select("src"), edges.select("dst"))
+    pairs = scratch.save(numbers.encode(edges.select("src", "dst").distinct(), "src", "dst").select("src", "dst"), "pairs")
     node_type = pairs.schema["src"].dataType
     rest = _trimmed(pairs.where("src <> dst"), scratch, "pass-0")
     searched = False
@@ -227,13 +292,16 @@ def cycle_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
         rest = _trimmed(rest, scratch, f"pass-{turn}")
     else:
         raise RoundLimitExceeded(f"components left after {max_rounds} passes")
-    loops = pairs.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    loops = numbers.decode(pairs.where("src = dst").select(F.col("src").alias("node")), "node")
+    loops = loops.withColumn("component", F.col("node"))
     if not searched:
         return loops
     schema = T.StructType([T.StructField("node", node_type), T.StructField("root", node_type)])
     found = scratch.load("found", schema).select("node", "root")
-    sized = found.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component"))
-    real = found.join(sized.where("n > 1"), "root").select("node", "component")
+    several = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    named = numbers.decode(found.join(several, "root"), "node")
+    least = named.groupBy("root").agg(F.min("node").alias("component"))
+    real = named.join(least, "root").select("node", "component")
     alone = loops.join(real, "node", "left_anti")
     return scratch.save(real.unionByName(alone), "components")
 

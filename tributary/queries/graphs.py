@@ -90,15 +90,24 @@ def multi_target_closure(spark, sf):
 
 @query("o1_topological_levels", I.RECORD_SQL + "SELECT target, node, CAST(level AS BIGINT) AS level FROM chain")
 def topological_levels(spark, sf):
-    edges = I.record_edges(spark, sf)
-    chain = graph.downstream(edges, I.region_targets(spark, sf))
-    levels = graph.topological_levels(chain, graph.closed_edges(edges, chain, graph.DOWNSTREAM))
-    return (
-        levels.orderBy("target", "level", "node")
-        .select(node_text("target").alias("target"), node_text("node").alias("node"), F.col("level").cast("bigint").alias("level"))
+    chain = graph.ordered_chain(I.record_edges(spark, sf), I.region_targets(spark, sf))
+    return chain.orderBy("target", "level", "node").select(
+        node_text("target").alias("target"), node_text("node").alias("node"), F.col("level").cast("bigint").alias("level")
     )
 
 
+@query(
+    "o1_upstream_order",
+    I.RECORD_SQL + """, lv(target, node, level) AS (
+      SELECT target, node, 0 FROM chain_up
+      UNION SELECT lv.target, e.dst, lv.level + 1 FROM lv JOIN e ON e.src = lv.node JOIN chain_up c ON c.target = lv.target AND c.node = e.dst)
+    SELECT target, node, CAST(max(level) AS BIGINT) AS level FROM lv GROUP BY ALL""",
+)
+def upstream_order(spark, sf):
+    chain = graph.ordered_chain(I.record_edges(spark, sf), I.priority_targets(spark, sf), graph.UPSTREAM)
+    return chain.select(node_text("target").alias("target"), node_text("node").alias("node"), F.col("level").cast("bigint").alias("level"))
+
+
 @query("o1_topological_levels_of_all", I.RECORD_SQL + "SELECT node, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY node")
 def topological_levels_of_all(spark, sf):
     levels = graph.topological_levels(I.record_nodes(spark, sf), I.record_edges(spark, sf), by=())

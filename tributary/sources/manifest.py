@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import paths
+from tributary.scratch import Scratch
 
 # Manifest versions that can be read, and where the version is written.
 SUPPORTED_VERSIONS = ("v11", "v12")
@@ -43,10 +44,14 @@ def read_manifests(spark: SparkSession, path: str, one_per_line: bool = False) -
 
 
 def parse_manifests(documents: DataFrame) -> DataFrame:
-    """Parse ``project_id, text`` rows: adds ``readable``, ``version``, ``metadata, nodes, sources``."""
+    """Parse ``project_id, text`` rows into ``readable``, ``version``, ``metadata, nodes, sources``.
+
+    The result is stored, since every other table is drawn from it: the JSON text is read once and
+    later reads only touch the parts they need.
+    """
     parsed = F.from_json("text", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     version = F.coalesce("doc.metadata.dbt_schema_version", F.lit(""))
-    return documents.select("project_id", parsed.alias("doc")).select(
+    tables = documents.select("project_id", parsed.alias("doc")).select(
         "project_id",
         (F.col("doc").isNotNull() & F.col("doc._corrupt").isNull()).alias("readable"),
         version.alias("schema_version"),
@@ -55,6 +60,7 @@ def parse_manifests(documents: DataFrame) -> DataFrame:
         "doc.nodes",
         "doc.sources",
     )
+    return Scratch(documents.sparkSession, "manifests").save(tables, "parsed")
 
 
 def split_by_version(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
