@@ -16,20 +16,23 @@ _MODEL = ["project_id", "model"]
 
 
 def model_dependencies(models: DataFrame) -> DataFrame:
-    """Dependencies read from SQL text: one row per call, repeats kept, with its position."""
+    """Dependencies read from SQL text: one row per call, repeats kept, with its position.
+
+    The outer explodes keep the optimizer from adding a size test, which would run the pattern again.
+    """
     refs = models.select(
         "project_id",
         F.col("name").alias("model"),
-        F.posexplode(Tm.refs_of(F.col("raw_sql"))).alias("position", "target_name"),
-    ).select(
+        F.posexplode_outer(Tm.refs_of(F.col("raw_sql"))).alias("position", "target_name"),
+    ).where("position is not null").select(
         *_MODEL, "position", F.lit("ref").alias("dependency_type"),
         F.lit(None).cast("string").alias("source_name"), "target_name",
     )
     sources = models.select(
         "project_id",
         F.col("name").alias("model"),
-        F.posexplode(Tm.sources_of(F.col("raw_sql"))).alias("position", "call"),
-    ).select(
+        F.posexplode_outer(Tm.sources_of(F.col("raw_sql"))).alias("position", "call"),
+    ).where("position is not null").select(
         *_MODEL, "position", F.lit("source").alias("dependency_type"),
         F.col("call.source_name").alias("source_name"), F.col("call.table_name").alias("target_name"),
     )

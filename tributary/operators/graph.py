@@ -18,6 +18,9 @@ from tributary.scratch import Scratch
 UPSTREAM = "upstream"
 DOWNSTREAM = "downstream"
 
+# Rounds of neighbour labels before labels start to jump.
+_PLAIN_ROUNDS = 12
+
 
 class RoundLimitExceeded(RuntimeError):
     """A loop needed more rounds than the caller allowed."""
@@ -30,14 +33,13 @@ class _Numbering:
     The numbers are stored before use: a recomputed task reads the same ones.
     """
 
-    def __init__(self, scratch: Scratch, *columns: DataFrame):
-        kind = columns[0].schema.fields[0].dataType
+    def __init__(self, scratch: Scratch, edges: DataFrame, *more: DataFrame):
         self.table = None
-        if isinstance(kind, T.IntegralType):
+        if isinstance(edges.schema["src"].dataType, T.IntegralType):
             return
-        nodes = columns[0].toDF("name_")
-        for more in columns[1:]:
-            nodes = nodes.unionByName(more.toDF("name_"))
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("name_"))
+        for column in more:
+            nodes = nodes.unionByName(column.toDF("name_"))
         nodes = nodes.where("name_ is not null").distinct()
         self.table = scratch.save(nodes.withColumn("number_", F.monotonically_increasing_id()), "numbers")
 
@@ -96,8 +98,10 @@ def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratc
 
 def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch):
     """``(numbering, hops, goals)`` with near and far end swapped for the upstream direction."""
-    numbers = _Numbering(scratch, edges.select("src"), edges.select("dst"), targets.select("target"))
     plain = edges.select("src", "dst").where("src is not null and dst is not null")
+    if not isinstance(plain.schema["src"].dataType, T.IntegralType):
+        plain = scratch.save(plain, "edges")
+    numbers = _Numbering(scratch, plain, targets.select("target"))
     near, far = ("src", "dst") if direction == DOWNSTREAM else ("dst", "src")
     hops = numbers.encode(plain, "src", "dst").select(F.col(near).alias("node"), F.col(far).alias("next"))
     return numbers, scratch.save(hops, "hops"), numbers.encode(targets.select("target"), "target")
@@ -170,8 +174,11 @@ def topological_levels(
     """
     scratch = Scratch(nodes.sparkSession, "levels")
     by = list(by)
-    numbers = _Numbering(scratch, nodes.select("node"), edges.select("src"), edges.select("dst"))
-    hops = scratch.save(numbers.encode(edges.select(*by, "src", "dst"), "src", "dst").select(*by, "src", "dst"), "hops")
+    edges = scratch.save(edges.select(*by, "src", "dst"), "edges")
+    numbers = _Numbering(scratch, edges, nodes.select("node"))
+    hops = edges
+    if numbers.table is not None:
+        hops = scratch.save(numbers.encode(edges, "src", "dst").select(*by, "src", "dst"), "hops")
     plain = numbers.encode(nodes.select(*by, "node"), "node")
     return numbers.decode(_levels_of(hops, plain, by, scratch, "kept", max_rounds), "node")
 
@@ -213,9 +220,9 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
     """``node, above, below``: the least node that reaches it and the least one it reaches.
 
     Nodes are ordered by hash first: in a random order a chain of components is split near its
-    middle, so the number of outer passes grows with the logarithm of its length. Besides its
-    neighbours' labels a node takes the label of its own label (what reaches that node reaches this
-    one too), so a label crosses a long path in few rounds.
+    middle, so the number of outer passes grows with the logarithm of its length. Where short cycles
+    have not settled it, a node also takes the label of its own label (what reaches that node
+    reaches this one too), so a label crosses a long path in few rounds.
     """
     links = scratch.save(
         edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("down")).unionByName(
@@ -242,15 +249,15 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
                 F.min(F.when(~F.col("down"), F.col("below"))).alias("from_below"),
             )
         )
-        over = state.where("above.n <> node").select(F.col("node").alias("via_above"), F.col("above").alias("jump_above"))
-        under = state.where("below.n <> node").select(F.col("node").alias("via_below"), F.col("below").alias("jump_below"))
-        news = (
-            state.join(offers, "node", "left")
-            .join(over, F.col("above.n") == F.col("via_above"), "left")
-            .join(under, F.col("below.n") == F.col("via_below"), "left")
-        )
-        best_above = F.least("above", "from_above", "jump_above")
-        best_below = F.least("below", "from_below", "jump_below")
+        news = state.join(offers, "node", "left")
+        above, below = ["above", "from_above"], ["below", "from_below"]
+        if turn > _PLAIN_ROUNDS:
+            over = state.where("above.n <> node").select(F.col("node").alias("via_above"), F.col("above").alias("jump_above"))
+            under = state.where("below.n <> node").select(F.col("node").alias("via_below"), F.col("below").alias("jump_below"))
+            news = news.join(over, F.col("above.n") == F.col("via_above"), "left")
+            news = news.join(under, F.col("below.n") == F.col("via_below"), "left")
+            above, below = [*above, "jump_above"], [*below, "jump_below"]
+        best_above, best_below = F.least(*above), F.least(*below)
         moved = (best_above < F.col("above")) | (best_below < F.col("below"))
         state = scratch.save(
             news.select("node", best_above.alias("above"), best_below.alias("below"), moved.alias("fresh")),
@@ -271,8 +278,10 @@ def cycle_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     the edges: no reachability pairs are built.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    numbers = _Numbering(scratch, edges.select("src"), edges.select("dst"))
-    pairs = scratch.save(numbers.encode(edges.select("src", "dst").distinct(), "src", "dst").select("src", "dst"), "pairs")
+    pairs = scratch.save(edges.select("src", "dst").distinct(), "edges")
+    numbers = _Numbering(scratch, pairs)
+    if numbers.table is not None:
+        pairs = scratch.save(numbers.encode(pairs, "src", "dst").select("src", "dst"), "pairs")
     node_type = pairs.schema["src"].dataType
     rest = _trimmed(pairs.where("src <> dst"), scratch, "pass-0")
     searched = False
