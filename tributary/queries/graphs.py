@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tributary.operators import graph, impact
+from tributary.operators import graph, impact, windows
 from tributary.queries import inputs as I
 from tributary.queries.registry import node_text, plain, query
 from tributary.sources import sinks
@@ -177,13 +177,11 @@ def impact_summary(spark, sf):
       FROM (SELECT target, model, count(*) AS n FROM hit GROUP BY ALL)""",
 )
 def impact_order(spark, sf):
-    """Report place of each model of a target; models per target are few after the roll-up."""
-    from pyspark.sql import Window
-
+    """Report place of each model of a target."""
     chain = graph.downstream(I.record_edges(spark, sf), I.region_targets(spark, sf))
-    found = impact.impact_by_model(impact.impacted_nodes(chain))
-    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("column_count"), "model"))
-    return plain(found.select(node_text("target").alias("target"), "model", place.alias("place")))
+    found = impact.impact_by_model(impact.impacted_nodes(chain)).withColumn("target", node_text("target"))
+    placed = windows.with_positions(found, ["target"], [F.desc("column_count"), "model"], name="place")
+    return plain(placed.select("target", "model", "place"))
 
 
 @query(

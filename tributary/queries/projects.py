@@ -151,6 +151,27 @@ def project_summary(spark, sf):
     return sinks.project_summary(manifest.manifest_models(manifest.manifest_nodes(accepted)), manifest.manifest_sources(accepted))
 
 
+@query(
+    "s9_chosen_models",
+    _PROJECTS + """SELECT project_id, prefix || k AS name, CASE prefix WHEN 'stg_' THEN 'staging' ELSE 'marts' END AS layer, 'manifest' AS mode
+      FROM pr, (VALUES ('stg_'), ('mart_')) t(prefix) WHERE mode = 'manifest'
+    UNION ALL SELECT project_id, 'file_' || k, 'staging', 'static' FROM pr WHERE mode = 'static'""",
+)
+def chosen_models(spark, sf):
+    """Models from the manifest where it can be used, from the SQL files elsewhere."""
+    parsed = _parsed(spark, sf)
+    accepted, rejected = manifest.split_by_version(parsed)
+    found = I.table(spark, sf, "orders").select(
+        F.explode(F.array(F.format_string("shop_%d", "o_orderkey"), F.format_string("bare_%d", "o_orderkey"))).alias("project_id"),
+        F.format_string("models/staging/file_%d.sql", "o_orderkey").alias("relative_path"),
+        F.lit("select 1").alias("raw_sql"),
+    )
+    static = files.sql_models(found)
+    projects = artifacts.resolve_artifacts(accepted, rejected, static)
+    from_manifests = manifest.manifest_models(manifest.manifest_nodes(accepted))
+    return artifacts.choose_models(projects, from_manifests, static).select("project_id", "name", "layer", "mode")
+
+
 def _corpus_projects(spark, sf):
     models = files.sql_models(I.sql_files(spark, sf))
     projects = I.table(spark, sf, "nation").select(
