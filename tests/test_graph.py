@@ -144,3 +144,13 @@ def test_terminals(spark):
     assert {r.node: (r.is_source, r.is_sink) for r in flags.collect()} == {
         1: (True, False), 2: (False, False), 3: (False, True), 4: (True, True)
     }
+
+
+def test_projects_do_not_mix(spark):
+    kind = "struct<model:string,column:string,layer:string>"
+    n = lambda m: (m, "id", "marts")
+    rows = [("p", n("a"), n("b")), ("q", n("b"), n("c")), ("q", n("a"), n("d"))]
+    edges = graph.by_project(spark.createDataFrame(rows, f"project_id string, src {kind}, dst {kind}"))
+    goal = edges.where("src.project_id = 'p'").select(F.col("src").alias("target"))
+    chain = graph.downstream(edges, goal)
+    assert [(r.model, r.column) for r in impact.impacted_nodes(chain).collect()] == [("b", "id")]

@@ -26,6 +26,15 @@ class RoundLimitExceeded(RuntimeError):
     """A loop needed more rounds than the caller allowed."""
 
 
+def by_project(edges: DataFrame) -> DataFrame:
+    """Edges of many projects as one graph: both ends become ``STRUCT<project_id, node>``.
+
+    Names repeat between projects, so a closure over several of them needs such keys.
+    """
+    key = lambda end: F.struct("project_id", F.col(end).alias("node"))
+    return edges.withColumns({"src": key("src"), "dst": key("dst")})
+
+
 class _Numbering:
     """Numbers for nodes that are not numbers themselves.
 

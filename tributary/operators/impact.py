@@ -13,9 +13,13 @@ from tributary.operators import graph
 
 
 def impacted_nodes(chain: DataFrame) -> DataFrame:
-    """The chain without its own target: ``target, model, column``."""
+    """The chain without its own target: ``target, model, column``.
+
+    Nodes keyed by :func:`graph.by_project` are looked into.
+    """
+    node = "node.node" if "node" in chain.schema["node"].dataType.names else "node"
     return chain.where(F.col("node") != F.col("target")).select(
-        "target", F.col("node.model").alias("model"), F.col("node.column").alias("column")
+        "target", F.col(f"{node}.model").alias("model"), F.col(f"{node}.column").alias("column")
     )
 
 

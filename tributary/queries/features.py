@@ -185,14 +185,14 @@ def stg_loans(spark, sf):
 
 @query(
     "m2_stg_transactions",
-    BANK_SQL + """SELECT transaction_id, account_id, customer_id, epoch_us(transaction_timestamp) AS micros, CAST(d AS VARCHAR) AS transaction_date, kind AS transaction_type, indicator AS debit_credit_indicator,
+    BANK_SQL + """SELECT transaction_id, account_id, customer_id, strftime(transaction_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS transaction_timestamp, CAST(d AS VARCHAR) AS transaction_date, kind AS transaction_type, indicator AS debit_credit_indicator,
       CAST(size * sign AS DOUBLE) AS amount, category AS merchant_category, channel, description, CAST(CASE indicator WHEN 'debit' THEN size ELSE 0 END AS DOUBLE) AS debit_amount,
       CAST(CASE indicator WHEN 'credit' THEN size ELSE 0 END AS DOUBLE) AS credit_amount, CAST(CASE WHEN kind IN ('card_payment', 'fee', 'outgoing_transfer') THEN size ELSE 0 END AS DOUBLE) AS spend_amount,
       CAST(CASE kind WHEN 'incoming_transfer' THEN size ELSE 0 END AS DOUBLE) AS incoming_transfer_amount, CAST(CASE kind WHEN 'outgoing_transfer' THEN size ELSE 0 END AS DOUBLE) AS outgoing_transfer_amount FROM tx""",
 )
 def stg_transactions(spark, sf):
     tx = stg(spark, sf)[2]
-    return plain(tx.withColumn("micros", F.unix_micros(F.col("transaction_timestamp").cast("timestamp"))).drop("transaction_timestamp"))
+    return plain(tx.withColumn("transaction_timestamp", F.date_format("transaction_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
 
 
 @query("m3_customer_activity", BANK_SQL + "SELECT * REPLACE (CAST(onboarding_date AS VARCHAR) AS onboarding_date, CAST(last_transaction_date AS VARCHAR) AS last_transaction_date) FROM act")
