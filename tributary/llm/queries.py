@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, licenses, quality, token_counts, toxicity
+from tributary.llm import bpe, licenses, mixing, pii, quality, token_counts, toxicity
 from tributary.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
         (~quality.passes("base")).alias("base_failed"), quality.passes().alias("kept"),
     )
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
