@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, licenses, mixing, pii, quality, token_counts, toxicity
+from tributary.llm import bpe, licenses, mixing, near_dup, pii, quality, token_counts, toxicity
 from tributary.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_surrogates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
