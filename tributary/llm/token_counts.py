@@ -52,11 +52,11 @@ class RankMerger:
         self.inner = np.array([ids[x] for x in letters], dtype=np.int64)
         self.last = np.array([ids[x + end] for x in letters], dtype=np.int64)
         self.size = len(ids)
-        keys, made = [], {}
+        keys, made = [], {x + e for x in letters for e in ("", end)}
         for rank, (a, b) in enumerate(model["merges"]):
-            if max(made.get(a, -1), made.get(b, -1)) >= rank:
+            if a not in made or b not in made:
                 raise ValueError(f"merge {rank} comes before its parts")
-            made.setdefault(a + b, rank)
+            made.add(a + b)
             keys.append((ids[a] * self.size + ids[b], rank, ids[a + b]))
         keys.sort()
         self.keys, self.ranks, self.merged = (np.array(x, dtype=np.int64) for x in zip(*keys, strict=True))
