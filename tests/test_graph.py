@@ -51,13 +51,10 @@ def test_diamonds_do_not_enumerate_paths(spark):
     assert found.count() == 25
 
 
-def test_round_limit_raises(spark):
-    chain = frame(spark, [(i, i + 1) for i in range(6)])
-    with pytest.raises(graph.RoundLimitExceeded):
-        graph.downstream(chain, targets(spark, [0]), max_rounds=3)
-    with pytest.raises(graph.RoundLimitExceeded):
-        nodes = chain.select(F.explode(F.array("src", "dst")).alias("node"))
-        graph.topological_levels(nodes, frame(spark, [(1, 2), (2, 1)]), by=(), max_rounds=4)
+def test_levels_of_a_cycle_raise(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(6)], "node long")
+    with pytest.raises(graph.CycleFound):
+        graph.topological_levels(nodes, frame(spark, [(1, 2), (2, 1), (2, 3)]), by=())
 
 
 def test_topological_levels_respect_every_edge(spark):
@@ -108,9 +105,21 @@ def test_components_and_cycle_breaking(spark, pairs):
         assert expected[a] == expected[b]
 
 
-def test_cycle_breaking_ends_in_one_sweep_when_told_to(spark):
+def test_cycle_breaking_is_the_same_in_rounds_and_in_tasks(spark, monkeypatch):
     ring = [(i, (i + 1) % 8) for i in range(8)] + [(i, (i + 3) % 8) for i in range(8)]
-    kept, _ = graph.break_cycles(frame(spark, ring), single_drops=0)
+    local = {(r.src, r.dst) for r in graph.break_cycles(frame(spark, ring))[1].collect()}
+    monkeypatch.setattr(graph, "_LOCAL_EDGES", 9)
+    rounds = {(r.src, r.dst) for r in graph.break_cycles(frame(spark, ring))[1].collect()}
+    assert local == rounds and components([e for e in ring if e not in local]) == {}
+
+
+def test_many_cuts_and_descending_ring(spark):
+    pairs = [(i + 1, i) for i in range(5)] + [(0, 5)]
+    for n in range(70):
+        pairs += [(100 + 2 * n, 101 + 2 * n), (101 + 2 * n, 100 + 2 * n), (101 + 2 * n, 102 + 2 * n), (102 + 2 * n, 101 + 2 * n)]
+    kept, dropped = graph.break_cycles(frame(spark, pairs))
+    gone = [(r.src, r.dst) for r in dropped.collect()]
+    assert len([e for e in gone if e[0] < 100]) == 1 and len(gone) == 141
     assert components([(r.src, r.dst) for r in kept.collect()]) == {}
 
 

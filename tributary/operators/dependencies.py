@@ -88,13 +88,13 @@ def known_ref_edges(models: DataFrame, deps: DataFrame) -> DataFrame:
     )
 
 
-def cyclic_models(models: DataFrame, deps: DataFrame, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+def cyclic_models(models: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Models on a ref cycle as ``project_id, model, component``, and one warning per component."""
     keyed = known_ref_edges(models, deps).select(
         F.struct("project_id", F.col("src").alias("model")).alias("src"),
         F.struct("project_id", F.col("dst").alias("model")).alias("dst"),
     )
-    members = graph.cycle_components(keyed, max_rounds).select(
+    members = graph.cycle_components(keyed).select(
         F.col("node.project_id").alias("project_id"),
         F.col("node.model").alias("model"),
         F.col("component.model").alias("component"),
@@ -147,10 +147,9 @@ def model_dag(
     deps: DataFrame,
     projections: DataFrame,
     extra_warnings: DataFrame | None = None,
-    max_rounds: int = 500,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The model graph: ``(nodes, edges, warnings)`` without models on ref cycles."""
-    cyclic, warnings = cyclic_models(models, deps, max_rounds)
+    cyclic, warnings = cyclic_models(models, deps)
     kept = drop_excluded(models, cyclic, "name")
     counts = column_counts(projections).withColumnRenamed("model", "name")
     nodes = kept.join(counts, ["project_id", "name"], "left").select(

@@ -8,8 +8,10 @@ state in written tables (see ``scratch``); the driver only learns whether a roun
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +24,12 @@ DOWNSTREAM = "downstream"
 _PLAIN_ROUNDS = 12
 
 
-class RoundLimitExceeded(RuntimeError):
-    """A loop needed more rounds than the caller allowed."""
+# Edges of a component that is cut in one task; larger ones are cut by the same rule in rounds.
+_LOCAL_EDGES = 50_000
+
+
+class CycleFound(RuntimeError):
+    """An order was asked for in a graph that has a cycle."""
 
 
 def by_project(edges: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ class _Numbering:
         return df.select(*order)
 
 
-def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str, max_rounds: int) -> DataFrame:
+def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """Closure of ``goals(target)`` over stored ``hops(node, next)``."""
     kind = hops.schema["node"].dataType
     schema = T.StructType(
@@ -78,7 +84,7 @@ def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str, m
     )
     start = goals.select(F.col("target").cast(kind)).distinct().withColumn("node", F.col("target"))
     frontier = scratch.save(start, f"{tag}/depth=0")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):  # every round adds nodes, so it ends
         seen = scratch.load(tag, schema).select("target", "node")
         reached = (
             frontier.join(hops, "node")
@@ -89,20 +95,28 @@ def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str, m
         frontier = scratch.save(reached, f"{tag}/depth={depth}")
         if frontier.isEmpty():
             return scratch.load(tag, schema)
-    raise RoundLimitExceeded(f"closure still growing after {max_rounds} rounds")
+    raise AssertionError("unreachable")
+
 
+def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratch, tag: str) -> DataFrame:
+    """Longest-path levels of ``nodes(by, node)`` over stored ``hops(by, src, dst)``.
 
-def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratch, tag: str, max_rounds: int) -> DataFrame:
-    """Longest-path levels of ``nodes(by, node)`` over stored ``hops(by, src, dst)``."""
+    Without a cycle every round keeps fewer nodes than the one before (the last level goes), so a
+    round that keeps as many shows a cycle.
+    """
     kept = scratch.save(nodes.select(*by, "node").distinct(), f"{tag}/level=0")
     schema = T.StructType([*kept.schema.fields, T.StructField("level", T.IntegerType())])
-    for level in range(1, max_rounds + 1):
+    size = kept.count()
+    for level in count(1):
         starts = kept.withColumnRenamed("node", "src")
         ends = hops.join(starts, [*by, "src"], "left_semi") if level > 1 else hops
         kept = scratch.save(ends.select(*by, F.col("dst").alias("node")).distinct(), f"{tag}/level={level}")
-        if kept.isEmpty():
+        before, size = size, kept.count()
+        if not size:
             return scratch.load(tag, schema).groupBy(*by, "node").agg(F.max("level").alias("level"))
-    raise RoundLimitExceeded(f"paths longer than {max_rounds} edges, or a cycle")
+        if size >= before:
+            raise CycleFound(f"{size} nodes lie on or behind a cycle")
+    raise AssertionError("unreachable")
 
 
 def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch):
@@ -116,34 +130,32 @@ def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch:
     return numbers, scratch.save(hops, "hops"), numbers.encode(targets.select("target"), "target")
 
 
-def _closure(edges: DataFrame, targets: DataFrame, direction: str, max_rounds: int) -> DataFrame:
+def _closure(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
     scratch = Scratch(edges.sparkSession, f"closure-{direction}")
     numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
-    found = _closure_of(hops, goals, scratch, "levels", max_rounds)
+    found = _closure_of(hops, goals, scratch, "levels")
     return numbers.decode(found, "target", "node")
 
 
-def downstream(edges: DataFrame, targets: DataFrame, max_rounds: int = 500) -> DataFrame:
+def downstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Every target with all its descendants: ``target, node, depth`` (the target has depth 0)."""
-    return _closure(edges, targets, DOWNSTREAM, max_rounds)
+    return _closure(edges, targets, DOWNSTREAM)
 
 
-def upstream(edges: DataFrame, targets: DataFrame, max_rounds: int = 500) -> DataFrame:
+def upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Every target with all its ancestors: ``target, node, depth`` (the target has depth 0)."""
-    return _closure(edges, targets, UPSTREAM, max_rounds)
+    return _closure(edges, targets, UPSTREAM)
 
 
-def ordered_chain(
-    edges: DataFrame, targets: DataFrame, direction: str = DOWNSTREAM, max_rounds: int = 500
-) -> DataFrame:
+def ordered_chain(edges: DataFrame, targets: DataFrame, direction: str = DOWNSTREAM) -> DataFrame:
     """A closure in source-first order: ``target, node, level``; order by ``target, level, node``."""
     scratch = Scratch(edges.sparkSession, f"ordered-{direction}")
     numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
-    chain = _closure_of(hops, goals, scratch, "chain", max_rounds).select("target", "node")
+    chain = _closure_of(hops, goals, scratch, "chain").select("target", "node")
     src, dst = ("node", "next") if direction == DOWNSTREAM else ("next", "node")
     inside = chain.join(hops, "node").select("target", F.col(src).alias("src"), F.col(dst).alias("dst"))
     inside = scratch.save(inside, "inside")
-    levels = _levels_of(inside, chain, ["target"], scratch, "levels", max_rounds)
+    levels = _levels_of(inside, chain, ["target"], scratch, "levels")
     return numbers.decode(levels, "target", "node")
 
 
@@ -173,9 +185,7 @@ def closed_edges(edges: DataFrame, chain: DataFrame, direction: str) -> DataFram
     return edges.join(chain.select("target", F.col("node").alias(end)), end)
 
 
-def topological_levels(
-    nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ("target",), max_rounds: int = 500
-) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     """Longest-path level of every node; ordering by it puts each edge's source first.
 
     Round k keeps the nodes that end a path of k edges, so the level is the last round a node was
@@ -189,7 +199,7 @@ def topological_levels(
     if numbers.table is not None:
         hops = scratch.save(numbers.encode(edges, "src", "dst").select(*by, "src", "dst"), "hops")
     plain = numbers.encode(nodes.select(*by, "node"), "node")
-    return numbers.decode(_levels_of(hops, plain, by, scratch, "kept", max_rounds), "node")
+    return numbers.decode(_levels_of(hops, plain, by, scratch, "kept"), "node")
 
 
 def terminal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -225,7 +235,7 @@ def _trimmed(edges: DataFrame, scratch: Scratch, tag: str, rounds: int = 20) ->
     return current
 
 
-def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: int) -> DataFrame:
+def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """``node, above, below``: the least node that reaches it and the least one it reaches.
 
     Nodes are ordered by hash first: in a random order a chain of components is split near its
@@ -247,7 +257,7 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
     )
     state = scratch.save(state, f"{tag}/label-0")
 
-    for turn in range(1, max_rounds + 1):
+    for turn in count(1):  # labels only fall, so it ends
         offers = (
             state.where("fresh")
             .select(F.col("node").alias("a"), "above", "below")
@@ -275,10 +285,10 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: in
         scratch.drop(f"{tag}/label-{turn - 1}")
         if state.where("fresh").isEmpty():
             return state.select("node", F.col("above.n").alias("above"), F.col("below.n").alias("below"))
-    raise RoundLimitExceeded(f"labels still moving after {max_rounds} rounds")
+    raise AssertionError("unreachable")
 
 
-def cycle_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def cycle_components(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle, as ``node, component`` (the least node of the component).
 
     Members of one component share both labels, and a node whose two labels agree is in the
@@ -294,10 +304,10 @@ def cycle_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     node_type = pairs.schema["src"].dataType
     rest = _trimmed(pairs.where("src <> dst"), scratch, "pass-0")
     searched = False
-    for turn in range(1, max_rounds + 1):
+    for turn in count(1):  # every pass settles at least the component of the least node
         if rest.isEmpty():
             break
-        labels = _two_way_labels(rest, scratch, f"pass-{turn}", max_rounds)
+        labels = _two_way_labels(rest, scratch, f"pass-{turn}")
         scratch.save(labels.where("above = below").select("node", F.col("above").alias("root")), f"found/turn={turn}")
         searched = True
         open_nodes = labels.where("above <> below")
@@ -308,8 +318,6 @@ def cycle_components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
             f"pass-{turn}/rest",
         )
         rest = _trimmed(rest, scratch, f"pass-{turn}")
-    else:
-        raise RoundLimitExceeded(f"components left after {max_rounds} passes")
     loops = numbers.decode(pairs.where("src = dst").select(F.col("src").alias("node")), "node")
     loops = loops.withColumn("component", F.col("node"))
     if not searched:
@@ -337,34 +345,98 @@ def on_cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def break_cycles(
-    edges: DataFrame, max_rounds: int = 500, single_drops: int = 50
-) -> tuple[DataFrame, DataFrame]:
+def _strong_components(edges: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Edges ``(src, dst, place)`` of each strongly connected component that has a cycle."""
+    after: dict[int, list[int]] = {}
+    for src, dst, _ in edges:
+        after.setdefault(src, []).append(dst)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    part: dict[int, int] = {}
+    path: list[int] = []
+    for root in after:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        path.append(root)
+        work = [(root, iter(after[root]))]
+        while work:
+            node, rest = work[-1]
+            step = next(rest, None)
+            if step is None:
+                work.pop()
+                if low[node] == index[node]:
+                    while True:
+                        member = path.pop()
+                        part[member] = node
+                        if member == node:
+                            break
+                if work:
+                    above = work[-1][0]
+                    low[above] = min(low[above], low[node])
+            elif step not in index:
+                index[step] = low[step] = len(index)
+                path.append(step)
+                work.append((step, iter(after.get(step, ()))))
+            elif step not in part:
+                low[node] = min(low[node], index[step])
+    inside: dict[int, list[tuple[int, int, int]]] = {}
+    for edge in edges:
+        if part[edge[0]] == part[edge[1]]:
+            inside.setdefault(part[edge[0]], []).append(edge)
+    return list(inside.values())
+
+
+def _cut_component(group: pd.DataFrame) -> pd.DataFrame:
+    """The edges that go when the largest edge of each component goes, again and again."""
+    todo = [list(group[["src", "dst", "place"]].itertuples(index=False, name=None))]
+    cut = []
+    while todo:
+        for part in _strong_components(todo.pop()):
+            worst = max(part, key=lambda e: e[2])
+            cut.append(worst[2])
+            todo.append([e for e in part if e is not worst])
+    return group[group["place"].isin(cut)][["place", "component"]]
+
+
+def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Make the graph acyclic; returns ``(kept edges, dropped src/dst/component)``.
 
-    Each round drops the largest edge of every component, all components at once, and looks again
-    only inside the old components. A component that still cycles after ``single_drops`` rounds
-    loses all its edges that do not ascend in node order, which ends the loop whatever its size.
+    One rule for every size: of each component that has a cycle the largest edge (in node order)
+    goes, again and again, until no cycle is left. Components of up to ``_LOCAL_EDGES`` edges are
+    cut to the end in one task each; larger ones lose one edge, all of them at once, and are
+    searched again. The two ways cut the same edges. ``component`` is the least node of the
+    component that the graph had before anything was cut there, or that a round found.
     """
     scratch = Scratch(edges.sparkSession, "break-cycles")
-    rest = edges
-    broken = False
-    for turn in range(max_rounds):
-        components = cycle_components(rest, max_rounds)
+    rest, found = edges, False
+    for turn in count():
+        components = cycle_components(rest)
         if components.isEmpty():
             break
         looped = scratch.save(on_cycle_edges(rest, components).distinct(), f"looped-{turn}")
-        if turn < single_drops:
-            worst = looped.groupBy("component").agg(F.max(F.struct("src", "dst")).alias("edge"))
-            cut = worst.select("edge.src", "edge.dst", "component")
-        else:
-            cut = looped.where("src >= dst")
+        sizes = looped.groupBy("component").agg(F.count(F.lit(1)).alias("size_"))
+        sized = looped.join(sizes, "component")
+        small, large = sized.where(F.col("size_") <= _LOCAL_EDGES), sized.where(F.col("size_") > _LOCAL_EDGES)
+        order = Window.partitionBy("component").orderBy("src", "dst")
+        placed = scratch.save(small.withColumn("place_", F.row_number().over(order)), f"placed-{turn}")
+        names = placed.select("component", F.explode(F.array("src", "dst")).alias("node_")).distinct()
+        key = names.select("component", "node_", F.dense_rank().over(Window.partitionBy("component").orderBy("node_")).cast("long").alias("id_"))
+        key = scratch.save(key, f"keys-{turn}")
+        flat = placed.join(key.withColumnsRenamed({"node_": "src", "id_": "s_"}), ["component", "src"])
+        flat = flat.join(key.withColumnsRenamed({"node_": "dst", "id_": "d_"}), ["component", "dst"])
+        flat = flat.select("component", F.col("s_").alias("src"), F.col("d_").alias("dst"), F.col("place_").alias("place"))
+        kind = looped.schema["component"].dataType.simpleString()
+        gone = flat.groupBy("component").applyInPandas(_cut_component, f"place int, component {kind}")
+        local = placed.join(gone.withColumnRenamed("place", "place_"), ["component", "place_"])
+        worst = large.groupBy("component").agg(F.max(F.struct("src", "dst")).alias("edge"))
+        cut = local.select("src", "dst", "component").unionByName(worst.select("edge.src", "edge.dst", "component"))
         cut = scratch.save(cut, f"dropped/turn={turn}")
-        broken = True
-        rest = looped.join(cut, ["src", "dst"], "left_anti").select("src", "dst")
-    else:
-        raise RoundLimitExceeded(f"cycles left after {max_rounds} rounds")
-    if not broken:
+        found = True
+        rest = large.join(cut, ["src", "dst"], "left_anti").select("src", "dst")
+        if rest.isEmpty():
+            break
+    if not found:
         node = edges.schema["src"].dataType
         none = T.StructType([T.StructField(n, node) for n in ("src", "dst", "component")])
         return edges, edges.sparkSession.createDataFrame([], none)
