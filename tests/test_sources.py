@@ -71,9 +71,67 @@ def test_manifest_tables_from_files(spark, tmp_path):
 
 def test_one_manifest_per_line(spark, tmp_path):
     body = {"metadata": {"dbt_schema_version": V % "v11"}, "nodes": {}, "sources": {}}
-    (tmp_path / "all.json").write_text("\n".join([json.dumps(body)] * 3))
-    parsed = manifest.parse_manifests(manifest.read_manifests(spark, str(tmp_path), one_per_line=True))
-    assert manifest.split_by_version(parsed)[0].count() == 3
+    lines = [json.dumps(body | {"project_id": p}) for p in ("a", "b")] + [json.dumps(body), "no json"]
+    (tmp_path / "all.json").write_text("\n".join(lines))
+    parsed = manifest.parse_manifests(manifest.read_manifest_lines(spark, str(tmp_path)))
+    accepted, rejected = manifest.split_by_version(parsed)
+    ids = [r.project_id for r in accepted.collect()]
+    assert len(set(ids)) == 3 and {"a", "b"} < set(ids) and rejected.count() == 1
+
+
+def test_only_the_manifest_of_a_target_folder_is_read(spark, tmp_path):
+    write_project(tmp_path, "shop")
+    for name in ("run_results.json", "catalog.json"):
+        (tmp_path / "shop" / "target" / name).write_text("{}")
+    (tmp_path / "shop" / "manifest.json").write_text("{}")
+    found = [r.project_id for r in manifest.read_manifests(spark, str(tmp_path)).collect()]
+    assert [f.rsplit("/", 1)[1] for f in found] == ["shop"]
+
+
+def test_only_the_leading_root_is_cut(spark):
+    rows = spark.createDataFrame([("file:/data/shop/data/models/a.sql",), ("/other/data/b.sql",)], "path string")
+    cut = [r.p for r in rows.select(files.relative_to(spark, "/data", "path").alias("p")).collect()]
+    assert cut == ["shop/data/models/a.sql", "/other/data/b.sql"]
+
+
+def test_fields_cannot_move_in_fingerprints(spark):
+    projects = spark.createDataFrame([("p", "static", "not_generated")], "project_id string, mode string, reason string")
+    deps = spark.createDataFrame([], "project_id string, model string, dependency_type string, target_name string")
+    one = models_frame(spark, [("p", "a", "s", "view:x", "y", ["b,c"], None, 0)])
+    two = models_frame(spark, [("p", "a", "s", "view", "x:y", ["b", "c"], None, 0)])
+    digests = [fingerprint.dag_fingerprint(m, deps, projects).first().fingerprint for m in (one, two)]
+    assert digests[0] != digests[1]
+
+
+def test_inner_steps_are_no_outputs(spark):
+    from tributary.operators import catalog, dependencies
+
+    rows = [("p", "m", "cte:a", 1, "inner", "x.inner", "direct", ["x.inner"]), ("p", "m", "final_select", 1, "out", "a.out", "direct", ["a.out"])]
+    kinds = "project_id string, model string, step_id string, position int, output_name string, expression string, transformation_type string, referenced array<string>"
+    made = spark.createDataFrame(rows, kinds)
+    models = spark.createDataFrame([("p", "m", "marts", None, None, None, None)], "project_id string, name string, layer string, description string, owner string, tags array<string>, test_count bigint")
+    assert [r.column for r in catalog.feature_index(made, models).collect()] == ["out"]
+    assert [r.output_name for r in catalog.filter_columns(made, "").collect()] == ["out"]
+    assert [r.column_count for r in dependencies.column_counts(made).collect()] == [1]
+
+
+def test_names_of_two_projects_stay_apart(spark):
+    from tributary.operators import catalog
+
+    kind = "project_id string, node struct<model:string,column:string,layer:string>"
+    nodes = spark.createDataFrame([("p1", ("a", "id", "marts")), ("p2", ("a", "id", "marts"))], kind)
+    assert catalog.search_index(nodes).count() == 2
+    wanted = spark.createDataFrame([("id", "a")], "column string, model string")
+    status, found = catalog.resolve_targets(nodes, wanted)
+    assert status.first().status == "ambiguous" and {r.project_id for r in found.collect()} == {"p1", "p2"}
+
+
+def test_copies_beyond_one_list(spark, monkeypatch):
+    from tributary.plans import lending
+
+    monkeypatch.setattr(lending, "_RUN", 3)
+    rows = spark.createDataFrame([(1, 7), (2, 1), (3, 3)], "application_id long, copies long")
+    assert sorted(r.application_id for r in lending.repeat_copies(rows).collect()) == [1] * 7 + [2] + [3] * 3
 
 
 def test_sql_files(spark, tmp_path):

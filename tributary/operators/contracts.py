@@ -37,10 +37,13 @@ def relationships(df: DataFrame, column: str, parent: DataFrame, parent_column:
 
 
 def freshness(
-    df: DataFrame, column: str, as_of: dt.datetime, warn_hours: int = 24, error_hours: int = 48
+    df: DataFrame, column: str, as_of: dt.datetime, warn_hours: int = 24, error_hours: int = 48, by: Sequence[str] = ()
 ) -> DataFrame:
-    """One row: newest value, age in hours and ``pass``, ``warn`` or ``error``. No data is an error."""
-    newest = df.agg(F.max(F.col(column).cast("timestamp_ntz")).alias("loaded_at"))
+    """Newest value, age in hours and ``pass``, ``warn`` or ``error``: one row, or one for each group of ``by``.
+
+    No data is an error; a group without any row is not listed.
+    """
+    newest = df.groupBy(*by).agg(F.max(F.col(column).cast("timestamp_ntz")).alias("loaded_at"))
     limit = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     age = F.timestamp_diff("SECOND", F.col("loaded_at"), limit) / F.lit(3600.0)
     aged = newest.withColumn("age_hours", age)

@@ -74,7 +74,7 @@ def profile_metrics(profile: DataFrame, projections: DataFrame) -> DataFrame:
 
 def column_counts(projections: DataFrame) -> DataFrame:
     """Output columns per model, duplicates counted."""
-    return projections.groupBy(*_MODEL).agg(F.count(F.lit(1)).alias("column_count"))
+    return projections.where("step_id = 'final_select'").groupBy(*_MODEL).agg(F.count(F.lit(1)).alias("column_count"))
 
 
 def known_ref_edges(models: DataFrame, deps: DataFrame) -> DataFrame:

@@ -20,10 +20,15 @@ def _digest(models: DataFrame, text: Column) -> DataFrame:
         F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("bigint")).alias(f"w{i}") for i in range(8)
     ]
     sums = hashed.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("model_count"), *words)
-    flat = F.concat_ws(":", "model_count", *[f"w{i}" for i in range(8)])
+    flat = F.concat_ws(":", "model_count", *[f"w{i}" for i in range(8)])  # numbers only, so the marks are unambiguous
     return sums.select(*_KEYS, "model_count", F.sha2(flat, 256).alias("fingerprint"))
 
 
+def _fields(*parts: Column | str) -> Column:
+    """One text of fixed-width digests, so that no text can move from one field to the next."""
+    return F.concat(*(F.sha2(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")), 256) for p in parts))
+
+
 def _with_status(digest: DataFrame, projects: DataFrame) -> DataFrame:
     empty = F.sha2(F.lit("0"), 256)
     return projects.select("project_id", "mode", "reason").join(digest, "project_id", "left").select(
@@ -35,7 +40,7 @@ def _with_status(digest: DataFrame, projects: DataFrame) -> DataFrame:
 
 def lineage_fingerprint(models: DataFrame, projects: DataFrame) -> DataFrame:
     """Changes whenever a model of the project is added, removed, renamed or gets other SQL."""
-    return _with_status(_digest(models, F.concat_ws(":", "name", "raw_sql")), projects)
+    return _with_status(_digest(models, _fields("name", "raw_sql")), projects)
 
 
 def dag_fingerprint(models: DataFrame, deps: DataFrame, projects: DataFrame) -> DataFrame:
@@ -49,12 +54,9 @@ def dag_fingerprint(models: DataFrame, deps: DataFrame, projects: DataFrame) ->
         for i in range(8)
     ]
     refs = deps.where("dependency_type = 'ref'").groupBy("project_id", F.col("model").alias("name")).agg(*ref_words)
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    text = F.concat_ws(
-        ":", "name", "raw_sql", blank("materialization"), blank("description"),
-        F.array_join(F.array_sort("tags"), ","), blank("owner"), F.col("test_count").cast("string"),
-        F.concat_ws(",", *[F.coalesce(F.col(f"r{i}"), F.lit(0)) for i in range(8)]),
-    )
+    tags = F.array_join(F.transform(F.array_sort("tags"), lambda t: F.sha2(t, 256)), "")
+    words = F.concat_ws(",", *[F.coalesce(F.col(f"r{i}"), F.lit(0)) for i in range(8)])
+    text = _fields("name", "raw_sql", "materialization", "description", tags, "owner", F.col("test_count").cast("string"), words)
     return _with_status(_digest(models.join(refs, ["project_id", "name"], "left"), text), projects)
 
 

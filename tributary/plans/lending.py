@@ -52,10 +52,15 @@ def mart_loan_portfolio(underwriting: DataFrame, risk: DataFrame) -> DataFrame:
     )
 
 
+_RUN = 10_000
+
+
 def repeat_copies(portfolio: DataFrame) -> DataFrame:
-    """One row per copy, spread by application before it grows."""
-    spread = portfolio.repartition("application_id")
-    return spread.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copy", "copies")
+    """One row per copy; lists of at most ``_RUN`` copies are dealt out again before they grow."""
+    runs = F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(_RUN).cast("bigint"))
+    parts = portfolio.withColumn("start_", F.explode(runs)).repartition("application_id", "start_")
+    own = F.sequence(F.lit(1).cast("bigint"), F.least(F.col("copies") - F.col("start_"), F.lit(_RUN)))
+    return parts.withColumn("copy_", F.explode(own)).drop("start_", "copy_", "copies")
 
 
 def mart_default_risk(risk: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import catalog, columns
 from tributary.operators import dependencies as D
-from tributary.operators import graph
+from tributary.operators import graph, windows
 from tributary.queries import inputs as I
 from tributary.queries.registry import node_text, plain, query
 from tributary.sources import files
@@ -277,9 +277,16 @@ def layer_rollup(spark, sf):
     return catalog.layer_rollup(_models(spark, sf))
 
 
-@query("o3_sorted_models", _C + "SELECT layer, count(*) AS model_count FROM models GROUP BY layer")
-def layer_counts(spark, sf):
-    return catalog.layer_counts(_models(spark, sf)).orderBy("layer")
+@query(
+    "o3_sorted_models",
+    _C + """SELECT layer, project_id, name, row_number() OVER (PARTITION BY layer ORDER BY name, project_id) AS place,
+      count(*) OVER (PARTITION BY layer) AS model_count FROM models""",
+)
+def sorted_models(spark, sf):
+    """Place of each model in the listing of its layer, and the layer's size."""
+    models = _models(spark, sf)
+    placed = windows.with_positions(models.select("layer", "project_id", "name"), ["layer"], ["name", "project_id"], name="place")
+    return plain(placed.join(catalog.layer_counts(models), "layer").select("layer", "project_id", "name", "place", "model_count"))
 
 
 @query("g8_column_terminals", _NODES + """SELECT model || '.' || column_name AS node FROM nodes n

@@ -8,26 +8,19 @@ broadcast when its files are under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
-_local_root: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as configured on the session."""
-    global _local_root
     configured = spark.conf.get(_DIR_KEY, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError(f"set {_DIR_KEY} to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="tributary-")
-    return _local_root
+    return configured.rstrip("/")
 
 
 class Scratch:
@@ -49,7 +42,13 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that a later round has replaced."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Delete the run's folder; only after its results have been written elsewhere."""
+        self._delete(self.path)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         conf = self.spark._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)

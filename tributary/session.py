@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,5 +20,7 @@ def local_session(cpus: str | int = "*", name: str = "tributary") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine: any folder is shared
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tributary-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 # Status reasons and the text shown for each.
 MESSAGES = {
     "found": "Using compiled artifacts from target/manifest.json.",
-    "generated": "Generated target/manifest.json via `dbt parse` and now using it.",
     "not_generated": "target/manifest.json not found — using the static SQL parser.",
-    "dbt_cli_unavailable": "`dbt` CLI not found on PATH — using the static SQL parser.",
-    "no_profile": "No profiles.yml found for this project — using the static SQL parser.",
-    "dbt_parse_failed": "`dbt parse` failed — using the static SQL parser.",
     "unsupported_manifest_schema_version": "manifest.json schema version is not supported — using the static SQL parser.",
     "manifest_parse_failed": "target/manifest.json could not be parsed — using the static SQL parser.",
 }

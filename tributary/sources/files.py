@@ -18,7 +18,7 @@ def relative_to(spark: SparkSession, root: str, path: Column | str) -> Column:
     """A file's path below ``root``, whatever scheme and authority it was listed with."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     plain = F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    return F.replace(plain, F.lit(base), F.lit(""))
+    return F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)
 
 
 def read_sql_files(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:

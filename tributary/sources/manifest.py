@@ -17,6 +17,7 @@ from tributary.scratch import Scratch
 SUPPORTED_VERSIONS = ("v11", "v12")
 VERSION_PATTERN = r"manifest/(v\d+)\.json"
 DEFAULT_ROOT = "models"
+TARGET_FOLDER, MANIFEST_FILE = "target", "manifest.json"
 
 SCHEMA = """
 metadata STRUCT<dbt_schema_version: STRING, dbt_version: STRING, project_name: STRING, adapter_type: STRING>,
@@ -32,15 +33,27 @@ _corrupt STRING
 """
 
 
-def read_manifests(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Manifest files below ``path``: ``project_id, text``; the project is the folder above ``target``."""
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.json"}
-    project = lambda path: F.regexp_replace(path, r"(/target)?/[^/]*$", "").alias("project_id")
-    if one_per_line:
-        lines = spark.read.options(**options).text(path)
-        return lines.select(project(F.col("_metadata.file_path")), F.col("value").alias("text"))
-    files = spark.read.format("binaryFile").options(**options).load(path)
-    return files.select(project(F.col("path")), F.col("content").cast("string").alias("text"))
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """``project_id, text`` of every ``target/manifest.json`` below ``path``; the project is the folder above ``target``.
+
+    Other JSON files of a target folder, and manifests elsewhere, are not read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", MANIFEST_FILE)
+    files = reader.load(path).where(F.col("path").endswith(f"/{TARGET_FOLDER}/{MANIFEST_FILE}"))
+    project = F.left("path", F.length("path") - F.lit(len(f"/{TARGET_FOLDER}/{MANIFEST_FILE}")))
+    return files.select(project.alias("project_id"), F.col("content").cast("string").alias("text"))
+
+
+def read_manifest_lines(spark: SparkSession, path: str, id_path: str = "$.project_id") -> DataFrame:
+    """``project_id, text`` of JSON lines, one manifest each, as a fleet's collector writes them.
+
+    The id is the text at ``id_path`` of a line, never the file: lines of one file are different
+    projects. A line without it (or that is no JSON) is a project of its own, named by a hash.
+    """
+    lines = spark.read.text(path)
+    told = F.nullif(F.get_json_object("value", id_path), F.lit(""))
+    own = F.concat(F.lit("line:"), F.sha2("value", 256))
+    return lines.select(F.coalesce(told, own).alias("project_id"), F.col("value").alias("text"))
 
 
 def parse_manifests(documents: DataFrame) -> DataFrame:
