@@ -140,3 +140,28 @@ def test_statement_profile(spark):
 def test_skeleton_follows_deep_nesting(spark):
     text = "f(" * 40 + "a" + ")" * 40 + " + g((b))"
     assert one(spark, X.skeleton, text) == "f() + g()"
+
+
+def test_comments_leave_a_blank_and_keywords_go_by_place(spark):
+    from tributary.functions import expressions as X
+
+    cases = {
+        "from/*h*/orders": "from orders",
+        "'a--b' || x -- 'c'": "'a--b' || x  ",
+    }
+    for sql, want in cases.items():
+        row = spark.createDataFrame([(sql,)], "s string").select(X.without_comments(F.col("s")).alias("o")).first()
+        assert row.o.rstrip() == want.rstrip()
+    refs = {
+        "first + s.last + range": ["first", "s.last", "range"],
+        'sum(s."Amt") over (order by s.day nulls last rows between unbounded preceding and current row)': ["s.Amt", "s.day"],
+        "sum(x) filter (where rows > 1)": ["x", "rows"],
+        "d + interval '1 day'": ["d"],
+    }
+    for text, want in refs.items():
+        got = spark.createDataFrame([(text,)], "s string").select(X.referenced_columns(X.code_of(F.col("s"))).alias("o")).first().o
+        assert got == want, text
+    kinds = {('s."Amt"', "Amt"): "direct", ('s."Amt"', "other"): "rename"}
+    for (text, name), want in kinds.items():
+        row = spark.createDataFrame([(text, name)], "s string, n string").select(X.transformation_type(F.col("s"), F.col("n")).alias("o")).first()
+        assert row.o == want

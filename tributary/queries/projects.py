@@ -113,6 +113,25 @@ def project_roots(spark, sf):
     return files.project_roots(_inventory(spark, sf))
 
 
+@query(
+    "s7_fleet_models",
+    """SELECT 'f' || c_nationkey || '/p' || c_custkey AS project_id, f.name, f.layer FROM customer,
+      (VALUES ('a', 'staging'), ('_b', 'staging'), ('c', 'unknown')) f(name, layer)""",
+)
+def fleet_models(spark, sf):
+    """Files of one project per customer: model folders differ by customer, ``_`` names and empty files count, others don't."""
+    customers = I.table(spark, sf, "customer")
+    root = F.format_string("f%d/p%d", "c_nationkey", "c_custkey")
+    folder = F.when(F.col("c_custkey") % 2 == 0, "models").otherwise("sql/core")
+    found = [("dbt_project.yml", ""), ("@/staging/a.sql", "select 1"), ("@/staging/_b.sql", "select 2"), ("@/_base/c.sql", ""), ("other/d.sql", "select 3"), ("@/x.yml", "")]
+    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in found)))
+    listed = customers.select(root.alias("root"), folder.alias("folder"), rows.alias("f"))
+    inventory = listed.select(F.concat_ws("/", "root", F.replace("f.p", F.lit("@"), "folder")).alias("path"), F.col("f.t").alias("raw_sql"))
+    assigned = files.assign_projects(inventory, files.project_roots(inventory.select("path")))
+    folders = customers.select(root.alias("project_id"), folder.alias("model_root"))
+    return files.fleet_models(assigned, folders).select("project_id", "name", "layer")
+
+
 def _projects(spark, sf):
     accepted, rejected = manifest.split_by_version(_parsed(spark, sf))
     static = I.table(spark, sf, "orders").select(

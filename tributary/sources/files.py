@@ -24,7 +24,8 @@ def relative_to(spark: SparkSession, root: str, path: Column | str) -> Column:
 def read_sql_files(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
     """All ``*.sql`` below ``root``: ``project_id, relative_path, raw_sql``.
 
-    Spark's file sources pass over files of zero bytes, so such a file is no model here.
+    Spark's file sources pass over files of zero bytes and names that begin with ``_`` or ``.``, so
+    such files are no models here; where they matter, hand a lister's table to :func:`assign_projects`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.option("pathGlobFilter", "*.sql").load(root)
@@ -35,11 +36,14 @@ def read_sql_files(spark: SparkSession, root: str, project_id: str | None = None
     )
 
 
-def sql_models(files: DataFrame, roots: Sequence[str] = ("models",)) -> DataFrame:
-    """The ``models`` table of projects without a manifest, from ``project_id, relative_path, raw_sql``."""
+def sql_models(files: DataFrame, roots: Sequence[str] | None = ("models",)) -> DataFrame:
+    """The ``models`` table of projects without a manifest, from ``project_id, relative_path, raw_sql``.
+
+    ``roots`` are the model folders; None takes all files.
+    """
     path = F.col("relative_path")
-    under = F.lit(False)
-    for root in roots:
+    under = F.lit(roots is None)
+    for root in roots or ():
         under = under | path.startswith(root.rstrip("/") + "/")
     text = lambda: F.lit(None).cast("string")
     return files.where(under & path.endswith(".sql")).select(
@@ -104,3 +108,39 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files below ``root``, relative to it; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     return files.select(relative_to(spark, root, "path").alias("path"))
+
+
+def yaml_files(inventory: DataFrame) -> DataFrame:
+    """The YAML files of an inventory ``project_id, relative_path``, for the project summary."""
+    return inventory.where(F.lower("relative_path").rlike(r"\.ya?ml$")).select("project_id", "relative_path")
+
+
+def assign_projects(inventory: DataFrame, roots: DataFrame, max_depth: int = 4) -> DataFrame:
+    """Files of a whole fleet with the project they belong to, in one job.
+
+    ``inventory`` has ``path`` and any other columns, from any lister: what Spark's own file sources
+    pass over (names that begin with ``_`` or ``.``, files of zero bytes) is kept if the lister has it.
+    ``roots`` is the result of :func:`project_roots`. A file goes to the root that is one of its
+    folders (roots are not nested, so there is one at most); others are left out. The result has
+    ``project_id`` (the root's path), ``relative_path`` below it and the other columns.
+    """
+    parts = F.split("path", "/")
+    lengths = F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(max_depth)))
+    folders = inventory.withColumn("n_", F.explode(lengths)).withColumn("project_id", F.array_join(F.slice(parts, F.lit(1), F.col("n_")), "/"))
+    known = roots.select(F.col("relative_path").alias("project_id")).distinct()
+    below = F.array_join(F.slice(parts, F.col("n_") + 1, F.size(parts)), "/")
+    rest = [c for c in inventory.columns if c != "path"]
+    return folders.join(known, "project_id").select("project_id", below.alias("relative_path"), *rest)
+
+
+def fleet_models(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """:func:`sql_models` of many projects, each with its own model folders ``project_id, model_root``.
+
+    ``files`` is ``project_id, relative_path, raw_sql``, as :func:`assign_projects` gives it.
+    """
+    parts = F.split("relative_path", "/")
+    above = files.withColumn("n_", F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))))
+    above = above.withColumn("model_root", F.array_join(F.slice(parts, F.lit(1), F.col("n_")), "/"))
+    wanted = folders.select("project_id", F.rtrim(F.col("model_root"), F.lit("/")).alias("model_root")).distinct()
+    inside = above.join(wanted, ["project_id", "model_root"], "left_semi").select("project_id", "relative_path", "raw_sql").distinct()
+    return sql_models(inside, roots=None)

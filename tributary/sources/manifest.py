@@ -176,10 +176,10 @@ def manifest_sources(manifests: DataFrame) -> DataFrame:
 
 
 def source_columns(sources: DataFrame, mode: str = "manifest") -> DataFrame:
-    """The ``source_columns`` table: one row per declared column."""
+    """The ``source_columns`` table: one row per declared column; a table without any keeps one row with a null column."""
     return sources.select(
         "project_id", "source_name", "table_name", "identifier", "schema_name",
-        F.explode("columns").alias("column"), F.lit(mode).alias("mode"),
+        F.explode_outer("columns").alias("column"), F.lit(mode).alias("mode"),
     )
 
 

@@ -30,12 +30,15 @@ def lineage_payload(
     def records(df: DataFrame, section: str, *fields) -> DataFrame:
         return df.select("target", F.lit(section).alias("section"), F.to_json(F.struct(*fields)).alias("record"))
 
+    keyed = "node" in chain.schema["node"].dataType.names  # as graph.by_project makes them
+
+    def parts(end: str, *names: str) -> list:
+        project = [F.col(f"{end}.project_id").alias("project_id")] if keyed else []
+        return project + [F.col(f"{end}.node.{n}" if keyed else f"{end}.{n}").alias(n) for n in names]
+
     start = chain.where("depth = 0")
-    out = records(
-        start, "target", F.col("target.column").alias("column"), F.col("target.model").alias("model"),
-        F.col("target.layer").alias("layer"), F.lit(direction).alias("direction"),
-    )
-    out = out.unionByName(records(chain, "chain", "node.model", "node.column", "node.layer"))
+    out = records(start, "target", *parts("target", "column", "model", "layer"), F.lit(direction).alias("direction"))
+    out = out.unionByName(records(chain, "chain", *parts("node", "model", "column", "layer")))
     inside = graph.closed_edges(edges, chain, direction)
     out = out.unionByName(
         records(inside, "edges", F.col("src").alias("source"), F.col("dst").alias("target"), "transformation_type", "expression_sql")
