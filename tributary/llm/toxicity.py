@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if "part" not in picked.columns:
         return None
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    rows = texts.join(picked, "id").persist()
+    rows = texts.join(F.broadcast(picked), "id").persist()  # at most about 2 * FIT_ROWS labels
     try:
         met = _expressions(rows.filter("part > 0").select("toxic", "text")).persist()
         corpus = _dense(_corpus_counts(docs, text_col).toPandas(), "n") + 1.0
