@@ -93,8 +93,13 @@ def split_by_version(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest_nodes(manifests: DataFrame) -> DataFrame:
-    """All nodes, one row each: ``project_id`` and the node's fields."""
-    return manifests.select("project_id", F.explode(F.map_values("nodes")).alias("node")).select("project_id", "node.*")
+    """All nodes, one row each: ``project_id`` and the node's fields.
+
+    Stored with a column for each field, so that readers of a few fields (test counts, dependencies,
+    model folders) do not read the SQL text.
+    """
+    nodes = manifests.select("project_id", F.explode(F.map_values("nodes")).alias("node")).select("project_id", "node.*")
+    return Scratch(manifests.sparkSession, "manifest-nodes").save(nodes, "nodes")
 
 
 def _id_part(unique_id: Column | str, position: int) -> Column:
