@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.scratch import Scratch
 
 
+#: Links that are joined in one task at most; more take rounds of stars. Both ways give the same components.
+LOCAL_LINKS = 500_000
+
+
 def _directed(links: DataFrame) -> DataFrame:
     """Each link once, from the larger end to the smaller."""
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
@@ -25,13 +32,35 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return _directed(moved)
 
 
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in batch[["a", "b"]].itertuples(index=False, name=None):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        yield pd.DataFrame([(x, top(x)) for x in up], columns=["node", "root"])
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, root`` for the nodes of ``a, b`` links: the least node of each component.
 
-    Alternates large and small stars (logarithmically many rounds); neighbours are never gathered,
-    so one node may hold any share of the links. Null ends and links of a node to itself don't count.
+    More than ``LOCAL_LINKS`` links alternate large and small stars (logarithmically many rounds);
+    neighbours are never gathered, so one node may hold any share of the links. Null ends and links of a node to itself don't count.
     """
     now = scratch.save(_directed(links.filter("a is not null and b is not null")), f"{name}-0")
+    if now.count() <= LOCAL_LINKS:
+        kind = now.schema["a"].dataType.simpleString()
+        return scratch.save(now.coalesce(1).mapInPandas(_united, f"node {kind}, root {kind}"), f"{name}-roots")
     mark = None
     round_no = 0
     while True:

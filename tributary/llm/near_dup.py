@@ -11,9 +11,10 @@ No group is expanded into pairs. Byte-equal texts are one node. In each bucket e
 compared with the bucket's leader, the text that shares most with all the others (of an original
 and its copies, the original). Links are joined to components. What is left are buckets with more
 than one component: there, the texts outside a bucket's largest component are compared with all of
-it, in blocks, by the MinHash values first; only pairs of different components whose values agree
-well enough leave a task. A true pair is missed if its texts share none of the ``SKETCHES`` keys
-(3 in a million at the threshold) or agree in fewer than ``AGREE`` values (rarer still).
+it, in blocks, first by size, then by one-permutation MinHash values (the least shingle hash in each
+of ``BINS`` ranges); only pairs of different components whose values let the threshold seem possible
+leave a task. A true pair at the threshold is missed if its texts share none of the ``SKETCHES`` keys
+(3 in a million), or if their values are ``DOUBT`` standard deviations off (3 in 100,000).
 """
 
 from __future__ import annotations
@@ -36,10 +37,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 LENGTH = 5
-AGREE = 13
+BINS, FIRST_BINS = 256, 64
+DOUBT = 4.0
 #: Texts compared with a block at once, and texts in a block, of a bucket with several components.
 ROWS_BLOCK, LEADERS_BLOCK = 2_000, 200
 
+#: Shingles that a verifying task keeps, so that a text in many pairs is cut once.
+_HELD = 4_000_000
+
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.random.default_rng(20_240).integers(1, 2**63, (3, SKETCHES), dtype=np.uint64) | np.uint64(1)
 _SHIFT = np.uint64(29)
@@ -81,19 +86,29 @@ def shingles(text: str) -> np.ndarray:
     return out
 
 
-def sketch(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (signed 64 bits) and MinHash values (32 bits) of a text's shingles."""
+def sketch(marks: np.ndarray) -> np.ndarray:
+    """Bucket keys (signed 64 bits) of a text's shingles."""
     rows = (marks[None, :] ^ _MIX[0][:, None]) * _MIX[1][:, None]
     rows ^= rows >> _SHIFT
     rows *= _MIX[2][:, None]
     take = min(LENGTH, len(marks))
     at = np.argpartition(rows, take - 1, axis=1)[:, :take] if take < len(marks) else np.tile(np.arange(take), (SKETCHES, 1))
-    least = np.take_along_axis(rows, at, 1).min(1)
     at.sort(axis=1)
     keys = np.arange(SKETCHES, dtype=np.uint64) + np.uint64(take << 8)
     for i in range(take):
         keys = _mixed(keys * np.uint64(0x100000001B3) + marks[at[:, i]])
-    return keys.view(np.int64), (least >> np.uint64(32)).astype(np.uint32)
+    return keys.view(np.int64)
+
+
+def binned(marks: np.ndarray) -> np.ndarray:
+    """16 bits of the least shingle hash in each of ``BINS`` equal ranges, 0 for a range without any."""
+    ranked = np.sort(marks)
+    first = np.searchsorted(ranked >> np.uint64(56), np.arange(BINS, dtype=np.uint64))
+    inside = first < len(ranked)
+    inside[inside] = (ranked[first[inside]] >> np.uint64(56)) == np.flatnonzero(inside)
+    out = np.zeros(BINS, np.uint16)
+    out[inside] = (ranked[first[inside]] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
@@ -134,9 +149,12 @@ def _sketches(nodes: DataFrame) -> DataFrame:
             for run in blocks(batch["text"]):
                 found = [(i, shingles(t)) for i, t in enumerate(run, start)]
                 start += len(run)
-                kept = [(batch["node"].iat[i], len(m), *sketch(m)) for i, m in found if len(m)]
+                kept = [(batch["node"].iat[i], len(m), sketch(m), binned(m).tobytes()) for i, m in found if len(m)]
+                kept = [(node, n, keys, mins + keys.tobytes()) for node, n, keys, mins in kept]
+                if not kept:
+                    continue
                 yield pd.DataFrame(
-                    {"node": [k[0] for k in kept], "n": [k[1] for k in kept], "keys": [k[2] for k in kept], "mins": [k[3].tobytes() for k in kept]}
+                    {"node": [k[0] for k in kept], "n": [k[1] for k in kept], "keys": [k[2] for k in kept], "mins": [k[3] for k in kept]}
                 )
 
     return nodes.mapInPandas(work, "node binary, n long, keys array<long>, mins binary")
@@ -146,15 +164,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
     """The ``a, b`` pairs that the alignment confirms."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            known: dict[bytes, np.ndarray] = {}
             good = []
             for a, b, text_a, text_b in batch[["a", "b", "text_a", "text_b"]].itertuples(index=False):
-                if len(known) > 2_000:
+                if held > _HELD:
                     known.clear()
+                    held = 0
                 for node, text in ((a, text_a), (b, text_b)):
                     if node not in known:
                         known[node] = shingles(text)
+                        held += len(known[node])
                 good.append(similarity(known[a], known[b]) >= SIMILARITY)
             yield batch.loc[good, ["a", "b"]]
 
@@ -163,28 +184,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
     return scratch.save(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a binary, b binary"), name)
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal MinHash values of each row of ``a`` with each row of ``b``."""
-    out = np.zeros((len(a), len(b)), dtype=np.int16)
-    for i in range(SKETCHES):
-        out += a[:, i][:, None] == b[:, i][None, :]
-    return out
+def _possible(a: np.ndarray, b: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """Which rows of ``b`` (bins of texts with ``sizes`` shingles) can be similar to ``a`` (``n`` shingles)."""
+    used = np.maximum(((a != 0) | (b != 0)).sum(1), 1)
+    ratio = ((a == b) & (a != 0)).sum(1) / used
+    union = (n + sizes) / (1 + SIMILARITY)
+    spread = np.sqrt(SIMILARITY * (1 - SIMILARITY) / used * np.clip(1 - used / union, 0.1, 1))
+    return ratio >= SIMILARITY - DOUBT * spread - 1 / used
+
 
+def _cross(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Pairs of different components in one block of a bucket whose sizes and bins can reach the threshold.
 
-def _cross(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one block of a bucket whose sizes and values can reach the threshold."""
-    lead, rest = group[group["lead"]], group[~group["lead"]]
-    empty = pd.DataFrame({"a": [], "b": []}, dtype=object)
-    if lead.empty or rest.empty:
-        return empty
-    values = [np.frombuffer(b"".join(x["mins"]), dtype=np.uint32).reshape(-1, SKETCHES) for x in (lead, rest)]
-    n, m = lead["n"].to_numpy()[:, None], rest["n"].to_numpy()[None, :]
-    roots = pd.factorize(pd.concat([lead["root"], rest["root"]]))[0]
-    apart = roots[: len(lead)][:, None] != roots[len(lead) :][None, :]
-    fit = apart & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)) & (_agree(*values) >= AGREE)
-    i, j = np.nonzero(fit)
-    left, right = lead["node"].to_numpy()[i], rest["node"].to_numpy()[j]
-    return pd.DataFrame({"a": [min(x, y) for x, y in zip(left, right, strict=True)], "b": [max(x, y) for x, y in zip(left, right, strict=True)]}, dtype=object)
+    A pair comes from the first of the buckets it shares, and from one side of it, so it comes once.
+    """
+    key = rows["key"].iat[0]
+    minor = rows["minor"].to_numpy(dtype=bool)
+    leads = rows["lead"].to_numpy(dtype=bool)
+    sizes, nodes, roots, mins = (rows[c].to_numpy() for c in ("n", "node", "root", "mins"))
+    rest = np.flatnonzero(~leads)
+    rest = rest[np.argsort(sizes[rest], kind="stable")]
+    if not leads.any() or not len(rest):
+        return []
+    other = np.frombuffer(b"".join(m[: 2 * BINS] for m in mins[rest]), dtype=np.uint16).reshape(-1, BINS)
+    keys = np.frombuffer(b"".join(m[2 * BINS :] for m in mins[rest]), dtype=np.int64).reshape(-1, SKETCHES)
+    head = np.ascontiguousarray(other[:, :FIRST_BINS])
+    size, pairs = sizes[rest], set()
+    for i in np.flatnonzero(leads).tolist():
+        node, n, root, own = nodes[i], sizes[i], roots[i], np.frombuffer(mins[i][: 2 * BINS], dtype=np.uint16)
+        low, high = np.searchsorted(size, [SIMILARITY * n - 1e-9, n / SIMILARITY + 1e-9])
+        at = np.arange(low, high)
+        at = at[roots[rest[at]] != root]
+        at = at[_possible(own[:FIRST_BINS], head[at], n, size[at])]
+        at = at[_possible(own, other[at], n, size[at])]
+        mine = np.frombuffer(mins[i][2 * BINS :], dtype=np.int64)
+        at = at[mine[(keys[at] == mine).argmax(1)] == key]
+        pairs.update((min(node, nodes[j]), max(node, nodes[j])) for j in rest[at].tolist() if not minor[j] or node < nodes[j])
+    return sorted(pairs)
+
+
+def _crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """:func:`_cross` for each run of equal ``key, block, salt`` in sorted rows; a run may go over several batches."""
+    held = pd.DataFrame()
+
+    def runs(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        mark = rows[["key", "block", "salt"]].to_numpy()
+        starts = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]).any(1)))
+        ends = np.append(starts[1:], len(rows))
+        done = len(starts) if last else len(starts) - 1
+        pairs = [p for a, b in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True) if b - a > 1 for p in _cross(rows.iloc[a:b])]
+        return pd.DataFrame(sorted(set(pairs)), columns=["a", "b"], dtype=object), rows.iloc[starts[-1] :] if not last else rows.iloc[:0]
+
+    for batch in batches:
+        if len(batch):
+            out, held = runs(pd.concat([held, batch], ignore_index=True) if len(held) else batch, False)
+            if len(out):
+                yield out
+    if len(held):
+        out, _ = runs(held, True)
+        if len(out):
+            yield out
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -200,11 +259,14 @@ def _left_over(rows: DataFrame, sketches: DataFrame, roots: DataFrame, scratch:
     rows = rows.join(mixed, "key").join(sketches.select("node", "n", "mins"), "node")
     rows = rows.withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / LEADERS_BLOCK).cast("int")).withColumn("salts", F.ceil(F.col("all") / ROWS_BLOCK).cast("int"))
     place = F.xxhash64("node", F.lit(5))
-    common = ("key", "node", "n", "mins", "root")
+    rows = rows.withColumn("minor", F.col("root") != F.col("major"))
+    common = ("key", "node", "n", "mins", "root", "minor")
     every = rows.select(*common, F.lit(False).alias("lead"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, "salts").cast("int").alias("salt"))
-    minor = rows.filter("root != major")
+    minor = rows.filter("minor")
     lead = minor.select(*common, F.lit(True).alias("lead"), F.pmod(place, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return every.unionByName(lead).groupBy("key", "block", "salt").applyInPandas(_cross, "a binary, b binary").distinct()
+    place = ("key", "block", "salt")
+    dealt = every.unionByName(lead).repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInPandas(_crossed, "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
