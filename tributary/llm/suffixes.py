@@ -6,16 +6,16 @@ are taken at anchors: places whose ``GRAM`` bytes have the smallest hash in some
 found at an anchor, and there are only about two anchors for each 70 bytes.
 
 1. Anchors whose bytes occur once are left out by two bitmaps of fixed size (they may let
-   through some that occur once, never hold back others).
+   through some that occur once, never hold back others). The same pass samples leading bytes.
 2. The suffixes of the rest (``LENGTH`` bytes from the anchor, and the bytes before it that a
-   window may reach) are range-partitioned by their leading bytes with splitters that Spark samples.
-   Equal surroundings within a task are sent once; the later ones are removed where they are.
+   window may reach) are range-partitioned by their leading bytes; splitters are quantiles of the
+   sample. Equal surroundings within a task are sent once; the later ones are removed where they are.
 3. Each bucket sorts its suffixes by multikey quicksort (eight bytes at a time, only tied runs go
    on) and compares neighbours. For each offset, the rows of a run with enough common bytes to the
    right and equal bytes to the left hold one window; all but the earliest are removed.
-4. Runs that touch the ends of a bucket may go on in the next one: their windows are compared
-   across buckets by a grouped minimum. A run over many buckets (a hot passage) is spread by a salt
-   in the range key and takes this way too.
+4. Leading bytes that are a splitter ``HOT`` times or more (a passage that a large share of the
+   documents have) would make one bucket too large. Their suffixes are dealt over as many buckets,
+   and the windows are compared across the boundaries by a minimum for each distinct window.
 
 Windows are told apart by exact bytes to the right and 64-bit hashes to the left within a bucket,
 and by 128-bit hashes across buckets.
@@ -23,7 +23,9 @@ and by 128-bit hashes across buckets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,9 +42,12 @@ _REACH = LENGTH - GRAM  # bytes before an anchor that a window around it may hav
 #: Bits of each of the two bitmaps. More bits keep out more anchors on larger inputs; the result is the same.
 BITMAP_BITS = 27
 _RANGE_BITS = 19
-#: Suffixes in a bucket, on average.
-BUCKET_ROWS = 40_000
-_FLUSH_ANCHORS, _FLUSH_ROWS = 2_000_000, 60_000
+#: Anchors in a bucket, on average, before those that occur once have gone.
+BUCKET_ROWS = 100_000
+HOT = 8
+#: Leading bytes sampled for the splitters, in all and by a task.
+SAMPLE, TASK_SAMPLE = 20_000, 400
+_FLUSH_ANCHORS, _FLUSH_ROWS = 2_000_000, 150_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,12 +98,27 @@ def _bytes(texts: pd.Series) -> Iterator[np.ndarray]:
     return (np.frombuffer((t or "").encode(), dtype=np.uint8) for t in texts)
 
 
-def _repeated(rows: DataFrame) -> list[np.ndarray]:
-    """Two bitmaps of the slots that are met twice or more; their size does not depend on the input."""
+def _packed(slots: np.ndarray) -> bytes:
+    """Sorted slots as compressed steps."""
+    return zlib.compress(np.diff(slots, prepend=np.uint32(0)).astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint32), dtype=np.uint32)
+
+
+def _surveyed(rows: DataFrame, scratch: Scratch) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Two bitmaps of the slots met twice or more, a sorted sample of leading bytes, and the number of anchors.
+
+    The sizes of the bitmaps and of the sample do not depend on the input.
+    """
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
-        size = 0
+        size = total = 0
+        picked: list[tuple[int, bytes]] = []
+
+        mask = np.uint32((1 << _RANGE_BITS) - 1)
 
         def flush() -> Iterator[pd.DataFrame]:
             for which, x in enumerate(_slots(np.concatenate(held))):
@@ -106,51 +126,97 @@ def _repeated(rows: DataFrame) -> list[np.ndarray]:
                 parts = slot >> np.uint32(_RANGE_BITS)
                 cuts = np.flatnonzero(np.diff(parts)) + 1
                 runs = zip(np.split(slot, cuts), np.split(n, cuts), strict=True)
-                packed = [(which << 16 | int(s[0] >> np.uint32(_RANGE_BITS)), s.tobytes(), s[c > 1].tobytes()) for s, c in runs if len(s)]
+                packed = [(which << 16 | int(s[0] >> np.uint32(_RANGE_BITS)), _packed(s & mask), _packed(s[c > 1] & mask)) for s, c in runs if len(s)]
                 yield pd.DataFrame(packed, columns=["part", "met", "again"])
 
         for batch in batches:
-            for data in _bytes(batch["text"]):
-                held.append(anchors(data)[1])
-                size += len(held[-1])
+            for h, data in zip(batch["h"], _bytes(batch["text"]), strict=True):
+                places, hashes = anchors(data)
+                held.append(hashes)
+                size += len(places)
+                total += len(places)
+                if len(places):
+                    turn = _mixed(places.astype(np.uint64) + np.uint64(h & 0xFFFFFFFFFFFFFFFF))
+                    few = np.argsort(turn, kind="stable")[: 1 + len(places) // 50]
+                    picked += [(int(turn[i] >> np.uint64(1)), data[places[i] : places[i] + GRAM].tobytes()) for i in few.tolist()]
+                    if len(picked) > 20 * TASK_SAMPLE:
+                        picked = sorted(picked)[:TASK_SAMPLE]
                 if size > _FLUSH_ANCHORS:
                     yield from flush()
                     held, size = [], 0
         if size:
             yield from flush()
+        yield pd.DataFrame([(-1, lead, turn.to_bytes(8, "big")) for turn, lead in sorted(picked)[:TASK_SAMPLE]], columns=["part", "met", "again"])
+        yield pd.DataFrame([(-2, b"", total.to_bytes(8, "big"))], columns=["part", "met", "again"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mask = np.uint32((1 << _RANGE_BITS) - 1)
         state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for part, met, again in batch.itertuples(index=False):
                 once, twice = state.setdefault(part, (np.zeros(1 << _RANGE_BITS, bool), np.zeros(1 << _RANGE_BITS, bool)))
-                s = np.frombuffer(met, np.uint32) & mask
+                s = _unpacked(met)
                 twice[s] |= once[s]
                 once[s] = True
-                twice[np.frombuffer(again, np.uint32) & mask] = True
+                twice[_unpacked(again)] = True
         yield pd.DataFrame([(p, np.packbits(t).tobytes()) for p, (_, t) in state.items()], columns=["part", "bits"])
 
-    parts = rows.select("text").mapInPandas(slots, "part int, met binary, again binary")
-    merged = parts.repartition("part").mapInPandas(merge, "part int, bits binary").collect()  # at most 2 ** (BITMAP_BITS - 2) bytes
+    parts = scratch.save(rows.select("h", "text").mapInPandas(slots, "part int, met binary, again binary"), "slots")
+    leads = [bytes(r["met"]) for r in parts.filter("part = -1").orderBy("again").limit(SAMPLE).select("met").collect()]
+    n = parts.filter("part = -2").agg(F.coalesce(F.sum(F.conv(F.hex("again"), 16, 10).cast("long")), F.lit(0))).first()[0]
+    merged = parts.filter("part >= 0").repartition("part").mapInPandas(merge, "part int, bits binary").collect()  # at most 2 ** (BITMAP_BITS - 2) bytes
+    scratch.drop("slots")
     maps = [np.zeros(1 << (BITMAP_BITS - 3), np.uint8) for _ in range(2)]
     width = 1 << (_RANGE_BITS - 3)
     for part, bits in merged:
         at = (part & 0xFFFF) * width
         maps[part >> 16][at : at + width] = np.frombuffer(bits, np.uint8)
-    return maps
+    return maps, np.sort(np.array(leads, dtype=f"S{GRAM}")), n
+
+
+@dataclass
+class Splitters:
+    """Where the buckets begin, and the leading bytes that are dealt over several buckets."""
+
+    cuts: np.ndarray
+    hot: dict[bytes, tuple[int, int]]  # first bucket and number of buckets
+
+    @property
+    def buckets(self) -> int:
+        return len(self.cuts) + 1 + sum(n for _, n in self.hot.values())
+
+    def bucket_of(self, leads: list[bytes], salt: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.cuts, np.array(leads, dtype=f"S{GRAM}"), side="right").astype(np.int64)
+        if self.hot:
+            for i, lead in enumerate(leads):
+                if lead in self.hot:
+                    first, n = self.hot[lead]
+                    out[i] = first + salt[i] % n
+        return out
+
+
+def splitters(sample: np.ndarray, buckets: int) -> Splitters:
+    """Quantiles of sorted leading bytes; a value that is several of them is a hot one."""
+    if not len(sample) or buckets < 2:
+        return Splitters(np.zeros(0, f"S{GRAM}"), {})
+    at = (np.arange(1, buckets) * len(sample)) // buckets
+    cuts, times = np.unique(sample[at], return_counts=True)
+    hot, first = {}, len(cuts) + 1
+    for cut, n in zip(cuts[times >= HOT], times[times >= HOT], strict=True):
+        hot[bytes(cut).ljust(GRAM, b"\0")] = (first, int(n))
+        first += int(n)
+    return Splitters(cuts, hot)
 
 
 def _is_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> np.uint32(3)] >> (np.uint8(7) - (slots & np.uint32(7)).astype(np.uint8))) & np.uint8(1) == 1
 
 
-_FOUND = "id long, h long, at long, left binary, right binary, stop long"
+_FOUND = "bucket int, id long, h long, at long, left binary, right binary, stop long"
 
 
-def _surroundings(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """Suffix rows (``stop`` null) and spans already known to be repeated (``at`` to ``stop``)."""
-    sent = rows.sparkSession.sparkContext.broadcast(maps)
+def _surroundings(rows: DataFrame, maps: list[np.ndarray], cuts: Splitters) -> DataFrame:
+    """Suffix rows (``stop`` null) with their bucket, and spans already known to be repeated (``at`` to ``stop``)."""
+    sent = rows.sparkSession.sparkContext.broadcast((*maps, cuts))
 
     def settle(found: list[tuple]) -> pd.DataFrame:
         """Of equal surroundings the earliest is sent on, the others are spans."""
@@ -159,11 +225,15 @@ def _surroundings(rows: DataFrame, maps: list[np.ndarray]) -> DataFrame:
         left, right = out["left"].str.len(), out["right"].str.len()
         spans = out[again & (left + right >= LENGTH)]
         spans = pd.DataFrame({"id": spans["id"], "h": spans["h"], "at": spans["at"] - left[spans.index], "stop": spans["at"] + right[spans.index]})
-        out["stop"] = None
-        return pd.concat([out[~again], _joined(spans).assign(left=None, right=None)])[["id", "h", "at", "left", "right", "stop"]]
+        spans = _joined(spans).assign(left=None, right=None)
+        spans["bucket"] = spans["at"] % sent.value[2].buckets  # spans only pass through
+        out = out[~again].assign(stop=None)
+        salt = (out["at"] + out["h"] % 1_000_003).to_numpy()
+        out["bucket"] = sent.value[2].bucket_of([x[:GRAM] for x in out["right"]], salt)
+        return pd.concat([out, spans])[["bucket", "id", "h", "at", "left", "right", "stop"]]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, second = sent.value
+        first, second, _ = sent.value
         found: list[tuple] = []
         for batch in batches:
             for doc, h, data in zip(batch["id"], batch["h"], _bytes(batch["text"]), strict=True):
@@ -270,26 +340,32 @@ def _windows(rows: pd.DataFrame, right: np.ndarray) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": rows["id"].to_numpy()[can], "h": rows["h"].to_numpy()[can], "at": at, "stop": None, "k1": keys[0], "k2": keys[1]})
 
 
-def _buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """Spans found within buckets (``stop`` set), and the windows of runs at the buckets' ends (``k1, k2`` set)."""
+def _buckets(found: DataFrame, cuts: Splitters) -> DataFrame:
+    """Spans known before or found within buckets (``stop`` set), and the windows of dealt-out runs (``k1, k2`` set)."""
+    plain = len(cuts.cuts) + 1
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if not held:
-            return
-        rows, right, common = _sorted_bucket(pd.concat(held, ignore_index=True))
+        held = []
+        for batch in batches:
+            known = batch["stop"].notna()
+            if known.any():
+                yield batch[known][["id", "h", "at", "stop"]].astype("int64").assign(k1=None, k2=None)
+            held.append(batch[~known])
+        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
         del held
+        if rows.empty:
+            return
+        rows, right, common = _sorted_bucket(rows)
+        dealt = rows["bucket"].to_numpy() >= plain
+        yield from _windows(rows[dealt], right[dealt])
         run = np.cumsum(common < GRAM)
-        edge = (run == run[0]) | (run == run[-1])
-        yield from _windows(rows[edge], right[edge])
-        several = ~edge & (np.bincount(run)[run] > 1)
+        several = ~dealt & (np.bincount(run)[run] > 1)
         inner = rows[several]
         if len(inner):
             spans = _joined(_repeats_in(inner, common[several]))
             yield spans.assign(k1=None, k2=None)
 
-    dealt = suffixes.withColumn("salt", F.pmod(F.xxhash64("id", "h", "at"), F.lit(1 << 20))).repartitionByRange(buckets, "right", "salt").drop("salt")
-    return dealt.mapInPandas(work, "id long, h long, at long, stop long, k1 long, k2 long")
+    return found.repartitionById(cuts.buckets, "bucket").mapInPandas(work, "id long, h long, at long, stop long, k1 long, k2 long")
 
 
 def _across(windows: DataFrame) -> DataFrame:
@@ -304,13 +380,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     rows = _keyed(docs, id_col, text_col).drop("out")
-    found = scratch.save(_surroundings(rows, _repeated(rows)), "found")
-    suffixes = found.filter("stop is null")
-    n = suffixes.count()
-    bucketed = scratch.save(_buckets(suffixes.select("id", "h", "at", "left", "right"), max(1, -(-n // BUCKET_ROWS))), "buckets")
-    inner = bucketed.filter("stop is not null").select("id", "h", "at", "stop")
-    ends = _across(bucketed.filter("stop is null").select("id", "h", "at", "k1", "k2"))
-    return found.filter("stop is not null").select("id", "h", "at", "stop").unionByName(inner).unionByName(ends)
+    maps, sample, n = _surveyed(rows, scratch)
+    cuts = splitters(sample, max(1, -(-n // BUCKET_ROWS)))
+    spans = scratch.save(_buckets(_surroundings(rows, maps, cuts), cuts), "buckets")
+    known = spans.filter("stop is not null").select("id", "h", "at", "stop")
+    return known.unionByName(_across(spans.filter("stop is null").select("id", "h", "at", "k1", "k2")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
