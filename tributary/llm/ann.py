@@ -160,16 +160,19 @@ def _scored(vectors: DataFrame, probes: DataFrame, splits: DataFrame, k: int) ->
         left = left.sort_values("id", kind="stable")
         x, q = _matrix(left["v"]), _matrix(right["q"])
         ids = left["id"].to_numpy()
-        rough, out = q @ x.T, []
-        take = min(k + 1, len(ids))
-        for i, (query, least) in enumerate(zip(right["query"], right["least"], strict=True)):
-            bar = max(np.partition(rough[i], len(ids) - take)[len(ids) - take], least) - _SLACK
-            at = np.flatnonzero(rough[i] >= bar)
-            at = at[ids[at] != query]
+        rough, least = q @ x.T, right["least"].to_numpy(dtype=float)
+        take, names, out = k + 1, right["query"].to_numpy(), []
+        reach = rough >= (least - _SLACK)[:, None]
+        for i in np.flatnonzero(reach.any(1)).tolist():
+            at = np.flatnonzero(reach[i])
+            if len(at) > take:
+                at = at[rough[i, at] >= np.partition(rough[i, at], len(at) - take)[len(at) - take] - _SLACK]
+            at = at[ids[at] != names[i]]
             score = (x[at] * q[i]).sum(1)
             order = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query": query, "id": ids[at][order], "score": score[order]}))
-        return pd.concat(out)
+            out.append((np.full(len(order), names[i]), ids[at][order], score[order]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(("query", "id", "score"), columns, strict=True)))
 
     salt = lambda c, n: F.pmod(F.xxhash64(c), n)
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
