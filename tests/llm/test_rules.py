@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tributary.llm import licenses, quality, toxicity
@@ -85,6 +86,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert again == {r["doc_id"]: r["score"] for r in got}
 
 
+def test_toxicity_does_not_follow_the_class_ratio(spark):
+    """The same ordinary texts once and seven times: the same model and curve."""
+    rng = np.random.default_rng(6)
+    x, y = np.append(rng.normal(2, 1, 90), rng.normal(0, 1, 90)), np.repeat([1.0, 0.0], 90)
+    many = np.append(np.ones(90, int), np.full(90, 7))
+    assert toxicity._fit_curve(np.repeat(x, many), np.repeat(y, many)) == pytest.approx(toxicity._fit_curve(x, y), rel=0.01)
+    counts = [(-1, 5, 200, 8), (-1, 6, 150, 150), (5, 6, 120, 0), (6, 6, 100, 110)]
+    gains = []
+    for n in (1, 7):
+        rows = spark.createDataFrame([(h, w, t, o * n) for h, w, t, o in counts], "h long, w long, toxic_n long, ordinary_n long")
+        shared = np.full(toxicity.WORD_SLOTS, 1 / toxicity.WORD_SLOTS)
+        model = toxicity._models(rows, shared, {"toxic_n": 300, "ordinary_n": 300 * n})
+        gains.append([model.toxic.word[5] - model.ordinary.word[5], *(model.toxic.gain - model.ordinary.gain)])
+    assert gains[1] == pytest.approx(gains[0], rel=0.1)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 0, 1), (3, 0, None), (5, 1, 7)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()

@@ -9,6 +9,9 @@ expression keeps class counts only where the two classes then differ by a factor
 more; for all others, above all the rare ones, both classes take the shared backoff, so that
 neither chance nor the language of a text moves the comparison.
 
+Texts are weighted so that both classes weigh the same, in the counts and in the curve, whatever
+their shares among the labelled rows are: the ratio of the classes is 1:1 at every size.
+
 The feature of a text is the difference of the two log-likelihoods over the square root of its
 number of words (the spread of such a sum grows with that root, so texts of any length compare),
 and a logistic curve fitted on rows that the counts have not seen turns it into a score.
@@ -40,11 +43,13 @@ FIT_ROWS = 8_000
 DISCOUNT = 0.75
 #: Weight of the shared distribution, as a share of a class's own counts.
 STRENGTH = 0.05
-#: Floor under shared counts, as a share of the fitted texts, and in texts at least.
+#: Floor under shared counts, as a share of the fitted texts, and in texts of the smaller class at
+#: least: what so few texts show is chance at any size.
 FLOOR = 0.0045
-LEAST_FLOOR = 25.0
-#: Two-word expressions met in fewer fitted texts have no counts of their own.
-MIN_SHARED = 20
+LEAST_FLOOR = 8.0
+#: Two-word expressions met in a smaller share of the fitted texts, or in fewer texts of the smaller
+#: class, have no counts of their own.
+MIN_SHARE, LEAST_SHARED = 1 / 600, 4.0
 RATIO = 10.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -149,37 +154,42 @@ def _dense(rows: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _levels(met: dict[str, np.ndarray], expected: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Log of discounted and interpolated counts over expected ones, 0 where the classes hardly differ."""
-    out = {c: np.log((np.maximum(n - DISCOUNT, 0) + STRENGTH * expected[c]) / ((1 + STRENGTH) * expected[c])) for c, n in met.items()}
+def _levels(met: dict[str, np.ndarray], expected: dict[str, np.ndarray], weight: dict[str, float]) -> dict[str, np.ndarray]:
+    """Log of discounted, weighted and interpolated counts over expected ones, 0 where the classes hardly differ."""
+    counts = {c: weight[c] * np.maximum(n - DISCOUNT, 0) for c, n in met.items()}
+    out = {c: np.log((n + STRENGTH * expected[c]) / ((1 + STRENGTH) * expected[c])) for c, n in counts.items()}
     difference = out["toxic_n"] - out["ordinary_n"]
     apart = np.abs(difference) >= np.log(RATIO)
     return {c: np.where(apart, x, 0.0) for c, x in out.items()}
 
 
 def _models(expressions: DataFrame, shared: np.ndarray, sizes: dict[str, float]) -> ToxicityModel:
-    """``sizes``: fitted texts of each class."""
+    """``sizes``: fitted texts of each class, not 0."""
+    texts = sum(sizes.values())
+    weigh = {c: texts / 2 / n for c, n in sizes.items()}
+    floor = max(LEAST_FLOOR * max(weigh.values()), FLOOR * texts)
+    least = max(LEAST_SHARED * max(weigh.values()), MIN_SHARE * texts)
     words = expressions.filter("h < 0").withColumnRenamed("w", "slot").toPandas()
-    pairs = expressions.filter(f"h >= 0 and toxic_n + ordinary_n >= {MIN_SHARED}").toPandas()
+    pairs = expressions.filter("h >= 0").filter(sum(F.col(c) * weigh[c] for c in sizes) >= least).toPandas()
     keys = (pairs["h"] * WORD_SLOTS + pairs["w"]).to_numpy(dtype=np.int64)
     order = np.argsort(keys)
     keys = keys[order]
     met = {c: _dense(words, c) for c in sizes}
-    total = {c: max(n.sum(), 1.0) for c, n in met.items()}
+    total = {c: max(weigh[c] * n.sum(), 1.0) for c, n in met.items()}
     share = {c: t / sum(total.values()) for c, t in total.items()}
-    floor = max(LEAST_FLOOR, FLOOR * sum(sizes.values()))
-    word = _levels(met, {c: share[c] * (shared * sum(total.values()) + floor) for c in met})
+    word = _levels(met, {c: share[c] * (shared * sum(total.values()) + floor) for c in met}, weigh)
     two = {c: pairs[c].to_numpy(dtype=float)[order] for c in met}
     weight = {c: share[c] * np.exp(word[c][keys % WORD_SLOTS]) for c in met}
     lead = {c: w / np.maximum(sum(weight.values()), 1e-12) for c, w in weight.items()}
-    gain = _levels(two, {c: lead[c] * (sum(two.values()) + floor) for c in met}) if len(keys) else two
+    both = sum(weigh[c] * n for c, n in two.items())
+    gain = _levels(two, {c: lead[c] * (both + floor) for c in met}, weigh) if len(keys) else two
     base = np.log(shared)
     toxic, ordinary = (ClassModel(base + word[c], gain[c]) for c in ("toxic_n", "ordinary_n"))
     return ToxicityModel(toxic, ordinary, keys)
 
 
 def _sample(rows: DataFrame) -> DataFrame:
-    """Labelled rows, at most about ``FIT_ROWS`` of each class and equally many of both, by a hash of the id."""
+    """Labelled rows, at most about ``FIT_ROWS`` of each class, by a hash of the id."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return rows.limit(0)
@@ -189,14 +199,15 @@ def _sample(rows: DataFrame) -> DataFrame:
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's method with a small ridge."""
+    """Slope and offset of a logistic curve over classes of equal weight, by Newton's method with a small ridge."""
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     scale = max(x.std(), 1e-9)
     a = np.column_stack([np.ones(len(x)), (x - x.mean()) / scale])
     b = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (y - p) - 1e-3 * b
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        grad = a.T @ (weight * (y - p)) - 1e-4 * b
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         b = b + step
         if np.abs(step).max() < 1e-9:
@@ -205,7 +216,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
-    """The model learned from labelled rows that are not held out; None when a class has no rows.
+    """The model learned from labelled rows that are not held out; None when they are too few to tell the classes apart.
 
     Labels other than 0 and 1 and null ids are passed over; an id labelled twice counts as toxic if
     any of its labels is. A document that occurs more than once is learned as often as it occurs.
@@ -218,18 +229,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     rows = texts.join(F.broadcast(picked), "id").persist()  # at most about 2 * FIT_ROWS labels
     try:
+        sizes = {r["toxic"]: r["n"] for r in rows.filter("part > 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if len(sizes) < 2:
+            return None
         met = _expressions(rows.filter("part > 0").select("toxic", "text")).persist()
         corpus = _dense(_corpus_counts(docs, text_col).toPandas(), "n") + 1.0
-        sizes = {r["toxic"]: r["n"] for r in rows.filter("part > 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        model = _models(met, corpus / corpus.sum(), {"toxic_n": sizes.get(1, 0), "ordinary_n": sizes.get(0, 0)})
+        model = _models(met, corpus / corpus.sum(), {"toxic_n": sizes[1], "ordinary_n": sizes[0]})
         met.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(model)
         feature = F.pandas_udf(lambda t: pd.Series([sent.value.feature(x) for x in t], dtype="float64"), T.DoubleType())
         points = rows.filter("part = 0").select("toxic", feature("text").alias("x")).toPandas()
     finally:
         rows.unpersist()
-    if points["toxic"].nunique() == 2:
-        model.slope, model.offset = _fit_curve(points["x"].to_numpy(), points["toxic"].to_numpy(dtype=float))
+    if points["toxic"].nunique() < 2 or points["x"].nunique() < 2:
+        return None
+    model.slope, model.offset = _fit_curve(points["x"].to_numpy(), points["toxic"].to_numpy(dtype=float))
     return model
 
 
@@ -250,7 +264,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``id_col, held_out, score, predicted`` of each row.
 
     Null and empty texts, and texts without words, get the score of an even comparison. Repeated
-    rows stay, null ids count as held out. Without labelled rows of both classes all scores are 0.5.
+    rows stay, null ids count as held out. Without a model (:func:`fit`) all scores are 0.5.
     """
     score = score_column(docs.sparkSession, fit(docs, labels, id_col, text_col), text_col)
     return docs.select(
