@@ -1,7 +1,9 @@
 """License signatures, quality rules and toxicity."""
 
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -92,16 +94,29 @@ def test_toxicity_does_not_follow_the_class_ratio(spark):
     x, y = np.append(rng.normal(2, 1, 90), rng.normal(0, 1, 90)), np.repeat([1.0, 0.0], 90)
     many = np.append(np.ones(90, int), np.full(90, 7))
     assert toxicity._fit_curve(np.repeat(x, many), np.repeat(y, many)) == pytest.approx(toxicity._fit_curve(x, y), rel=0.01)
-    counts = [(-1, 5, 200, 8), (-1, 6, 150, 150), (5, 6, 120, 0), (6, 6, 100, 110)]
+    counts = [("", "a", 200, 8), ("", "b", 150, 150), ("a", "b", 120, 0), ("b", "b", 100, 110)]
+    corpus = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1_000_000)], "word string, n long")
     gains = []
     for n in (1, 7):
-        rows = spark.createDataFrame([(h, w, t, o * n) for h, w, t, o in counts], "h long, w long, toxic_n long, ordinary_n long")
-        shared = np.full(toxicity.WORD_SLOTS, 1 / toxicity.WORD_SLOTS)
-        model = toxicity._models(rows, shared, {"toxic_n": 300, "ordinary_n": 300 * n})
-        gains.append([model.toxic.word[5] - model.ordinary.word[5], *(model.toxic.gain - model.ordinary.gain)])
+        rows = spark.createDataFrame([(h, w, t, o * n) for h, w, t, o in counts], "first string, word string, toxic_n long, ordinary_n long")
+        model = toxicity._models(rows, corpus, {"toxic_n": 300, "ordinary_n": 300 * n})
+        gains.append([*(model.toxic.word - model.ordinary.word), *(model.toxic.gain - model.ordinary.gain)])
     assert gains[1] == pytest.approx(gains[0], rel=0.1)
 
 
+def test_toxicity_keeps_every_word_apart(spark):
+    """A frequent stranger with the crc32 of a toxic word modulo 2 ** 18 - 1 does not hide it."""
+    rng = random.Random(7)
+    bad = ["grumpf", "zorkish", "blegh"]
+    slot = lambda w: zlib.crc32(w.encode()) % ((1 << 18) - 1)
+    letters = (f"x{a}{b}{c}{d}{e}" for a, b, c, d, e in itertools.product("abcdefghijklmnopqrst", repeat=5))
+    stranger = next(w for w in letters if slot(w) == slot("grumpf"))
+    rows = [(i, prose(rng, 60, bad, 0.06 if i % 2 else 0.0)) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(1_000 + i, f"{stranger} " * 5_000) for i in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert all(model.feature(f"wea {w} wfa") > 0.5 for w in bad) and model.feature(f"wea {stranger} wfa") < 0.5
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (None, 0, 1), (3, 0, None), (5, 1, 7)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()

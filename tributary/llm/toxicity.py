@@ -16,16 +16,16 @@ The feature of a text is the difference of the two log-likelihoods over the squa
 number of words (the spread of such a sum grows with that root, so texts of any length compare),
 and a logistic curve fitted on rows that the counts have not seen turns it into a score.
 
-Sizes: words are hashed to ``WORD_SLOTS`` slots. The class counts come from at most ``FIT_ROWS``
-labelled rows of each class (a bounded sample, chosen by a hash of the id), so the model sent to
-the executors is bounded whatever the input; the shared counts cover every document and are
-added up by slot before they leave a task.
+Sizes: the shared counts are kept by word in a DataFrame and cover every document. The class counts
+come from at most ``FIT_ROWS`` labelled rows of each class (a bounded sample, chosen by a hash of
+the id). Only the words met in that sample leave the DataFrame, with their exact shared counts, and
+only the expressions on which the classes differ are sent to the executors.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.texts import Bounded, blocks, whole
+from tributary.llm.texts import blocks, whole
 
-WORD_SLOTS = 1 << 18
 #: At most so many labelled rows of each class are fitted, three quarters for counts, the rest for the curve.
 FIT_ROWS = 8_000
 DISCOUNT = 0.75
@@ -53,24 +52,13 @@ MIN_SHARE, LEAST_SHARED = 1 / 600, 4.0
 RATIO = 10.0
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 1_000_000
+#: Words that a counting task holds before it hands their counts on.
+_HELD = 300_000
 
 
-class _Slots(Bounded):
-    """Word to slot; slot 0 is the start of a text."""
-
-    def __missing__(self, word: str) -> int:
-        self.room(1)
-        slot = self[word] = 1 + zlib.crc32(word.encode()) % (WORD_SLOTS - 1)
-        return slot
-
-
-_slots = _Slots(_CACHE)
-
-
-def word_slots(text: str) -> np.ndarray:
-    """The slots of the lower-case words of a whole text."""
-    return np.fromiter(map(_slots.__getitem__, _WORD.findall(text.lower())), dtype=np.int64)
+def words(text: str) -> list[str]:
+    """The lower-case words of a whole text."""
+    return _WORD.findall(text.lower())
 
 
 def held_out(id_col: str) -> Column:
@@ -79,43 +67,47 @@ def held_out(id_col: str) -> Column:
 
 
 def _corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``slot, n`` over the words of all documents, added up within a task first."""
+    """``word, n`` over the words of all documents, added up within a task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(WORD_SLOTS, dtype=np.int64)
+        total: Counter[str] = Counter()
         for batch in batches:
             for run in blocks(batch.iloc[:, 0]):
-                total += np.bincount(np.concatenate([word_slots(t) for t in run]), minlength=WORD_SLOTS)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": used, "n": total[used]})
+                for text in run:
+                    total.update(words(text))
+                if len(total) > _HELD:
+                    yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+                    total.clear()
+        yield pd.DataFrame({"word": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
-    return docs.select(whole(text_col).alias("t")).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return docs.select(whole(text_col).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _expressions(texts: DataFrame) -> DataFrame:
-    """``h, w, toxic_n, ordinary_n``: texts of each class with a word (``h = -1``) or two words in a row."""
+    """``first, word, toxic_n, ordinary_n``: texts of each class with a word (``first = ''``) or two words in a row."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, rows in batch.groupby("toxic"):
                 for run in blocks(rows["text"]):
-                    keys = []
-                    for w in map(word_slots, run):
-                        keys.append(np.unique(w) - WORD_SLOTS)
-                        keys.append(np.unique(w[:-1] * WORD_SLOTS + w[1:]))
-                    keys, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pd.DataFrame({"toxic": int(toxic), "h": keys // WORD_SLOTS, "w": keys % WORD_SLOTS, "n": n})
-
-    counted = texts.mapInPandas(count, "toxic int, h long, w long, n long")
+                    met: Counter[tuple[str, str]] = Counter()
+                    for w in map(words, run):
+                        met.update({("", x) for x in w})
+                        met.update(set(zip(w, w[1:], strict=False)))
+                    if met:
+                        first, word = zip(*met, strict=True)
+                        yield pd.DataFrame({"toxic": int(toxic), "first": first, "word": word, "n": list(met.values())})
+
+    counted = texts.mapInPandas(count, "toxic int, first string, word string, n long")
     of = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
-    return counted.groupBy("h", "w").agg(of(1).alias("toxic_n"), of(0).alias("ordinary_n"))
+    return counted.groupBy("first", "word").agg(of(1).alias("toxic_n"), of(0).alias("ordinary_n"))
 
 
 @dataclass
 class ClassModel:
-    """One class: log-probabilities of words by slot, and what two-word expressions add to them."""
+    """One class: what words and two-word expressions add to the log-probability of the shared distribution."""
 
-    word: np.ndarray
+    word: np.ndarray  # by place; 0 at place 0
     gain: np.ndarray  # in the order of the model's expressions
 
 
@@ -123,16 +115,18 @@ class ClassModel:
 class ToxicityModel:
     toxic: ClassModel
     ordinary: ClassModel
-    expressions: np.ndarray  # first word * WORD_SLOTS + second, sorted
+    places: dict[str, int]  # of the words that count, from 1; all others have place 0
+    expressions: np.ndarray  # place of the first word * (len(places) + 1) + place of the second, sorted
     slope: float = 1.0
     offset: float = 0.0
 
     def log_likelihoods(self, text: str) -> tuple[float, float, int]:
-        """Of the toxic and of the ordinary class, and the number of words."""
-        w = word_slots(text)
+        """Of the toxic and of the ordinary class, over that of the shared distribution, and the number of words."""
+        found = words(text)
+        w = np.fromiter((self.places.get(x, 0) for x in found), dtype=np.int64, count=len(found))
         ends = [c.word[w].sum() for c in (self.toxic, self.ordinary)]
         if len(self.expressions) and len(w) > 1:
-            key = w[:-1] * WORD_SLOTS + w[1:]
+            key = w[:-1] * (len(self.places) + 1) + w[1:]
             at = np.minimum(np.searchsorted(self.expressions, key), len(self.expressions) - 1)
             at = at[self.expressions[at] == key]
             ends = [e + c.gain[at].sum() for e, c in zip(ends, (self.toxic, self.ordinary), strict=True)]
@@ -148,12 +142,6 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _dense(rows: pd.DataFrame, column: str) -> np.ndarray:
-    out = np.zeros(WORD_SLOTS)
-    out[rows["slot"].to_numpy()] = rows[column].to_numpy()
-    return out
-
-
 def _levels(met: dict[str, np.ndarray], expected: dict[str, np.ndarray], weight: dict[str, float]) -> dict[str, np.ndarray]:
     """Log of discounted, weighted and interpolated counts over expected ones, 0 where the classes hardly differ."""
     counts = {c: weight[c] * np.maximum(n - DISCOUNT, 0) for c, n in met.items()}
@@ -163,29 +151,34 @@ def _levels(met: dict[str, np.ndarray], expected: dict[str, np.ndarray], weight:
     return {c: np.where(apart, x, 0.0) for c, x in out.items()}
 
 
-def _models(expressions: DataFrame, shared: np.ndarray, sizes: dict[str, float]) -> ToxicityModel:
-    """``sizes``: fitted texts of each class, not 0."""
+def _models(expressions: DataFrame, corpus: DataFrame, sizes: dict[str, float]) -> ToxicityModel:
+    """``corpus``: ``word, n`` of all documents; ``sizes``: fitted texts of each class, not 0."""
     texts = sum(sizes.values())
     weigh = {c: texts / 2 / n for c, n in sizes.items()}
     floor = max(LEAST_FLOOR * max(weigh.values()), FLOOR * texts)
     least = max(LEAST_SHARED * max(weigh.values()), MIN_SHARE * texts)
-    words = expressions.filter("h < 0").withColumnRenamed("w", "slot").toPandas()
-    pairs = expressions.filter("h >= 0").filter(sum(F.col(c) * weigh[c] for c in sizes) >= least).toPandas()
-    keys = (pairs["h"] * WORD_SLOTS + pairs["w"]).to_numpy(dtype=np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    met = {c: _dense(words, c) for c in sizes}
+    single = expressions.filter("first = ''").join(corpus, "word").toPandas().sort_values("word", ignore_index=True)
+    pairs = expressions.filter("first != ''").filter(sum(F.col(c) * weigh[c] for c in sizes) >= least).toPandas()
+    shared = single["n"].to_numpy(dtype=float) / (corpus.agg(F.sum("n")).first()[0] or 1)
+    met = {c: single[c].to_numpy(dtype=float) for c in sizes}
     total = {c: max(weigh[c] * n.sum(), 1.0) for c, n in met.items()}
     share = {c: t / sum(total.values()) for c, t in total.items()}
     word = _levels(met, {c: share[c] * (shared * sum(total.values()) + floor) for c in met}, weigh)
-    two = {c: pairs[c].to_numpy(dtype=float)[order] for c in met}
-    weight = {c: share[c] * np.exp(word[c][keys % WORD_SLOTS]) for c in met}
+    index = pd.Series(single.index, index=single["word"])
+    second = index.reindex(pairs["word"]).to_numpy(dtype=np.int64)
+    two = {c: pairs[c].to_numpy(dtype=float) for c in met}
+    weight = {c: share[c] * np.exp(word[c][second]) for c in met}
     lead = {c: w / np.maximum(sum(weight.values()), 1e-12) for c, w in weight.items()}
     both = sum(weigh[c] * n for c, n in two.items())
-    gain = _levels(two, {c: lead[c] * (both + floor) for c in met}, weigh) if len(keys) else two
-    base = np.log(shared)
-    toxic, ordinary = (ClassModel(base + word[c], gain[c]) for c in ("toxic_n", "ordinary_n"))
-    return ToxicityModel(toxic, ordinary, keys)
+    gain = _levels(two, {c: lead[c] * (both + floor) for c in met}, weigh)
+    count = gain["toxic_n"] != gain["ordinary_n"]
+    pairs = pairs[count]
+    used = (word["toxic_n"] != word["ordinary_n"]) | single["word"].isin(set(pairs["first"]) | set(pairs["word"])).to_numpy()
+    places = {w: i for i, w in enumerate(single["word"][used], 1)}
+    keys = (pairs["first"].map(places) * (len(places) + 1) + pairs["word"].map(places)).to_numpy(dtype=np.int64)
+    order = np.argsort(keys)
+    toxic, ordinary = (ClassModel(np.append(0.0, word[c][used]), gain[c][count][order]) for c in ("toxic_n", "ordinary_n"))
+    return ToxicityModel(toxic, ordinary, places, keys[order])
 
 
 def _sample(rows: DataFrame) -> DataFrame:
@@ -233,9 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if len(sizes) < 2:
             return None
         met = _expressions(rows.filter("part > 0").select("toxic", "text")).persist()
-        corpus = _dense(_corpus_counts(docs, text_col).toPandas(), "n") + 1.0
-        model = _models(met, corpus / corpus.sum(), {"toxic_n": sizes[1], "ordinary_n": sizes[0]})
+        corpus = _corpus_counts(docs, text_col).persist()
+        model = _models(met, corpus, {"toxic_n": sizes[1], "ordinary_n": sizes[0]})
         met.unpersist()
+        corpus.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(model)
         feature = F.pandas_udf(lambda t: pd.Series([sent.value.feature(x) for x in t], dtype="float64"), T.DoubleType())
         points = rows.filter("part = 0").select("toxic", feature("text").alias("x")).toPandas()
