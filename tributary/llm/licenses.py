@@ -1,8 +1,8 @@
 """License scans with ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to words joined by single blanks. Rules are regular
-expressions over that form, each with a label, a priority, a weight and a keyword. A text is
-first searched for the keywords; only the rules of the keywords found are run. Detections are then
+expressions over that form, each with a label, a priority, a weight and keywords, of which every
+match holds at least one. A text is first searched for the keywords; only the rules of the keywords found are run. Detections are then
 taken in the order of priority, length and place; one whose interval lies within an interval taken
 before is suppressed. The four base phrases are counted apart and their labels always stay.
 
@@ -27,7 +27,7 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Label, keyword, and how the license is named in lower-case words.
+# Label, keywords (one in each alternative at least), and how the license is named in lower-case words.
 NAMES = (
     ("gpl-1.0", "general", r"gnu general public license(?: version| v)? 1(?: 0)?"),
     ("gpl-2.0", "general", r"gnu general public license(?: version| v)? 2(?: 0)?"),
@@ -35,7 +35,7 @@ NAMES = (
     ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version)? v?1(?: 0)?(?: only| or later)?"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version)? v?2(?: 0)?(?: only| or later)?"),
     ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version)? v?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.0", "lesser", r"gnu (?:library|lesser) general public license(?: version| v)? 2(?: 0)?"),
+    ("lgpl-2.0", "lesser library", r"gnu (?:library|lesser) general public license(?: version| v)? 2(?: 0)?"),
     ("lgpl-2.1", "lesser", r"gnu lesser general public license(?: version| v)? 2 1"),
     ("lgpl-3.0", "lesser", r"gnu lesser general public license(?: version| v)? 3(?: 0)?"),
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version)? v?2 1(?: only| or later)?"),
@@ -50,10 +50,10 @@ NAMES = (
     ("mit-0", "mit", r"mit(?: no attribution| 0)(?: license)?"),
     ("x11", "x11", r"x11(?: license| consortium license)"),
     ("isc", "isc", r"isc license"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?"),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: license)?"),
+    ("0bsd", "0bsd zero", r"(?:zero clause bsd|0bsd)(?: license)?"),
     ("bsd", "bsd", r"bsd(?: style)? license"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: version| v)? 1(?: [01])?"),
     ("mpl-2.0", "mozilla", r"mozilla public license(?:(?: version| v)? 2(?: 0)?)?"),
@@ -124,7 +124,7 @@ SENTENCES = (
 @dataclass(frozen=True)
 class Signature:
     label: str
-    keyword: str
+    keywords: str
     priority: int
     weight: float
     pattern: str
@@ -138,14 +138,15 @@ def signatures() -> list[Signature]:
 
 
 class Scanner:
-    """The rules compiled, by keyword."""
+    """The rules compiled, by keywords."""
 
     def __init__(self):
         rules = signatures()
         self.rules = [(r, re.compile(rb"(?<= )" + r.pattern.encode() + rb"(?= )")) for r in rules]
         self.by_word: dict[bytes, list[int]] = {}
         for i, rule in enumerate(rules):
-            self.by_word.setdefault(rule.keyword.encode(), []).append(i)
+            for word in rule.keywords.encode().split():
+                self.by_word.setdefault(word, []).append(i)
         self.gate = re.compile(rb"(?<= )(?:" + b"|".join(sorted(map(re.escape, self.by_word))) + rb")(?= )")
         self.base = [(b" " + phrase.encode() + b" ", label) for phrase, label in BASE]
 
