@@ -143,6 +143,16 @@ def test_nearest_with_ties_and_unusable_vectors(spark):
     assert sorted(r["rank"] for r in few) == [1, 2, 3]
 
 
+def test_nearest_with_repeated_rows(spark):
+    x = np.random.default_rng(5).normal(size=(30, 8))
+    twice = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(0, x[0].tolist())] * 40
+    df = spark.createDataFrame(twice, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id < 2")).collect()
+    for q in (0, 1):
+        mine = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert mine == [i for _, i in nearest_by_force(list(range(30)), x, q, 20)]
+
+
 def test_recall_on_the_given_vectors(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = e.toPandas()

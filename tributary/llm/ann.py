@@ -152,7 +152,7 @@ def _probes(queries: DataFrame, forest: Forest, sizes: np.ndarray, places: float
 
 
 def _scored(vectors: DataFrame, probes: DataFrame, splits: DataFrame, k: int) -> DataFrame:
-    """``query, id, score``: the best ``k`` of each block for each query, if they reach the query's ``least``."""
+    """``query, id, score``: the best ``k`` ids of each block for each query, if they reach the query's ``least``."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -160,15 +160,22 @@ def _scored(vectors: DataFrame, probes: DataFrame, splits: DataFrame, k: int) ->
         left = left.sort_values("id", kind="stable")
         x, q = _matrix(left["v"]), _matrix(right["q"])
         ids = left["id"].to_numpy()
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ends, one_each = np.append(starts[1:], len(ids)), len(starts) == len(ids)
+        ids = ids[starts]
         rough, least = q @ x.T, right["least"].to_numpy(dtype=float)
-        take, names, out = k + 1, right["query"].to_numpy(), []
-        reach = rough >= (least - _SLACK)[:, None]
+        if not one_each:
+            rough = np.maximum.reduceat(rough, starts, axis=1)
+        names, out = right["query"].to_numpy(), []
+        reach = (rough >= (least - _SLACK)[:, None]) & (ids[None, :] != names[:, None])
         for i in np.flatnonzero(reach.any(1)).tolist():
             at = np.flatnonzero(reach[i])
-            if len(at) > take:
-                at = at[rough[i, at] >= np.partition(rough[i, at], len(at) - take)[len(at) - take] - _SLACK]
-            at = at[ids[at] != names[i]]
-            score = (x[at] * q[i]).sum(1)
+            if len(at) > k:
+                at = at[rough[i, at] >= np.partition(rough[i, at], len(at) - k)[len(at) - k] - _SLACK]
+            if one_each:
+                score = (x[at] * q[i]).sum(1)
+            else:
+                score = np.array([(x[a:b] * q[i]).sum(1).max() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             order = np.lexsort((ids[at], -score))[:k]
             out.append((np.full(len(order), names[i]), ids[at][order], score[order]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
@@ -215,9 +222,9 @@ def nearest(
     forest = fit_forest(_matrix(sample["v"]), common["n"], common["norm"])
     indexed = scratch.save(_indexed(vectors, forest), "index")
     sizes = np.zeros(TREES << forest.depth, np.int64)  # one number for each leaf, at most TREES * 2 ** MAX_DEPTH
-    for leaf, n in indexed.groupBy("leaf").count().collect():
+    for leaf, n in indexed.select("leaf", "id").distinct().groupBy("leaf").count().collect():  # repeats of an id don't fill the search
         sizes[leaf] = n
-    probes = scratch.save(_probes(asked, forest, sizes, max(search * TREES * common["n"], SEARCH_LEAST)), "probes")
+    probes = scratch.save(_probes(asked, forest, sizes, max(search * float(sizes.sum()), SEARCH_LEAST)), "probes")
     parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     turns = probes.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
     splits = scratch.save(parts.join(turns, "leaf"), "splits")
