@@ -100,6 +100,15 @@ def test_collisions_are_drawn_anew(spark, monkeypatch):
     assert 0 < again < 25
 
 
+def test_names_do_not_run_out(spark, monkeypatch):
+    """Two syllables make 16 names of four; 60 persons get one each."""
+    monkeypatch.setattr(pii, "_SYLLABLES", {script: s[:2] for script, s in pii._SYLLABLES.items()})
+    monkeypatch.setattr(pii, "ATTEMPTS", 10)
+    docs = spark.createDataFrame([(i, f"Dr Person{chr(97 + i // 8)}{chr(97 + i % 8)}") for i in range(60)], "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymize(docs).collect()]
+    assert len(set(new)) == 60 and not any("Person" in t for t in new)
+
+
 def test_pii_odd_rows(odd, none):
     rows = pii.pseudonymize(odd)
     assert rows.columns == odd.columns and rows.exceptAll(odd).isEmpty() and odd.exceptAll(rows).isEmpty()

@@ -138,13 +138,14 @@ def _gender(e: Column) -> Column:
     return F.when(title.isin(*_MALE), "male").when(title.isin(*_FEMALE), "female").otherwise("open")
 
 
-def _name_word(word: Column, stream: Column, ending: Callable[[str], Column]) -> Column:
-    """Three or more syllables in the script of ``word``, its first letter large as in ``word``."""
+def _name_word(word: Column, stream: Column, attempt: Column, ending: Callable[[str], Column]) -> Column:
+    """Four syllables in the script of ``word``, one more with each attempt so that free names never run out, the first letter large."""
 
     def script(name: str) -> Column:
         s = _SYLLABLES[name]
-        parts = [F.element_at(F.array(*map(F.lit, s)), _byte(stream, F.lit(i)) % len(s) + 1) for i in range(4)]
-        return F.initcap(F.concat(*parts, ending(name)))
+        syllable = lambda i: F.element_at(F.array(*map(F.lit, s)), _byte(stream, i) % len(s) + 1)
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(4), attempt + 3), syllable), "")).otherwise("")
+        return F.initcap(F.concat(*(syllable(F.lit(i)) for i in range(4)), more, ending(name)))
 
     return F.when(word.rlike(r"\p{IsCyrillic}"), script("cyrillic")).when(word.rlike(r"\p{IsGreek}"), script("greek")).otherwise(script("latin"))
 
@@ -157,8 +158,8 @@ def _name(x: Column) -> Column:
         of = _ENDINGS[script]
         return F.when(gender == "male", of["male"]).when(gender == "female", of["female"]).otherwise(of["open"])
 
-    surname = _name_word(last, x["last"], lambda script: F.lit(""))
-    return F.when(F.size(words) > 1, F.concat_ws(" ", _name_word(first, x["first"], ending), surname)).otherwise(surname)
+    surname = _name_word(last, x["last"], x["attempt"], lambda script: F.lit(""))
+    return F.when(F.size(words) > 1, F.concat_ws(" ", _name_word(first, x["first"], x["attempt"], ending), surname)).otherwise(surname)
 
 
 def _new(x: Column) -> Column:
