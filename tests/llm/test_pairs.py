@@ -63,6 +63,22 @@ def test_classes_by_force(spark):
     assert kept == sorted(set(want.values()))
 
 
+def test_short_texts_by_force(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for n in list(range(5, 21)) * 3:
+        own = [word() for _ in range(n)]
+        texts += [" ".join(t) for t in (own, [*own, word()], [word(), *own], [*own, word(), word()], [*own[:-1], word()], [word(), *own, word()])]
+    marks = [near_dup.shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near_dup.similarity(marks[i], marks[j]) >= 0.8]
+    for i, j in links:
+        assert set(near_dup.prefix(marks[i])) & set(near_dup.prefix(marks[j]))
+        assert near_dup._possible(near_dup.binned(marks[i]), near_dup.binned(marks[j])[None], len(marks[i]), np.array([len(marks[j])])).all()
+    want = roots_by_force(range(len(texts)), links)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == want
+
+
 def test_similarity_follows_order():
     a = near_dup.shingles(" ".join(map(str, range(100))))
     b = near_dup.shingles(" ".join(map(str, [*range(50, 100), *range(50)])))

@@ -15,6 +15,10 @@ it, in blocks, first by size, then by one-permutation MinHash values (the least
 of ``BINS`` ranges); only pairs of different components whose values let the threshold seem possible
 leave a task. A true pair at the threshold is missed if its texts share none of the ``SKETCHES`` keys
 (3 in a million), or if their values are ``DOUBT`` standard deviations off (3 in 100,000).
+
+Both chances hold for long texts only. Texts of up to ``SHORT`` shingles are also keyed by their
+least shingles, as many as differ at most between similar texts and one more, so that two similar
+ones share such a key for certain, and their values are compared by a bound that no similar pair fails.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ SKETCHES = 32
 LENGTH = 5
 BINS, FIRST_BINS = 256, 64
 DOUBT = 4.0
+#: Texts of so many shingles, and those similar to them, are found for certain.
+SHORT = 40
 #: Texts compared with a block at once, and texts in a block, of a bucket with several components.
 ROWS_BLOCK, LEADERS_BLOCK = 2_000, 200
 
@@ -100,6 +106,14 @@ def sketch(marks: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def prefix(marks: np.ndarray) -> np.ndarray:
+    """More bucket keys of a short text (or one similar to a short text): its least shingles, one of which every similar text has among its own."""
+    if len(marks) * SIMILARITY > SHORT:
+        return np.zeros(0, np.int64)
+    take = len(marks) - int(np.ceil(SIMILARITY * len(marks) - 1e-9)) + 1
+    return _mixed(np.sort(marks)[:take] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
 def binned(marks: np.ndarray) -> np.ndarray:
     """16 bits of the least shingle hash in each of ``BINS`` equal ranges, 0 for a range without any."""
     ranked = np.sort(marks)
@@ -149,8 +163,8 @@ def _sketches(nodes: DataFrame) -> DataFrame:
             for run in blocks(batch["text"]):
                 found = [(i, shingles(t)) for i, t in enumerate(run, start)]
                 start += len(run)
-                kept = [(batch["node"].iat[i], len(m), sketch(m), binned(m).tobytes()) for i, m in found if len(m)]
-                kept = [(node, n, keys, mins + keys.tobytes()) for node, n, keys, mins in kept]
+                kept = [(batch["node"].iat[i], len(m), sketch(m), prefix(m), binned(m).tobytes()) for i, m in found if len(m)]
+                kept = [(node, n, np.append(keys, more), mins + keys.tobytes()) for node, n, keys, more, mins in kept]
                 if not kept:
                     continue
                 yield pd.DataFrame(
@@ -186,17 +200,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
 
 def _possible(a: np.ndarray, b: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
     """Which rows of ``b`` (bins of texts with ``sizes`` shingles) can be similar to ``a`` (``n`` shingles)."""
+    apart = (a != b).sum(1)  # each such bin has a shingle of only one of both texts
     used = np.maximum(((a != 0) | (b != 0)).sum(1), 1)
     ratio = ((a == b) & (a != 0)).sum(1) / used
     union = (n + sizes) / (1 + SIMILARITY)
     spread = np.sqrt(SIMILARITY * (1 - SIMILARITY) / used * np.clip(1 - used / union, 0.1, 1))
-    return ratio >= SIMILARITY - DOUBT * spread - 1 / used
+    bound = apart <= (n + sizes) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9
+    return np.where(np.minimum(n, sizes) <= SHORT, bound, ratio >= SIMILARITY - DOUBT * spread - 1 / used)
 
 
 def _cross(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
     """Pairs of different components in one block of a bucket whose sizes and bins can reach the threshold.
 
-    A pair comes from the first of the buckets it shares, and from one side of it, so it comes once.
+    A pair comes from the first of the sketch buckets it shares, and from one side of it, so it comes
+    once from those; buckets of a short text's least shingles may bring it again.
     """
     key = rows["key"].iat[0]
     minor = rows["minor"].to_numpy(dtype=bool)
@@ -218,7 +235,8 @@ def _cross(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
         at = at[_possible(own[:FIRST_BINS], head[at], n, size[at])]
         at = at[_possible(own, other[at], n, size[at])]
         mine = np.frombuffer(mins[i][2 * BINS :], dtype=np.int64)
-        at = at[mine[(keys[at] == mine).argmax(1)] == key]
+        if (mine == key).any():
+            at = at[mine[(keys[at] == mine).argmax(1)] == key]
         pairs.update((min(node, nodes[j]), max(node, nodes[j])) for j in rest[at].tolist() if not minor[j] or node < nodes[j])
     return sorted(pairs)
 
