@@ -79,6 +79,13 @@ def test_short_texts_by_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()} == want
 
 
+def test_one_of_each_with_clashing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, b), (3, c)]
+    kept = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (2, b), (3, c)]
+
+
 def test_similarity_follows_order():
     a = near_dup.shingles(" ".join(map(str, range(100))))
     b = near_dup.shingles(" ".join(map(str, [*range(50, 100), *range(50)])))

@@ -287,14 +287,8 @@ def _left_over(rows: DataFrame, sketches: DataFrame, roots: DataFrame, scratch:
     return dealt.mapInPandas(_crossed, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col, class_id, class_rows, n_links``.
-
-    ``class_id`` is the least id of the class, ``class_rows`` its number of rows, ``n_links`` the
-    confirmed links of the row's text to different texts. Null texts count as empty. Texts without
-    words are alike only if byte-equal; texts of one to four words have one shingle, all their
-    words. Null ids are kept; a class of null ids only has a null ``class_id``. Repeated rows stay.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, node, class_id, first, class_rows, n_links`` of each row; ``first`` is the node of the class's least id."""
     scratch = Scratch(docs.sparkSession, "near-dup")
     text = whole(text_col)
     rows = scratch.save(docs.select(F.col(id_col).alias("id"), _node(text).alias("node")), "nodes")
@@ -322,17 +316,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = scratch.save(components(links, scratch, "components"), "roots")
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     member = _rooted(nodes, roots).join(degree, "node", "left")
-    total = member.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_rows"))
-    known = member.join(total, "root").select("node", "class_id", "class_rows", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(known, "node").select(F.col("id").alias(id_col), "class_id", "class_rows", "n_links")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "node")))["node"]
+    total = member.groupBy("root").agg(F.min("id").alias("class_id"), first.alias("first"), F.sum("rows").alias("class_rows"))
+    known = member.join(total, "root").select("node", "class_id", "first", "class_rows", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(known, "node")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col, class_id, class_rows, n_links``.
+
+    ``class_id`` is the least id of the class, ``class_rows`` its number of rows, ``n_links`` the
+    confirmed links of the row's text to different texts. Null texts count as empty. Texts without
+    words are alike only if byte-equal; texts of one to four words have one shingle, all their
+    words. Null ids are kept; a class of null ids only has a null ``class_id``. Repeated rows stay.
+    """
+    return _classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "class_rows", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their class, one row for each id; columns stay as they are.
+    """The rows of ``docs`` whose text is the first of their class and whose id is its least, one row for each id and text.
 
+    Columns stay as they are. Rows that share an id but not their text are told apart by the text.
     Rows without an id cannot be named as copies; they take no part and stay.
     """
     named, nameless = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
-    found = classes(named, id_col, text_col)
-    keep = found.filter(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return named.dropDuplicates([id_col]).join(keep, id_col, "left_semi").select(*docs.columns).unionByName(nameless)
+    found = _classes(named, id_col, text_col).filter("id = class_id and node = first")
+    keep = found.select(F.col("id").alias("__near_id"), F.col("node").alias("__near_node")).distinct()
+    named = named.withColumn("__near_text", _node(whole(text_col))).dropDuplicates([id_col, "__near_text"])
+    kept = named.join(keep, (F.col("__near_text") == F.col("__near_node")) & (F.col(id_col) == F.col("__near_id")), "left_semi")
+    return kept.select(*docs.columns).unionByName(nameless)
