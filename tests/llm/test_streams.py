@@ -49,6 +49,19 @@ def test_mix_meets_weights_and_limits(sources):
     assert len({r["doc_id"] for r in rows}) == 1_030 and max(r["epoch"] for r in rows) <= 2
 
 
+def test_every_source_is_read_whole_however_large(spark):
+    rng = random.Random(3)
+    for _ in range(10_000):  # up to a case whose rounding error is over 6 decimals, in the arithmetic of weights()
+        most, least = rng.randrange(10**9, 10**10), rng.randrange(10**7, 10**8)
+        total, t = most + least, mixing.exponent_for_repeats(most, least, 2.0)
+        norm = (most / total) ** t + (least / total) ** t
+        largest = (most / total) ** t / norm
+        if math.floor(round(largest * (most / largest), 6) / most) == 0:
+            break
+    plan = mixing.weights(spark.createDataFrame([("a", 1, most), ("b", 1, least)], "source string, docs long, tokens long"), target=1.0)
+    assert plan.filter("floor(quota / tokens) < 1").isEmpty()
+
+
 def test_budget_is_kept(sources):
     rows = mixing.mix(sources, budget=3_000).collect()
     total = sum(r["n_tokens"] for r in rows)

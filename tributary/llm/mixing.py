@@ -96,6 +96,8 @@ def weights(tokens: DataFrame, target: float = ENTROPY, repeats: float = REPEATS
     total = row["most"] / largest if budget is None else float(budget)
     out = shares.withColumn("weight", raised / F.lit(norm))
     quota = F.round(F.col("weight") * F.lit(total), 6)  # so that a whole epoch is not missed by a rounding error
+    if budget is None:
+        quota = F.greatest(quota, F.col("tokens").cast("double"))  # nor the first one, where the last place of a double is larger
     return out.withColumn("quota", quota).withColumn("exponent", F.lit(exponent)).drop("p")
 
 
