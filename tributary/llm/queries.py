@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import ann, bpe, licenses, mixing, near_dup, pii, quality, suffixes, token_counts, toxicity
+from tributary.llm import ann, bpe, filter_audit, licenses, mixing, near_dup, pii, quality, runs, sharding, suffixes, token_counts, toxicity
 from tributary.llm.texts import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,117 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+with recursive
+t(i, bit, v) as (
+  select range, 0, range from range(256)
+  union all
+  select i, bit + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from t where bit < 8),
+lookup as (select list(v order by i) as crcs from t where bit = 8),
+b as (
+  select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes
+  from documents),
+d as (
+  select row_number() over () as row_id, doc_id, cast(len(bytes) + 8 as bigint) as size,
+         xor(list_reduce(bytes, lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1]), 4294967295), 4294967295) as crc
+  from b, lookup),
+keyed as (
+  select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::hugeint as key,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ',' || size || ',' || crc), 1, 15))::bigint as mix
+  from d),
+jumps(row_id, key, shard) as (
+  select row_id, key, 0::bigint from keyed
+  union all
+  select row_id, following, cast(floor((shard + 1) * (2147483648::double / (following // 8589934592 + 1)::double)) as bigint)
+  from (select row_id, shard, (key * 2862933555777941757 + 1) % 18446744073709551616 as following from jumps where shard < 25)),
+placed as (
+  select row_id, max(shard) filter (shard < 24) as shard, max(shard) filter (shard < 25) as grown from jumps group by row_id)
+select doc_id, size, crc as text_crc32, 'key' as law, cast(shard as integer) as shard,
+       row_number() over (partition by shard order by mix, doc_id nulls first, size, crc) - 1 as slot,
+       cast(grown as integer) as grown_shard
+from keyed join placed using (row_id)
+"""
+
+
+@query("op11_sharding", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the texts (by the checksum of the id) repeat a part of theirs to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.expr(r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)")
+    g, n = F.floor(h / 10), F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    repeated = F.array_join(F.transform("words", lambda _, i: F.get("words", place(i))), " ")
+    planted = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    return planted.select("doc_id", F.when(F.size("words") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.transform("found.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("found.runs").cast("long").alias("n_runs"),
+        runs.strongest(F.col("found.runs")).alias("best"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+OP13_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents),
+known as (
+  select doc_id, coalesce(max((quality = 1)::int), 0) as good, coalesce(max((toxic = 1)::int), 0) as toxic from labels group by doc_id),
+m as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         coalesce(d.doc_id > min(d.doc_id) over (partition by text), false) as e,
+         len(words) < 50 as a, 100 * len(list_distinct(words)) < 65 * len(words) as b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) as c,
+         regexp_matches(text, '[#$%&*|]') as d_
+  from d left join known using (doc_id)),
+f as (
+  select *, (case when a then 'A' else '' end) || (case when b then 'B' else '' end) || (case when c then 'C' else '' end)
+         || (case when d_ then 'D' else '' end) || (case when e then 'E' else '' end) as fails from m),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select p.x || q.x || r.x || s.x || t.x as filter_order
+  from letter p, letter q, letter r, letter s, letter t
+  where p.x not in (q.x, r.x, s.x, t.x) and q.x not in (r.x, s.x, t.x) and r.x not in (s.x, t.x) and s.x <> t.x),
+steps as (
+  select filter_order, step, substr(filter_order, step, 1) as x, substr(filter_order, 1, step - 1) as earlier
+  from orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+cell as (
+  select part, fails, count(*) as n, sum(good) as n_good, sum(toxic) as n_toxic from f group by part, fails),
+hit as (
+  select part, filter_order, step, x, n, n_good, n_toxic, contains(fails, x) as here, fails = x as only_here,
+         len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 and earlier <> '' and fails <> '' as gone
+  from cell, steps),
+r as (
+  select part, filter_order, step, x,
+         coalesce(sum(n) filter (not here and not gone), 0) as kept, coalesce(sum(n) filter (here and not gone), 0) as removed,
+         coalesce(sum(n) filter (here and gone), 0) as redundant, coalesce(sum(n) filter (only_here), 0) as unique_fails,
+         coalesce(sum(n_good) filter (here and not gone), 0) as good_lost, coalesce(sum(n_toxic) filter (here and not gone), 0) as toxic_lost
+  from hit group by part, filter_order, step, x)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley
+from r
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
