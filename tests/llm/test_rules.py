@@ -161,3 +161,21 @@ def test_license_odd_rows(odd, none):
     rows = licenses.license_scan(odd).collect()
     assert len(rows) == 7 and licenses.license_scan(none).count() == 0
     assert [(r["n_words"], r["labels"], r["score"], r["first_word"]) for r in rows if r["doc_id"] in (2, 3, 4)] == [(0, "", 0.0, None)] * 3
+
+
+def test_long_text_with_many_detections():
+    got = licenses.scanner().scan("MIT license " * 50_000)
+    assert got[:4] == (100_000, 50_000, 0, 99_998) and len(got[7]) == 50_000 and got[7][:2] == [(0, 2, "mit", 10), (2, 4, "mit", 10)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_containment_by_force(seed):
+    rng = random.Random(seed)
+    reach, taken = licenses._Reach(60), []
+    for _ in range(80):
+        a = rng.randrange(60)
+        b = rng.randint(a + 1, 61)
+        assert (reach.at(a) >= b) == any(x <= a and b <= y for x, y in taken)
+        if rng.random() < 0.5:
+            reach.add(a, b)
+            taken.append((a, b))

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tributary.llm import mixing, pii
@@ -142,3 +143,50 @@ def test_pipeline_stages(spark):
         assert name in ("toxicity", "near-duplicates") or kept == ids
         ids = kept
     assert docs.filter("n_tokens <> size(ids)").isEmpty()
+
+
+def test_names_of_many_forms(spark):
+    rows = [
+        "Frau Müller-Lüdenscheidt ging", "Mr. O'Brien", "Mrs. Eva van Dyk", "Mr. 山田 太郎 です", "Dr. 김 민수",
+        "at fe80::1 and 2001:0DB8:85a3:0000:0000:8a2e:0370:7334", "std::vector a::b 12:30:45",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymize(df).orderBy("doc_id").collect()]
+    for word in ("Müller", "Lüdenscheidt", "Brien", "Dyk", "山田", "太郎", "김", "민수", "fe80", "85a3"):
+        assert not any(word in text for text in new)
+    assert re.fullmatch(r"Frau [A-Z][a-z]+-[A-Z][a-z]+ ging", new[0])
+    assert re.fullmatch(r"Mr\. [一-鿿]+ [一-鿿]+ です", new[3])
+    assert re.fullmatch(r"Dr\. [가-힯]+ [가-힯]+", new[4])
+    assert new[5].count("2001:db8:") == 2 and new[6] == rows[6]
+
+
+def test_rows_without_id_have_maps_of_their_own(spark, monkeypatch):
+    monkeypatch.setitem(pii._SYLLABLES, "latin", ("ba",) * 16)  # every name of a form is the same at the first attempt
+    texts = [f"Dr Name{chr(97 + i)}xyz" for i in range(3)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    new = {r["text"] for r in pii.pseudonymize(df).collect()}
+    assert len(new) == 3 and not new & set(texts)
+
+
+def test_helpers_leave_clashing_columns(spark):
+    from tributary.llm import near_dup
+
+    rows = [(1, "one two three four five six", "a", "keep", "x", "y"), (2, "one two three four five six", "a", "keep", "x", "y"), (None, None, "b", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, near_text string, near_id string, mix_copies string")
+    kept = near_dup.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [r for r in df.collect() if r["doc_id"] != 2]))
+    mixed = mixing.mixed_documents(df.withColumn("mix_id", F.lit(1)))
+    assert set(map(tuple, mixed.select(*df.columns).collect())) == set(rows) and mixed.columns[-1] == "mix_id"
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows, columns = out.collect(), out.columns
+        copies = {3} if name == "near-duplicates" else set()  # the empty text is that of the null one
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()} - copies, name
+        assert stage(spark, none.select(*docs.columns), str(tmp_path)).collect() == []
+        assert name == "bpe" or columns == docs.columns

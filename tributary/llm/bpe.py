@@ -19,6 +19,7 @@ Decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import json
 import re
@@ -33,15 +34,14 @@ from pyspark.sql import types as T
 from tributary.llm.texts import WHITE, Bounded, blocks, whole
 from tributary.llm.token_counts import byte_letters
 
-#: Distinct words and arcs that a Python worker keeps.
-CACHE_WORDS = 400_000
-CACHE_ARCS = 1_000_000
+#: Distinct words and arcs that a Python worker keeps, some 200 and 150 bytes each.
+CACHE_WORDS = 200_000
+CACHE_ARCS = 400_000
 
 #: Fixed value: how byte-level vocabularies of this kind split text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _SPLIT = regex.compile(PATTERN.replace(r"\S", f"[^{WHITE}]").replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]"))
-_CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _LAST = 1 << 40
 
 
@@ -66,6 +66,7 @@ class MergeAutomaton:
         for rank, (a, b) in enumerate(merges):
             self._gadget(ids[a], ids[b], ids[a + b], rank)
         self._link()
+        self.sizes = [len(label) for label in self.labels]
         for content, token in special.items():
             self.labels[token] = content.encode()
         self.specials = special
@@ -126,43 +127,36 @@ class MergeAutomaton:
             else:
                 horizon, x, y = made[x], right[x], left[x]
 
-    def _longest(self, word: bytes, at: int) -> int:
-        nodes, token_at = self.nodes.get, self.token_at
-        node, found = 0, -1
-        for b in word[at:]:
-            node = nodes(node << 8 | b)
-            if node is None:
-                break
-            if token_at[node] >= 0:
-                found = token_at[node]
-        return found
-
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The one path of the automaton whose labels make up ``word``."""
+        nodes, token_at, arcs, sizes, shorter = self.nodes.get, self.token_at, self.arcs.get, self.sizes, self.shorter
         path: list[int] = []
-        at, size, left_behind = 0, len(word), set()
-        token = self._longest(word, 0) if word else -1
+        at, size, left_behind, last, token = 0, len(word), set(), -1, -1
         while at < size:
-            end = at + len(self.labels[token])
-            if end not in left_behind and (not path or self.follows(path[-1], token)):
-                path.append(token)
-                at = end
-                token = self._longest(word, at) if at < size else -1
-                continue
-            token = self.shorter[token]
+            if token < 0:  # the longest label from here on
+                node = 0
+                for b in word[at:]:
+                    node = nodes(node << 8 | b)
+                    if node is None:
+                        break
+                    if token_at[node] >= 0:
+                        token = token_at[node]
+            end = at + sizes[token]
+            if end not in left_behind:
+                known = last < 0 or arcs(last << 20 | token)
+                if known or (known is None and self.follows(last, token)):
+                    path.append(token)
+                    at, last, token = end, token, -1
+                    continue
+            token = shorter[token]
             while token < 0:
                 left_behind.add(at)
                 token = path.pop()
-                at -= len(self.labels[token])
-                token = self.shorter[token]
+                at -= sizes[token]
+                last = path[-1] if path else -1
+                token = shorter[token]
         return tuple(path)
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        pieces = _SPLIT.findall(chunk)
-        if len(pieces) == 1:
-            return self.encode_word(chunk.encode())
-        return tuple(itertools.chain.from_iterable(self.encode_word(p.encode()) for p in pieces))
-
     def encode(self, text: str) -> list[int]:
         """Token ids of a whole text; special strings become their own ids."""
         if self.special is not None and self.special.search(text):
@@ -175,12 +169,12 @@ class MergeAutomaton:
             if part in self.specials:
                 out.append(self.specials[part])
                 continue
-            chunks = _CHUNK.findall(part)
-            new = [c for c in set(chunks) if c not in words]
+            pieces = _SPLIT.findall(part)
+            new = [c for c in set(pieces) if c not in words]
             if new:
                 words.room(len(new))
-                words.update((c, self._chunk(c)) for c in (new if words else set(chunks)))
-            out.extend(itertools.chain.from_iterable(map(words.__getitem__, chunks)))
+                words.update((c, self.encode_word(c.encode())) for c in (new if words else set(pieces)))
+            out.extend(itertools.chain.from_iterable(map(words.__getitem__, pieces)))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -190,7 +184,9 @@ class MergeAutomaton:
 
 @functools.cache
 def automaton(path: str) -> MergeAutomaton:
-    return MergeAutomaton(path)
+    machine = MergeAutomaton(path)
+    gc.freeze()  # it stays; the collector need not walk it again and again
+    return machine
 
 
 def _encoded(texts: list[str], machine: MergeAutomaton) -> pa.Array:

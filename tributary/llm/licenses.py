@@ -16,6 +16,7 @@ import functools
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,6 +138,26 @@ def signatures() -> list[Signature]:
     return sorted(rules, key=lambda r: -r.priority)
 
 
+class _Reach:
+    """The farthest end of the intervals that start at a place or before it: a tree of prefix maxima."""
+
+    def __init__(self, size: int):
+        self.size, self.tree = size, {}
+
+    def add(self, start: int, end: int) -> None:
+        at = start + 1
+        while at <= self.size:
+            self.tree[at] = max(self.tree.get(at, -1), end)
+            at += at & -at
+
+    def at(self, start: int) -> int:
+        at, best = start + 1, -1
+        while at:
+            best = max(best, self.tree.get(at, -1))
+            at -= at & -at
+        return best
+
+
 class Scanner:
     """The rules compiled, by keywords."""
 
@@ -158,9 +179,11 @@ class Scanner:
             rule, pattern = self.rules[i]
             found += [(-rule.priority, m.start() - m.end(), m.start(), m.end(), i) for m in pattern.finditer(line)]
         taken: list[tuple[int, int, Signature]] = []
+        reach = _Reach(len(line))
         for _, _, start, end, i in sorted(found):
-            if not any(a <= start and end <= b for a, b, _ in taken):
+            if reach.at(start) < end:
                 taken.append((start, end, self.rules[i][0]))
+                reach.add(start, end)
         return taken
 
     def scan(self, text: str) -> tuple:
@@ -180,9 +203,10 @@ class Scanner:
             keep *= 1.0 - rule.weight
         if places:
             keep = min(keep, 0.5)
-        spans = [(line.count(b" ", 0, a) - 1, line.count(b" ", 0, b), rule.label, rule.priority) for a, b, rule in taken]
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if taken or places else np.zeros(0, np.int64)
+        word_at = lambda at: None if at is None else int(np.searchsorted(blanks, at))
+        spans = [(word_at(a) - 1, word_at(b), rule.label, rule.priority) for a, b, rule in taken]
         first, last = (min(places), max(places)) if places else (None, None)
-        word_at = lambda at: None if at is None else line.count(b" ", 0, at)
         return (
             len(words),
             len(places),

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.texts import whole
+from tributary.llm.texts import free_names, whole
 from tributary.scratch import Scratch
 
 #: Target entropy as a share of the largest possible one (all sources alike).
@@ -166,8 +166,10 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with every row repeated as often as :func:`mix` reads it; the columns stay as they are.
 
-    Rows are matched by id, so rows that share an id are repeated as often as the first of them.
+    Rows are matched by id, so rows that share an id are repeated as often as the first of them; those
+    with a null id share one as well. An empty table stays empty, and no column name is taken.
     """
-    copies = mix(docs, id_col=id_col, **options).filter("epoch = 0").groupBy(F.col(id_col).alias("__mix_id")).agg(F.max("copies").alias("__mix_copies"))
-    rows = docs.join(copies, docs[id_col].eqNullSafe(F.col("__mix_id")))
-    return rows.withColumn("__mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies"))).select(*(docs[c] for c in docs.columns))
+    id_, n = free_names(docs, "mix_id", "mix_copies")
+    copies = mix(docs, id_col=id_col, **options).filter("epoch = 0").groupBy(F.col(id_col).alias(id_)).agg(F.max("copies").alias(n))
+    rows = docs.join(copies, docs[id_col].eqNullSafe(F.col(id_)))
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*(docs[c] for c in docs.columns))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.components import components
-from tributary.llm.texts import Bounded, blocks, whole
+from tributary.llm.texts import Bounded, blocks, free_names, whole
 from tributary.scratch import Scratch
 
 SHINGLE = 5
@@ -337,11 +337,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` whose text is the first of their class and whose id is its least, one row for each id and text.
 
     Columns stay as they are. Rows that share an id but not their text are told apart by the text.
-    Rows without an id cannot be named as copies; they take no part and stay.
+    Rows without an id cannot be named as copies; they take no part and stay. Null and empty texts are
+    equal texts, an empty table stays empty, and no column name is taken.
     """
+    text, id_, node = free_names(docs, "near_text", "near_id", "near_node")
     named, nameless = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
     found = _classes(named, id_col, text_col).filter("id = class_id and node = first")
-    keep = found.select(F.col("id").alias("__near_id"), F.col("node").alias("__near_node")).distinct()
-    named = named.withColumn("__near_text", _node(whole(text_col))).dropDuplicates([id_col, "__near_text"])
-    kept = named.join(keep, (F.col("__near_text") == F.col("__near_node")) & (F.col(id_col) == F.col("__near_id")), "left_semi")
+    keep = found.select(F.col("id").alias(id_), F.col("node").alias(node)).distinct()
+    named = named.withColumn(text, _node(whole(text_col))).dropDuplicates([id_col, text])
+    kept = named.join(keep, (F.col(text) == F.col(node)) & (F.col(id_col) == F.col(id_)), "left_semi")
     return kept.select(*docs.columns).unionByName(nameless)

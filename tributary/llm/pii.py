@@ -5,7 +5,7 @@ number, lower-case letters of an address or name) decide its surrogate: a keyed
 digits to digits and letters to letters of the same case and script and leaves all separators, so
 the same person or number gets the same surrogate everywhere, in whatever format it is written.
 Names keep their title; given names come out in the gender that the title tells, composed of
-syllables of the entity's script. Addresses go to ranges that nobody owns (class E, ``.example``).
+syllables of the entity's script. Addresses go to ranges that nobody owns (class E, ``2001:db8``, ``.example``).
 
 Collision check: over all distinct entities, a surrogate that equals an entity met in the corpus,
 or that an earlier entity (in the order of kind and normal form) has as well, is drawn anew with the next attempt
@@ -32,21 +32,26 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra
 _OPEN = ("Dr", "Prof")
 
 _TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(_MALE + _FEMALE + _OPEN, key=len, reverse=True))})\.?"
+# Particles of surnames. A name begins with a capital or a letter without case, after particles.
+_PARTICLES = ("van der", "van den", "von der", "van", "von", "de la", "de", "del", "della", "di", "da", "dos", "du", "le", "la", "ter", "zu", "al", "bin", "ibn")
+_NAME_START = rf"(?:(?:{'|'.join(_PARTICLES)})[ -])?[\p{{Lu}}\p{{Lo}}]"
+_NAME = _NAME_START + r"[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
 #: Kind and Java pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "hex": r"(?<![A-Za-z0-9])(?=[a-f0-9]{0,63}[0-9])(?=[a-f0-9]{0,63}[a-f])(?:[a-f0-9]{40}|[a-f0-9]{64}|[a-f0-9]{32})(?![A-Za-z0-9])",
-    "name": _TITLE + r" \p{Lu}[\p{L}]++(?: \p{Lu}[\p{L}]++)?",
+    "name": _TITLE + rf" {_NAME}(?: {_NAME})?",
 }
 #: Only texts with one of these can hold an entity; a linear look before the alternation.
-_GATE = r"[0-9@]|[=:][ \t]*[\"']?[A-Za-z0-9+/_.-]{8}|" + _TITLE + r" \p{Lu}"
+_GATE = r"[0-9@]|[=:][ \t]*[\"']?[A-Za-z0-9+/_.-]{8}|" + _TITLE + " " + _NAME_START
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ -]?)", r"(?<sep>[ -]?)").replace(r"\1", r"\k<sep>")
 
 # Syllables by script (Latin, Cyrillic, Greek) and the gendered endings of given names.
@@ -54,11 +59,25 @@ _SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "la", "me", "ni", "ro", "sa", "te", "vi", "lo", "ka", "re", "mi", "no"),
     "cyrillic": ("ба", "де", "фи", "го", "ла", "ме", "ни", "ро", "са", "те", "ви", "ло", "ка", "ре", "ми", "но"),
     "greek": ("βα", "δε", "φι", "γο", "λα", "με", "νι", "ρο", "σα", "τε", "βι", "λο", "κα", "ρε", "μι", "νο"),
+    "han": ("林", "森", "明", "海", "文", "山", "川", "安", "和", "春", "秋", "金", "石", "云", "天", "华"),
+    "hiragana": ("あ", "か", "さ", "た", "な", "は", "ま", "や", "ら", "み", "き", "し", "ち", "に", "の", "も"),
+    "katakana": ("ア", "カ", "サ", "タ", "ナ", "ハ", "マ", "ヤ", "ラ", "ミ", "キ", "シ", "チ", "ニ", "ノ", "モ"),
+    "hangul": ("가", "나", "다", "라", "마", "바", "사", "아", "자", "하", "미", "수", "지", "민", "호", "영"),
+    "arabic": ("با", "دي", "في", "كا", "لا", "مي", "ني", "رو", "سا", "تو", "وي", "لو", "كي", "ري", "ما", "نو"),
+    "hebrew": ("בא", "די", "פי", "גו", "לא", "מי", "ני", "רו", "סא", "תי", "וי", "לו", "קא", "רי", "מא", "נו"),
+    "devanagari": ("बा", "दे", "फी", "गो", "ला", "मे", "नी", "रो", "सा", "ते", "वी", "लो", "का", "रे", "मी", "नो"),
 }
 _ENDINGS = {
     "latin": {"male": "n", "female": "na", "open": "l"},
     "cyrillic": {"male": "н", "female": "на", "open": "л"},
     "greek": {"male": "ν", "female": "να", "open": "λ"},
+    "han": {"male": "", "female": "美", "open": ""},
+    "hiragana": {"male": "お", "female": "こ", "open": ""},
+    "katakana": {"male": "オ", "female": "コ", "open": ""},
+    "hangul": {"male": "", "female": "희", "open": ""},
+    "arabic": {"male": "", "female": "ة", "open": ""},
+    "hebrew": {"male": "", "female": "ה", "open": ""},
+    "devanagari": {"male": "", "female": "ा", "open": ""},
 }
 
 
@@ -72,8 +91,10 @@ def _part(e: Column, pattern: str) -> Column:
     return F.regexp_extract(e, pattern, 0)
 
 
+#: Particles go with the name they belong to, so a body has one or two words.
+_PARTICLE_LEAD = rf"(^| )(?:{'|'.join(_PARTICLES)})[ -](?=[\p{{Lu}}\p{{Lo}}])"
 _SECRET_LEAD = r"^.*?[=:][ \t]*[\"']?"
-_TITLE_LEAD = r"^.*?(?= \p{Lu})"
+_TITLE_LEAD = rf"^.*?(?= {_NAME_START})"
 
 
 def _body(kind: Column, e: Column) -> Column:
@@ -90,7 +111,7 @@ def _normal(kind: Column, body: Column) -> Column:
     return (
         F.when(kind.isin("card", "ssn"), F.regexp_replace(body, "[^0-9]", ""))
         .when(kind == "phone", F.right(F.regexp_replace(body, "[^0-9]", ""), F.lit(10)))
-        .when(kind.isin("email", "name"), F.lower(body))
+        .when(kind.isin("email", "name", "ip6"), F.lower(body))
         .when(kind == "iban", F.replace(body, F.lit(" "), F.lit("")))
         .when(kind == "ip", F.regexp_replace(body, r"(?<![0-9])0+(?=[0-9])", ""))
         .otherwise(body)
@@ -139,19 +160,22 @@ def _gender(e: Column) -> Column:
 
 
 def _name_word(word: Column, stream: Column, attempt: Column, ending: Callable[[str], Column]) -> Column:
-    """Four syllables in the script of ``word``, one more with each attempt so that free names never run out, the first letter large."""
+    """Four syllables in the script of ``word``, one more with each attempt so that free names never run out, the first letter large.
 
-    def script(name: str) -> Column:
-        s = _SYLLABLES[name]
-        syllable = lambda i: F.element_at(F.array(*map(F.lit, s)), _byte(stream, i) % len(s) + 1)
-        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(4), attempt + 3), syllable), "")).otherwise("")
-        return F.initcap(F.concat(*(syllable(F.lit(i)) for i in range(4)), more, ending(name)))
-
-    return F.when(word.rlike(r"\p{IsCyrillic}"), script("cyrillic")).when(word.rlike(r"\p{IsGreek}"), script("greek")).otherwise(script("latin"))
+    A hyphenated name stays one: two more syllables after the hyphen.
+    """
+    name = F.coalesce(*(F.when(word.rlike(rf"\p{{Is{s.capitalize()}}}"), F.lit(s)) for s in _SYLLABLES if s != "latin"), F.lit("latin"))
+    tables = F.create_map(*(x for s, all_of in _SYLLABLES.items() for x in (F.lit(s), F.array(*map(F.lit, all_of)))))
+    syllable = lambda i: F.element_at(tables[name], _byte(stream, i) % len(_SYLLABLES["latin"]) + 1)
+    spell = lambda first, last: F.array_join(F.transform(F.sequence(first, last), syllable), "")
+    more = F.when(attempt > 0, spell(F.lit(4), attempt + 3)).otherwise("")
+    end = F.coalesce(*(F.when(name == s, ending(s)) for s in _SYLLABLES))
+    second = F.when(word.contains("-"), F.concat(F.lit("-"), F.initcap(spell(F.lit(100), F.lit(101))))).otherwise("")
+    return F.concat(F.initcap(F.concat(spell(F.lit(0), F.lit(3)), more, end)), second)
 
 
 def _name(x: Column) -> Column:
-    words = F.split(x["body"], " ")
+    words = F.split(F.regexp_replace(x["body"], _PARTICLE_LEAD, "$1"), " ")
     last, first, gender = F.element_at(words, -1), F.element_at(words, 1), _gender(x["e"])
 
     def ending(script: str) -> Column:
@@ -172,7 +196,9 @@ def _new(x: Column) -> Column:
     digits = F.length(F.regexp_replace(body, "[^0-9]", ""))
     lead = F.when(kind == "aws_key", 4).when(kind == "phone", F.greatest(digits - 10, F.lit(0))).when(kind == "iban", 2).otherwise(0)
     hexes = (kind == "hex") | ((kind == "secret") & ~body.rlike("[^a-f0-9]"))
-    new = F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "name", _name(x)).otherwise(_mapped(body, stream, hexes, lead))
+    groups = [F.substr(stream, F.lit(17 + 4 * i), F.lit(4)) for i in range(6)]
+    ip6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *groups)
+    new = F.when(kind == "email", mail).when(kind == "ip6", ip6).when(kind == "ip", ip).when(kind == "name", _name(x)).otherwise(_mapped(body, stream, hexes, lead))
     return F.concat(F.substr(e, F.lit(1), F.length(e) - F.length(body)), new)
 
 
@@ -274,10 +300,14 @@ def pseudonymize(docs: DataFrame, key: str = DEMO_KEY, id_col: str = "doc_id", t
     if again.isEmpty():
         attempt = lambda kind, normal: F.lit(0)
     else:
-        spots = _normals(docs.select(F.col(id_col).alias("__pii_id"), F.explode(found(whole(text))).alias("e"))).distinct()
+        # by id and text: rows that share an id, or have none, don't share a map
+        digest = lambda: F.sha2(whole(text).cast("binary"), 256)
+        spots = docs.select(F.col(id_col).alias("__pii_id"), digest().alias("__pii_text"), F.explode(found(whole(text))).alias("e"))
         entry = F.struct(F.concat_ws("\x1f", "kind", "normal"), "attempt")
-        maps = spots.join(again, ["kind", "normal"]).groupBy("__pii_id").agg(F.map_from_entries(F.collect_list(entry)).alias("__pii_map"))
-        rows = rows.join(maps, F.col(id_col).eqNullSafe(F.col("__pii_id")), "left")
+        maps = _normals(spots).distinct().join(again, ["kind", "normal"])
+        maps = maps.groupBy("__pii_id", "__pii_text").agg(F.map_from_entries(F.collect_list(entry)).alias("__pii_map"))
+        rows = rows.withColumn("__pii_own", digest())
+        rows = rows.join(maps, F.col(id_col).eqNullSafe(F.col("__pii_id")) & (F.col("__pii_own") == F.col("__pii_text")), "left")
         attempt = lambda kind, normal: F.coalesce(F.try_element_at("__pii_map", F.concat_ws("\x1f", kind, normal)), F.lit(0))
 
     rows = _worked(rows, "__pii_found", key, attempt)

@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until no column of ``df`` is called so (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+        taken.add(name.lower())
+    return free
+
+
 def whole(column: str | Column) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

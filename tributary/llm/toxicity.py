@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm.texts import blocks, whole
+from tributary.scratch import Scratch
 
 #: At most so many labelled rows of each class are fitted, three quarters for counts, the rest for the curve.
 FIT_ROWS = 8_000
@@ -220,21 +221,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if "part" not in picked.columns:
         return None
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").persist()  # at most about 2 * FIT_ROWS labels
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.save(texts.join(F.broadcast(picked), "id").select("toxic", "part", "text"), "rows")  # at most about 2 * FIT_ROWS labels
     try:
         sizes = {r["toxic"]: r["n"] for r in rows.filter("part > 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(sizes) < 2:
             return None
-        met = _expressions(rows.filter("part > 0").select("toxic", "text")).persist()
-        corpus = _corpus_counts(docs, text_col).persist()
+        met = scratch.save(_expressions(rows.filter("part > 0").select("toxic", "text")), "expressions")
+        corpus = scratch.save(_corpus_counts(docs, text_col), "corpus")
         model = _models(met, corpus, {"toxic_n": sizes[1], "ordinary_n": sizes[0]})
-        met.unpersist()
-        corpus.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(model)
         feature = F.pandas_udf(lambda t: pd.Series([sent.value.feature(x) for x in t], dtype="float64"), T.DoubleType())
         points = rows.filter("part = 0").select("toxic", feature("text").alias("x")).toPandas()
     finally:
-        rows.unpersist()
+        scratch.close()
     if points["toxic"].nunique() < 2 or points["x"].nunique() < 2:
         return None
     model.slope, model.offset = _fit_curve(points["x"].to_numpy(), points["toxic"].to_numpy(dtype=float))
