@@ -71,3 +71,10 @@ def test_odd_rows(odd, none):
     assert counted[2, 0] == counted[3, 0] == counted[4, 4] == (0, False)
     assert counted[5, 28_000][1] is True
     assert bpe.decode(bpe.encode(none, BYTE), BYTE).count() == token_counts.token_counts(none, WORD).count() == 0
+
+
+def test_round_trip_is_encode_and_decode(odd, none):
+    apart = bpe.decode(bpe.encode(odd, BYTE), BYTE).select("doc_id", "text", "score", "ids", "decoded").collect()
+    once = bpe.round_trip(odd.withColumnRenamed("kept", "made"), BYTE).select("doc_id", "text", "score", "ids", "decoded").collect()
+    assert sorted(map(str, once)) == sorted(map(str, apart))
+    assert bpe.round_trip(none, BYTE).collect() == []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.texts import WHITE, Bounded, blocks, whole
+from tributary.llm.texts import WHITE, Bounded, blocks, free_names, whole
 from tributary.llm.token_counts import byte_letters
 
 #: Distinct words and arcs that a Python worker keeps, some 200 and 150 bytes each.
@@ -199,6 +199,11 @@ def _encoded(texts: list[str], machine: MergeAutomaton) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 
 
+def _decoded(ids: pa.Array, machine: MergeAutomaton) -> pa.Array:
+    values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+    return pa.array((machine.decode(values[a:b]) for a, b in itertools.pairwise(offsets)), pa.string())
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text_col`` in ``out_col`` (replaced if it is there already).
 
@@ -209,7 +214,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
         machine = automaton(path)
-        return pa.concat_arrays([_encoded(run, machine) for run in blocks(texts.to_pylist())] or [_encoded([], machine)])
+        return pa.concat_arrays([_encoded(run, machine) for run in blocks(t.as_py() for t in texts)] or [_encoded([], machine)])
 
     return docs.withColumn(out_col, ids(whole(text_col)))
 
@@ -219,9 +224,31 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
 
     @F.arrow_udf(T.StringType())
     def text(ids: pa.Array) -> pa.Array:
-        machine = automaton(path)
-        values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-        return pa.array((machine.decode(values[a:b]) for a, b in itertools.pairwise(offsets)), pa.string())
+        return _decoded(ids, automaton(path))
 
     empty = F.array().cast(T.ArrayType(T.IntegerType()))
     return docs.withColumn(out_col, text(F.coalesce(F.col(ids_col), empty)))
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: the ids go to the text's own Python worker only, not there and back.
+
+    Rows and other columns stay; columns named ``ids_col`` and ``out_col`` are replaced. Null and empty
+    texts give an empty list and the empty text.
+    """
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def both(texts: pa.Array) -> pa.Array:
+        machine = automaton(path)
+        ids, back = [], []
+        for run in blocks(t.as_py() for t in texts):
+            ids.append(_encoded(run, machine))
+            back.append(_decoded(ids[-1], machine))
+        if not ids:
+            ids, back = [_encoded([], machine)], [pa.array([], pa.string())]
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "text"])
+
+    (made,) = free_names(docs, "made")
+    rows = docs.withColumn(made, both(whole(text_col)))
+    return rows.withColumns({ids_col: F.col(made)["ids"], out_col: F.col(made)["text"]}).drop(made)

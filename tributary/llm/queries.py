@@ -43,9 +43,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path).select("doc_id", "ids")
     listed = F.translate(F.col("ids").cast("string"), "[] ", "")
-    return bpe.decode(encoded, path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
