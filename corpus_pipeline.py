@@ -43,10 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids`` of each document that is left; its text is decoded from the ids."""
-    path = vocabulary("byte_bpe_50k.json")
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), path)
-    decoded = bpe.decode(encoded.select("doc_id", "source", "ids"), path, out_col="text")
-    return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.json"), out_col="text")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES: list[tuple[str, Stage]] = [
