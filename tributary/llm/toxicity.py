@@ -18,8 +18,8 @@ and a logistic curve fitted on rows that the counts have not seen turns it into
 
 Sizes: the shared counts are kept by word in a DataFrame and cover every document. The class counts
 come from at most ``FIT_ROWS`` labelled rows of each class (a bounded sample, chosen by a hash of
-the id). Only the words met in that sample leave the DataFrame, with their exact shared counts, and
-only the expressions on which the classes differ are sent to the executors.
+the id). Levels are computed in DataFrames, with exact shared counts; only the expressions on which
+the classes differ come to the driver and go to the executors.
 """
 
 from __future__ import annotations
@@ -143,43 +143,54 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _levels(met: dict[str, np.ndarray], expected: dict[str, np.ndarray], weight: dict[str, float]) -> dict[str, np.ndarray]:
-    """Log of discounted, weighted and interpolated counts over expected ones, 0 where the classes hardly differ."""
-    counts = {c: weight[c] * np.maximum(n - DISCOUNT, 0) for c, n in met.items()}
-    out = {c: np.log((n + STRENGTH * expected[c]) / ((1 + STRENGTH) * expected[c])) for c, n in counts.items()}
-    difference = out["toxic_n"] - out["ordinary_n"]
-    apart = np.abs(difference) >= np.log(RATIO)
-    return {c: np.where(apart, x, 0.0) for c, x in out.items()}
+def _levels(counts: dict[str, Column], expected: dict[str, Column], weight: dict[str, float]) -> list[Column]:
+    """By class (named as the counts, with ``_gain``): log of discounted, weighted and interpolated counts over expected ones.
+
+    0 where the classes hardly differ.
+    """
+    out = {}
+    for c, n in counts.items():
+        met = F.lit(weight[c]) * F.greatest(n - DISCOUNT, F.lit(0.0))
+        out[c] = F.log((met + STRENGTH * expected[c]) / ((1 + STRENGTH) * expected[c]))
+    apart = F.abs(out["toxic_n"] - out["ordinary_n"]) >= float(np.log(RATIO))
+    return [F.when(apart, x).otherwise(0.0).alias(f"{c}_gain") for c, x in out.items()]
 
 
 def _models(expressions: DataFrame, corpus: DataFrame, sizes: dict[str, float]) -> ToxicityModel:
-    """``corpus``: ``word, n`` of all documents; ``sizes``: fitted texts of each class, not 0."""
+    """``corpus``: ``word, n`` of all documents; ``sizes``: fitted texts of each class, not 0. Both are stored tables.
+
+    Levels are computed in Spark; the driver gets the expressions on which the classes differ.
+    """
     texts = sum(sizes.values())
     weigh = {c: texts / 2 / n for c, n in sizes.items()}
     floor = max(LEAST_FLOOR * max(weigh.values()), FLOOR * texts)
     least = max(LEAST_SHARED * max(weigh.values()), MIN_SHARE * texts)
-    single = expressions.filter("first = ''").join(corpus, "word").toPandas().sort_values("word", ignore_index=True)
-    pairs = expressions.filter("first != ''").filter(sum(F.col(c) * weigh[c] for c in sizes) >= least).toPandas()
-    shared = single["n"].to_numpy(dtype=float) / (corpus.agg(F.sum("n")).first()[0] or 1)
-    met = {c: single[c].to_numpy(dtype=float) for c in sizes}
-    total = {c: max(weigh[c] * n.sum(), 1.0) for c, n in met.items()}
+    counts = {c: F.col(c) for c in sizes}
+    single, pairs = expressions.filter("first = ''"), expressions.filter("first != ''")
+    met = single.join(corpus, "word", "left_semi").agg(*(F.sum(c).alias(c) for c in sizes)).first()
+    total = {c: max(weigh[c] * (met[c] or 0), 1.0) for c in sizes}
     share = {c: t / sum(total.values()) for c, t in total.items()}
-    word = _levels(met, {c: share[c] * (shared * sum(total.values()) + floor) for c in met}, weigh)
-    index = pd.Series(single.index, index=single["word"])
-    second = index.reindex(pairs["word"]).to_numpy(dtype=np.int64)
-    two = {c: pairs[c].to_numpy(dtype=float) for c in met}
-    weight = {c: share[c] * np.exp(word[c][second]) for c in met}
-    lead = {c: w / np.maximum(sum(weight.values()), 1e-12) for c, w in weight.items()}
-    both = sum(weigh[c] * n for c, n in two.items())
-    gain = _levels(two, {c: lead[c] * (both + floor) for c in met}, weigh)
-    count = gain["toxic_n"] != gain["ordinary_n"]
-    pairs = pairs[count]
-    used = (word["toxic_n"] != word["ordinary_n"]) | single["word"].isin(set(pairs["first"]) | set(pairs["word"])).to_numpy()
-    places = {w: i for i, w in enumerate(single["word"][used], 1)}
-    keys = (pairs["first"].map(places) * (len(places) + 1) + pairs["word"].map(places)).to_numpy(dtype=np.int64)
+    shared = F.col("n") / float(corpus.agg(F.sum("n")).first()[0] or 1)
+    spread = shared * sum(total.values()) + floor
+    word = single.join(corpus, "word").select("word", *_levels(counts, {c: share[c] * spread for c in sizes}, weigh))
+
+    frequent = pairs.filter(sum(counts[c] * weigh[c] for c in sizes) >= least)
+    weight = {c: share[c] * F.exp(f"{c}_gain") for c in sizes}
+    lead = {c: w / F.greatest(sum(weight.values()), F.lit(1e-12)) for c, w in weight.items()}
+    both = sum(weigh[c] * counts[c] for c in sizes)
+    two = frequent.join(word, "word").select("first", "word", *_levels(counts, {c: lead[c] * (both + floor) for c in sizes}, weigh))
+    differ = "toxic_n_gain != ordinary_n_gain"
+    words_, two_ = word.filter(differ).toPandas(), two.filter(differ).toPandas()
+    places = {w: i for i, w in enumerate(sorted({*words_["word"], *two_["first"], *two_["word"]}), 1)}
+    keys = (two_["first"].map(places) * (len(places) + 1) + two_["word"].map(places)).to_numpy(dtype=np.int64)
     order = np.argsort(keys)
-    toxic, ordinary = (ClassModel(np.append(0.0, word[c][used]), gain[c][count][order]) for c in ("toxic_n", "ordinary_n"))
-    return ToxicityModel(toxic, ordinary, places, keys[order])
+
+    def model(c: str) -> ClassModel:
+        gains = np.zeros(len(places) + 1)
+        gains[words_["word"].map(places).to_numpy(dtype=np.int64)] = words_[f"{c}_gain"]
+        return ClassModel(gains, two_[f"{c}_gain"].to_numpy(dtype=float)[order])
+
+    return ToxicityModel(model("toxic_n"), model("ordinary_n"), places, keys[order])
 
 
 def _sample(rows: DataFrame) -> DataFrame:
