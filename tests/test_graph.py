@@ -105,12 +105,28 @@ def test_components_and_cycle_breaking(spark, pairs):
         assert expected[a] == expected[b]
 
 
-def test_cycle_breaking_is_the_same_in_rounds_and_in_tasks(spark, monkeypatch):
-    ring = [(i, (i + 1) % 8) for i in range(8)] + [(i, (i + 3) % 8) for i in range(8)]
-    local = {(r.src, r.dst) for r in graph.break_cycles(frame(spark, ring))[1].collect()}
-    monkeypatch.setattr(graph, "_LOCAL_EDGES", 9)
-    rounds = {(r.src, r.dst) for r in graph.break_cycles(frame(spark, ring))[1].collect()}
-    assert local == rounds and components([e for e in ring if e not in local]) == {}
+def cut_by_rule(pairs):
+    """The largest edge of each component, again and again."""
+    left, gone = set(pairs), set()
+    while found := components(sorted(left)):
+        worst = {}
+        for a, b in left:
+            if a in found and found.get(b) == found[a]:
+                worst[found[a]] = max(worst.get(found[a], (a, b)), (a, b))
+        gone |= set(worst.values())
+        left -= set(worst.values())
+    return gone
+
+
+def test_cuts_follow_the_rule(spark):
+    pairs = []
+    for n, (seed, nodes, edges) in enumerate([(1, 5, 9), (2, 8, 20), (3, 12, 30), (4, 20, 45), (5, 9, 40), (6, 30, 70)]):
+        pairs += [(100 * n + a, 100 * n + b) for a, b in random_pairs(seed, nodes, edges)]
+    pairs += [(600 + i, 600 + (i + 1) % 8) for i in range(8)] + [(600 + i, 600 + (i + 3) % 8) for i in range(8)]
+    pairs = sorted(set(pairs))
+    dropped = graph.break_cycles(frame(spark, pairs))[1].collect()
+    assert {(r.src, r.dst) for r in dropped} == cut_by_rule(pairs)
+    assert all(r.component == components(pairs)[r.src] for r in dropped)
 
 
 def test_many_cuts_and_descending_ring(spark):

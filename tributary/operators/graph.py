@@ -10,22 +10,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.operators import windows
 from tributary.scratch import Scratch
 
 UPSTREAM = "upstream"
 DOWNSTREAM = "downstream"
 
 # Rounds of neighbour labels before labels start to jump.
-_PLAIN_ROUNDS = 12
-
-
-# Edges of a component that is cut in one task; larger ones are cut by the same rule in rounds.
-_LOCAL_EDGES = 50_000
+_PLAIN_ROUNDS = 4
 
 
 class CycleFound(RuntimeError):
@@ -288,44 +284,54 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     raise AssertionError("unreachable")
 
 
-def cycle_components(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle, as ``node, component`` (the least node of the component).
+def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20) -> DataFrame | None:
+    """``node, root`` of each component of two nodes or more, ``root`` being one of them; None if there is none.
 
-    Members of one component share both labels, and a node whose two labels agree is in the
-    component of that label. Such components are taken out, edges between nodes of different
-    labels are on no cycle and go as well, and the rest is searched again. Memory stays linear in
-    the edges: no reachability pairs are built.
+    ``pairs`` is a stored table of distinct numbered edges without loops. Members of one component
+    share both labels, and a node whose two labels agree is in the component of that label. Such
+    components are taken out, edges between nodes of different labels are on no cycle and go as
+    well, and the rest is searched again.
     """
-    scratch = Scratch(edges.sparkSession, "components")
-    pairs = scratch.save(edges.select("src", "dst").distinct(), "edges")
-    numbers = _Numbering(scratch, pairs)
-    if numbers.table is not None:
-        pairs = scratch.save(numbers.encode(pairs, "src", "dst").select("src", "dst"), "pairs")
-    node_type = pairs.schema["src"].dataType
-    rest = _trimmed(pairs.where("src <> dst"), scratch, "pass-0")
+    rest = _trimmed(pairs, scratch, f"{tag}/pass-0", trims)
     searched = False
     for turn in count(1):  # every pass settles at least the component of the least node
         if rest.isEmpty():
             break
-        labels = _two_way_labels(rest, scratch, f"pass-{turn}")
-        scratch.save(labels.where("above = below").select("node", F.col("above").alias("root")), f"found/turn={turn}")
+        labels = _two_way_labels(rest, scratch, f"{tag}/pass-{turn}")
+        scratch.save(labels.where("above = below").select("node", F.col("above").alias("root")), f"{tag}/found/turn={turn}")
         searched = True
         open_nodes = labels.where("above <> below")
         heads = open_nodes.select(F.col("node").alias("src"), "above", "below")
         tails = open_nodes.select(F.col("node").alias("dst"), F.col("above").alias("above_"), F.col("below").alias("below_"))
         rest = scratch.save(
             rest.join(heads, "src").join(tails, "dst").where("above = above_ and below = below_").select("src", "dst"),
-            f"pass-{turn}/rest",
+            f"{tag}/pass-{turn}/rest",
         )
-        rest = _trimmed(rest, scratch, f"pass-{turn}")
+        rest = _trimmed(rest, scratch, f"{tag}/pass-{turn}", trims)
+    if not searched:
+        return None
+    kind = pairs.schema["src"].dataType
+    found = scratch.load(f"{tag}/found", T.StructType([T.StructField("node", kind), T.StructField("root", kind)])).select("node", "root")
+    several = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    return found.join(several, "root").select("node", "root")
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle, as ``node, component`` (the least node of the component).
+
+    Memory stays linear in the edges: no reachability pairs are built.
+    """
+    scratch = Scratch(edges.sparkSession, "components")
+    pairs = scratch.save(edges.select("src", "dst").distinct(), "edges")
+    numbers = _Numbering(scratch, pairs)
+    if numbers.table is not None:
+        pairs = scratch.save(numbers.encode(pairs, "src", "dst").select("src", "dst"), "pairs")
+    found = _components_of(pairs.where("src <> dst"), scratch, "search")
     loops = numbers.decode(pairs.where("src = dst").select(F.col("src").alias("node")), "node")
     loops = loops.withColumn("component", F.col("node"))
-    if not searched:
+    if found is None:
         return loops
-    schema = T.StructType([T.StructField("node", node_type), T.StructField("root", node_type)])
-    found = scratch.load("found", schema).select("node", "root")
-    several = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    named = numbers.decode(found.join(several, "root"), "node")
+    named = numbers.decode(found, "node")
     least = named.groupBy("root").agg(F.min("node").alias("component"))
     real = named.join(least, "root").select("node", "component")
     alone = loops.join(real, "node", "left_anti")
@@ -345,100 +351,68 @@ def on_cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def _strong_components(edges: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """Edges ``(src, dst, place)`` of each strongly connected component that has a cycle."""
-    after: dict[int, list[int]] = {}
-    for src, dst, _ in edges:
-        after.setdefault(src, []).append(dst)
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    part: dict[int, int] = {}
-    path: list[int] = []
-    for root in after:
-        if root in index:
+def _cut_edges(todo: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
+    """``s, d`` of the edges that go, from stored ``s, d, lo, hi, a, b``.
+
+    Nodes are numbered in their order, 1 to ``nodes``. Node ``s`` joins the graph at time ``s``, and an
+    edge is there once both its ends are. Its ends come to lie in one component at some time in
+    ``(lo, hi]``; ``a`` and ``b`` are its ends with what is one component at ``lo`` drawn together. Each
+    turn halves all intervals at once: one search finds the components at the middles, edges inside
+    them go on with the earlier half, the others, drawn together, with the later one.
+    """
+    base = nodes + 1
+    if base * base >= 1 << 63:
+        raise ValueError("too many nodes on cycles to number their intervals")
+    cut = T.StructType([T.StructField("s", T.LongType()), T.StructField("d", T.LongType())])
+    for turn in count():  # intervals halve, so it ends
+        scratch.save(todo.where("hi - lo = 1 and hi = s").select("s", "d"), f"cut/turn={turn}")
+        open_ = scratch.save(todo.where("hi - lo > 1").withColumn("mid", F.expr("(lo + hi) div 2")), f"open-{turn}")
+        if open_.isEmpty():
+            return scratch.load("cut", cut).select("s", "d")
+        there = F.greatest("s", "d") <= F.col("mid")
+        # intervals of one turn are disjoint, so the low end keeps their nodes apart
+        key = lambda end: F.col("lo") * base + F.col(end)
+        pairs = scratch.save(open_.where(there).select(key("a").alias("src"), key("b").alias("dst")).distinct(), f"pairs-{turn}")
+        found = _components_of(pairs, scratch, f"search-{turn}", trims=3)
+        if found is None:
+            todo = open_.select("s", "d", F.col("mid").alias("lo"), "hi", "a", "b")
             continue
-        index[root] = low[root] = len(index)
-        path.append(root)
-        work = [(root, iter(after[root]))]
-        while work:
-            node, rest = work[-1]
-            step = next(rest, None)
-            if step is None:
-                work.pop()
-                if low[node] == index[node]:
-                    while True:
-                        member = path.pop()
-                        part[member] = node
-                        if member == node:
-                            break
-                if work:
-                    above = work[-1][0]
-                    low[above] = min(low[above], low[node])
-            elif step not in index:
-                index[step] = low[step] = len(index)
-                path.append(step)
-                work.append((step, iter(after.get(step, ()))))
-            elif step not in part:
-                low[node] = min(low[node], index[step])
-    inside: dict[int, list[tuple[int, int, int]]] = {}
-    for edge in edges:
-        if part[edge[0]] == part[edge[1]]:
-            inside.setdefault(part[edge[0]], []).append(edge)
-    return list(inside.values())
-
-
-def _cut_component(group: pd.DataFrame) -> pd.DataFrame:
-    """The edges that go when the largest edge of each component goes, again and again."""
-    todo = [list(group[["src", "dst", "place"]].itertuples(index=False, name=None))]
-    cut = []
-    while todo:
-        for part in _strong_components(todo.pop()):
-            worst = max(part, key=lambda e: e[2])
-            cut.append(worst[2])
-            todo.append([e for e in part if e is not worst])
-    return group[group["place"].isin(cut)][["place", "component"]]
+        found = scratch.save(found.withColumn("root", F.col("root") % base), f"found-{turn}")
+        for end in ("a", "b"):
+            root = found.select(F.col("node").alias(f"key_{end}"), F.col("root").alias(f"root_{end}"))
+            open_ = open_.withColumn(f"key_{end}", key(end)).join(root, f"key_{end}", "left")
+        early = F.coalesce(there & (F.col("root_a") == F.col("root_b")), F.lit(False))
+        drawn = lambda end: F.when(early, F.col(end)).otherwise(F.coalesce(f"root_{end}", end)).alias(end)
+        lo, hi = F.when(early, F.col("lo")).otherwise(F.col("mid")), F.when(early, F.col("mid")).otherwise(F.col("hi"))
+        todo = scratch.save(open_.select("s", "d", lo.alias("lo"), hi.alias("hi"), drawn("a"), drawn("b")), f"todo-{turn}")
+    raise AssertionError("unreachable")
 
 
 def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Make the graph acyclic; returns ``(kept edges, dropped src/dst/component)``.
 
-    One rule for every size: of each component that has a cycle the largest edge (in node order)
-    goes, again and again, until no cycle is left. Components of up to ``_LOCAL_EDGES`` edges are
-    cut to the end in one task each; larger ones lose one edge, all of them at once, and are
-    searched again. The two ways cut the same edges. ``component`` is the least node of the
-    component that the graph had before anything was cut there, or that a round found.
+    The rule: of each component that has a cycle the largest edge (in node order) goes, again and
+    again, until no cycle is left. That is: an edge goes exactly if it is a loop, or if its target
+    reaches its source through nodes smaller than the source. The search for these edges halves
+    the node order (:func:`_cut_edges`), so the component searches grow with the logarithm of the
+    largest component, not with the cuts, and no component is ever gathered in a task.
+    ``component`` is the least node of the component that the edge was in.
     """
     scratch = Scratch(edges.sparkSession, "break-cycles")
-    rest, found = edges, False
-    for turn in count():
-        components = cycle_components(rest)
-        if components.isEmpty():
-            break
-        looped = scratch.save(on_cycle_edges(rest, components).distinct(), f"looped-{turn}")
-        sizes = looped.groupBy("component").agg(F.count(F.lit(1)).alias("size_"))
-        sized = looped.join(sizes, "component")
-        small, large = sized.where(F.col("size_") <= _LOCAL_EDGES), sized.where(F.col("size_") > _LOCAL_EDGES)
-        order = Window.partitionBy("component").orderBy("src", "dst")
-        placed = scratch.save(small.withColumn("place_", F.row_number().over(order)), f"placed-{turn}")
-        names = placed.select("component", F.explode(F.array("src", "dst")).alias("node_")).distinct()
-        key = names.select("component", "node_", F.dense_rank().over(Window.partitionBy("component").orderBy("node_")).cast("long").alias("id_"))
-        key = scratch.save(key, f"keys-{turn}")
-        flat = placed.join(key.withColumnsRenamed({"node_": "src", "id_": "s_"}), ["component", "src"])
-        flat = flat.join(key.withColumnsRenamed({"node_": "dst", "id_": "d_"}), ["component", "dst"])
-        flat = flat.select("component", F.col("s_").alias("src"), F.col("d_").alias("dst"), F.col("place_").alias("place"))
-        kind = looped.schema["component"].dataType.simpleString()
-        gone = flat.groupBy("component").applyInPandas(_cut_component, f"place int, component {kind}")
-        local = placed.join(gone.withColumnRenamed("place", "place_"), ["component", "place_"])
-        worst = large.groupBy("component").agg(F.max(F.struct("src", "dst")).alias("edge"))
-        cut = local.select("src", "dst", "component").unionByName(worst.select("edge.src", "edge.dst", "component"))
-        cut = scratch.save(cut, f"dropped/turn={turn}")
-        found = True
-        rest = large.join(cut, ["src", "dst"], "left_anti").select("src", "dst")
-        if rest.isEmpty():
-            break
-    if not found:
-        node = edges.schema["src"].dataType
+    members = cycle_components(edges)
+    node = edges.schema["src"].dataType
+    if members.isEmpty():
         none = T.StructType([T.StructField(n, node) for n in ("src", "dst", "component")])
         return edges, edges.sparkSession.createDataFrame([], none)
-    dropped = scratch.load("dropped", looped.schema).select("src", "dst", "component")
+    looped = scratch.save(on_cycle_edges(edges, members).distinct(), "looped")
+    placed = scratch.save(windows.with_positions(members, [], ["component", "node"], "number"), "placed")
+    spans = placed.groupBy("component").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    flat = looped.where("src <> dst").join(spans, "component")
+    for end, number in (("src", "s"), ("dst", "d")):
+        flat = flat.join(placed.select(F.col("node").alias(end), F.col("number").alias(number)), end)
+    flat = scratch.save(flat.select("s", "d", "lo", "hi", F.col("s").alias("a"), F.col("d").alias("b")), "flat")
+    cut = _cut_edges(flat, placed.count(), scratch)
+    sources = placed.select(F.col("number").alias("s"), F.col("node").alias("src"), "component")
+    named = cut.join(sources, "s").join(placed.select(F.col("number").alias("d"), F.col("node").alias("dst")), "d")
+    dropped = scratch.save(named.select("src", "dst", "component").unionByName(looped.where("src = dst")), "dropped")
     return edges.join(dropped.select("src", "dst"), ["src", "dst"], "left_anti"), dropped

@@ -104,9 +104,12 @@ def _graph_nodes(spark, sf):
     return nodes
 
 
-@query("a2_search_index", _NODES + "SELECT column_name, model, layer FROM nodes")
+@query("a2_search_index", _NODES + "SELECT project_id, column_name, model, layer FROM nodes, (VALUES ('shop'), ('lab')) v(project_id)")
 def search_index(spark, sf):
-    return catalog.search_index(_graph_nodes(spark, sf)).withColumnRenamed("column", "column_name")
+    """Two projects whose nodes have equal names."""
+    nodes = _graph_nodes(spark, sf)
+    both = nodes.withColumn("project_id", F.explode(F.array(F.lit("shop"), F.lit("lab"))))
+    return catalog.search_index(both).withColumnRenamed("column", "column_name")
 
 
 @query(
@@ -222,9 +225,11 @@ def described_models(spark, sf):
     made = customers.select(
         F.lit("shop").alias("project_id"),
         F.explode(F.array(F.format_string("cust_%d", "c_custkey"), F.format_string("ghost_%d", "c_custkey"))).alias("model"),
+        F.lit("final_select").alias("step_id"),
         F.lit("name").alias("output_name"),
     )
-    found = catalog.feature_index(made.unionByName(made), I.projection_models(spark, sf))
+    inner = made.withColumns({"step_id": F.lit("cte:draft"), "output_name": F.lit("draft")})
+    found = catalog.feature_index(made.unionByName(made).unionByName(inner), I.projection_models(spark, sf))
     return plain(found.select("model", F.col("column").alias("column_name"), "tags", "test_count", "owner"))
 
 

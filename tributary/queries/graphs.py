@@ -64,6 +64,19 @@ def dropped_edges(spark, sf):
     return dropped.select("src", "dst")
 
 
+_TWO_WAY_SQL = """WITH k AS (SELECT o_orderkey AS k FROM orders),
+e AS (SELECT k AS src, k + 1 AS dst FROM k WHERE k % 64 < 63 UNION SELECT k + 1, k FROM k WHERE k % 64 < 63
+      UNION SELECT k + 7, k FROM k WHERE k % 64 < 57)
+SELECT src, dst FROM e WHERE src IN (SELECT k FROM k) AND dst IN (SELECT k FROM k) AND """
+
+
+@query("g7_many_cuts", _TWO_WAY_SQL + "src > dst")
+def many_cuts(spark, sf):
+    """Blocks of 64 nodes with edges both ways: more than a hundred edges of each component must go."""
+    _, dropped = graph.break_cycles(I.two_way_edges(spark, sf))
+    return dropped.select("src", "dst")
+
+
 @query(
     "g8_terminal_nodes",
     I.RECORD_SQL + "SELECT node, node NOT IN (SELECT dst FROM e) AS is_source, node NOT IN (SELECT src FROM e) AS is_sink FROM nodes",

@@ -116,6 +116,18 @@ def cycle_edges(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(bridges).join(keys.select(k.alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def two_way_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Order keys in blocks of 64: edges between neighbours both ways, and from the seventh key on back."""
+    keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    k, place = F.col("k"), F.col("k") % 64
+    near = F.when(place < 63, F.array(F.struct(k.alias("src"), (k + 1).alias("dst")), F.struct((k + 1).alias("src"), k.alias("dst"))))
+    back = F.when(place < 57, F.array(F.struct((k + 7).alias("src"), k.alias("dst"))))
+    edges = keys.select(F.explode(F.concat(F.coalesce(near, F.array()), F.coalesce(back, F.array()))).alias("e")).select("e.*")
+    for end in ("src", "dst"):
+        edges = edges.join(keys.select(k.alias(end)), end, "left_semi")
+    return edges.select("src", "dst")
+
+
 def chain_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation turn to the next one."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn").distinct()

@@ -183,14 +183,28 @@ def models_without_cycles(spark, sf):
     return D.drop_excluded(models, D.cyclic_models(models, deps)[0], "name").select("name")
 
 
+def _made(models):
+    """One final output of each model, and a column of an earlier step that is no output."""
+    steps = F.explode(F.array(F.lit("final_select"), F.lit("cte:draft"))).alias("step_id")
+    return models.select("project_id", F.col("name").alias("model"), steps)
+
+
+@query(
+    "g1_cyclic_dag_nodes",
+    _CYCLE_MODELS + "SELECT 'm_' || k AS name, 1::BIGINT AS column_count FROM k WHERE k NOT IN (SELECT k FROM cyc)",
+)
+def cyclic_dag_nodes(spark, sf):
+    models, deps = _cycle_models(spark, sf)
+    return D.model_dag(models, deps, _made(models))[0].select("name", "column_count")
+
+
 @query(
     "g1_model_dag_edges",
     _CYCLE_MODELS + "SELECT 'm_' || src AS src, 'm_' || dst AS dst FROM e WHERE dst IN (SELECT k FROM k) AND src NOT IN (SELECT k FROM cyc) AND dst NOT IN (SELECT k FROM cyc)",
 )
 def cyclic_dag_edges(spark, sf):
     models, deps = _cycle_models(spark, sf)
-    made = models.select("project_id", F.col("name").alias("model"))
-    return D.model_dag(models, deps, made)[1].select("src", "dst")
+    return D.model_dag(models, deps, _made(models))[1].select("src", "dst")
 
 
 @query(
