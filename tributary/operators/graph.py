@@ -72,28 +72,94 @@ class _Numbering:
         return df.select(*order)
 
 
+def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch):
+    """``(numbering, hops, goals)`` with near and far end swapped for the upstream direction.
+
+    ``goals(name, target, block, bit)`` deals the targets to blocks of 64 in the order of their names, so
+    that targets of one neighbourhood share blocks: what they reach is one row with a mask of bits.
+    """
+    plain = edges.select("src", "dst").where("src is not null and dst is not null")
+    if not isinstance(plain.schema["src"].dataType, T.IntegralType):
+        plain = scratch.save(plain, "edges")
+    names = targets.select(F.col("target").cast(plain.schema["src"].dataType)).where("target is not null").distinct()
+    placed = names.repartitionByRange("target").sortWithinPartitions("target").select("target", F.monotonically_increasing_id().alias("place"))
+    placed = scratch.save(placed, "places")
+    numbers = _Numbering(scratch, plain, placed.select("target"))
+    near, far = ("src", "dst") if direction == DOWNSTREAM else ("dst", "src")
+    hops = numbers.encode(plain, "src", "dst").select(F.col(near).alias("node"), F.col(far).alias("next"))
+    goals = numbers.encode(placed.withColumn("name", F.col("target")), "target")
+    goals = goals.select("name", "target", F.shiftright("place", 6).alias("block"), F.col("place").bitwiseAND(63).cast("int").alias("bit"))
+    return numbers, scratch.save(hops, "hops"), scratch.save(goals, "goals")
+
+
+def _masks(kind: T.DataType, name: str) -> T.StructType:
+    fields = [("node", kind), ("block", T.LongType()), ("mask", T.LongType()), (name, T.IntegerType())]
+    return T.StructType([T.StructField(field, of) for field, of in fields])
+
+
 def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """Closure of ``goals(target)`` over stored ``hops(node, next)``."""
-    kind = hops.schema["node"].dataType
-    schema = T.StructType(
-        [T.StructField("target", kind), T.StructField("node", kind), T.StructField("depth", T.IntegerType())]
-    )
-    start = goals.select(F.col("target").cast(kind)).distinct().withColumn("node", F.col("target"))
+    """Closure of ``goals`` over stored ``hops(node, next)``: ``node, block, mask, depth``.
+
+    A row says which targets of a block first reach a node at that depth, one bit each.
+    """
+    schema = _masks(hops.schema["node"].dataType, "depth")
+    start = goals.select(F.col("target").alias("node"), "block", F.expr("shiftleft(1L, bit)").alias("mask"))
     frontier = scratch.save(start, f"{tag}/depth=0")
     for depth in count(1):  # every round adds nodes, so it ends
-        seen = scratch.load(tag, schema).select("target", "node")
-        reached = (
-            frontier.join(hops, "node")
-            .select("target", F.col("next").alias("node"))
-            .distinct()
-            .join(seen, ["target", "node"], "left_anti")
-        )
+        seen = scratch.load(tag, schema).groupBy("node", "block").agg(F.bit_or("mask").alias("seen"))
+        offers = frontier.join(hops, "node").groupBy(F.col("next").alias("node"), "block").agg(F.bit_or("mask").alias("mask"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+        reached = offers.join(seen, ["node", "block"], "left").select("node", "block", fresh.alias("mask")).where("mask <> 0")
         frontier = scratch.save(reached, f"{tag}/depth={depth}")
         if frontier.isEmpty():
             return scratch.load(tag, schema)
     raise AssertionError("unreachable")
 
 
+def _listed(masks: DataFrame, goals: DataFrame, numbers: _Numbering, name: str) -> DataFrame:
+    """``target, node, name`` by their own names, one row for each bit."""
+    entry = F.struct("bit", F.col("name").alias("target"))
+    blocks = goals.groupBy("block").agg(F.collect_list(entry).alias("targets"))  # 64 at most
+    rows = numbers.decode(masks, "node").join(blocks, "block")
+    held = F.expr("filter(targets, t -> shiftright(mask, t.bit) & 1 = 1)")
+    return rows.select(F.explode(held).alias("t"), "node", name).select("t.target", "node", name)
+
+
+def _mask_levels(chain: DataFrame, hops: DataFrame, direction: str, scratch: Scratch) -> DataFrame:
+    """Longest-path levels of a closure's masks: ``node, block, mask, level``.
+
+    Round k keeps the bits of the nodes that end a path of k edges inside the closure. What ends such
+    a path ends a shorter one as well, so a bit's level is the last round that keeps it, and each
+    round keeps fewer bits unless there is a cycle.
+    """
+    kept = scratch.save(chain.groupBy("node", "block").agg(F.bit_or("mask").alias("mask")), "kept-0")
+    src, dst = ("node", "next") if direction == DOWNSTREAM else ("next", "node")
+    ends = hops.select(F.col(src).alias("node"), F.col(dst).alias("end"))
+    if direction == UPSTREAM:  # an edge may lead out of a closure of ancestors
+        limit = kept.select(F.col("node").alias("end"), "block", F.col("mask").alias("limit"))
+        ends = scratch.save(ends.join(limit, "end"), "inside")
+    bits = lambda df: df.agg(F.sum(F.bit_count("mask"))).first()[0] or 0
+    size = bits(kept)
+    schema = _masks(kept.schema["node"].dataType, "level")
+    for level in count(1):
+        if direction == UPSTREAM:
+            moved = kept.join(ends, ["node", "block"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("limit")))
+        else:
+            moved = kept.join(ends, "node")
+        after = moved.groupBy(F.col("end").alias("node"), "block").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
+        after = scratch.save(after, f"kept-{level}")
+        later = after.withColumnRenamed("mask", "later")
+        settled = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("later", F.lit(0).cast("long"))))
+        ended = kept.join(later, ["node", "block"], "left").select("node", "block", settled.alias("mask")).where("mask <> 0")
+        scratch.save(ended, f"levels/level={level - 1}")
+        kept, before, size = after, size, bits(after)
+        if not size:
+            return scratch.load("levels", schema)
+        if size >= before:
+            raise CycleFound(f"{size} places lie on or behind a cycle")
+    raise AssertionError("unreachable")
+
+
 def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratch, tag: str) -> DataFrame:
     """Longest-path levels of ``nodes(by, node)`` over stored ``hops(by, src, dst)``.
 
@@ -115,22 +181,10 @@ def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratc
     raise AssertionError("unreachable")
 
 
-def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch):
-    """``(numbering, hops, goals)`` with near and far end swapped for the upstream direction."""
-    plain = edges.select("src", "dst").where("src is not null and dst is not null")
-    if not isinstance(plain.schema["src"].dataType, T.IntegralType):
-        plain = scratch.save(plain, "edges")
-    numbers = _Numbering(scratch, plain, targets.select("target"))
-    near, far = ("src", "dst") if direction == DOWNSTREAM else ("dst", "src")
-    hops = numbers.encode(plain, "src", "dst").select(F.col(near).alias("node"), F.col(far).alias("next"))
-    return numbers, scratch.save(hops, "hops"), numbers.encode(targets.select("target"), "target")
-
-
 def _closure(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
     scratch = Scratch(edges.sparkSession, f"closure-{direction}")
     numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
-    found = _closure_of(hops, goals, scratch, "levels")
-    return numbers.decode(found, "target", "node")
+    return _listed(_closure_of(hops, goals, scratch, "levels"), goals, numbers, "depth")
 
 
 def downstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -147,12 +201,8 @@ def ordered_chain(edges: DataFrame, targets: DataFrame, direction: str = DOWNSTR
     """A closure in source-first order: ``target, node, level``; order by ``target, level, node``."""
     scratch = Scratch(edges.sparkSession, f"ordered-{direction}")
     numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
-    chain = _closure_of(hops, goals, scratch, "chain").select("target", "node")
-    src, dst = ("node", "next") if direction == DOWNSTREAM else ("next", "node")
-    inside = chain.join(hops, "node").select("target", F.col(src).alias("src"), F.col(dst).alias("dst"))
-    inside = scratch.save(inside, "inside")
-    levels = _levels_of(inside, chain, ["target"], scratch, "levels")
-    return numbers.decode(levels, "target", "node")
+    chain = _closure_of(hops, goals, scratch, "chain")
+    return _listed(_mask_levels(chain, hops, direction, scratch), goals, numbers, "level")
 
 
 def direct_successors(edges: DataFrame, targets: DataFrame) -> DataFrame:
