@@ -117,6 +117,12 @@ def test_transformation_types(spark, text, name, kind):
         ("extract(year from d)", ["d"]),
         ("current_date - interval '30 day'", []),
         ("date '2020-01-01' - d", ["d"]),
+        ("ts at time zone 'UTC'", ["ts"]),
+        ("x.ts AT TIME ZONE tz", ["x.ts", "tz"]),
+        ("at + time + zone", ["at", "time", "zone"]),
+        ("substring(a from 2 for 3)", ["a"]),
+        ("overlay(a placing b from 2 for n)", ["a", "b", "n"]),
+        ('"a.b" + c + t."d e" + "T"."x.y"', ['"a.b"', "c", "t.d e", 'T."x.y"']),
         ("1", []),
     ],
 )
