@@ -23,6 +23,7 @@ import gc
 import itertools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,12 @@ class MergeAutomaton:
             out.extend(itertools.chain.from_iterable(map(words.__getitem__, pieces)))
         return out
 
+    def forget(self) -> None:
+        """Empty the caches; a worker process outlives its task."""
+        self.arcs.clear()
+        self.words.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text that the labels of ``ids`` make up; broken UTF-8 becomes replacement characters."""
         return b"".join(self.objects[ids].tolist()).decode("utf-8", "replace")
@@ -239,15 +246,19 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
 
     @F.arrow_udf(kind)
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = automaton(path)
-        ids, back = [], []
-        for run in blocks(t.as_py() for t in texts):
-            ids.append(_encoded(run, machine))
-            back.append(_decoded(ids[-1], machine))
-        if not ids:
-            ids, back = [_encoded([], machine)], [pa.array([], pa.string())]
-        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "text"])
+        try:
+            for texts in batches:
+                ids, back = [], []
+                for run in blocks(t.as_py() for t in texts):
+                    ids.append(_encoded(run, machine))
+                    back.append(_decoded(ids[-1], machine))
+                if not ids:
+                    ids, back = [_encoded([], machine)], [pa.array([], pa.string())]
+                yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "text"])
+        finally:
+            machine.forget()
 
     (made,) = free_names(docs, "made")
     rows = docs.withColumn(made, both(whole(text_col)))

@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ RATIO = 10.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words that a counting task holds before it hands their counts on.
-_HELD = 300_000
+_HELD = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -70,18 +71,21 @@ def held_out(id_col: str) -> Column:
 def _corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """``word, n`` over the words of all documents, added up within a task first."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(total: Counter[str]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for batch in batches:
-            for run in blocks(batch.iloc[:, 0]):
+            for run in blocks((t.as_py() for t in batch.column(0)), 1 << 18):
                 for text in run:
                     total.update(words(text))
                 if len(total) > _HELD:
-                    yield pd.DataFrame({"word": list(total), "n": list(total.values())})
-                    total.clear()
-        yield pd.DataFrame({"word": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
+                    yield counted(total)
+                    total = Counter()
+        yield counted(total)
 
-    return docs.select(whole(text_col).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(whole(text_col).alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _expressions(texts: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def _expressions(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for toxic, rows in batch.groupby("toxic"):
-                for run in blocks(rows["text"]):
+                for run in blocks(rows["text"], 1 << 18):
                     met: Counter[tuple[str, str]] = Counter()
                     for w in map(words, run):
                         met.update({("", x) for x in w})
