@@ -57,6 +57,62 @@ def test_levels_of_a_cycle_raise(spark):
         graph.topological_levels(nodes, frame(spark, [(1, 2), (2, 1), (2, 3)]), by=())
 
 
+def longest(pairs, start):
+    """Level of each node that ``start`` reaches, inside what it reaches."""
+    inside, level = set(reach(pairs, start)), {}
+
+    def of(node):
+        if node not in level:
+            level[node] = max([of(a) + 1 for a, b in pairs if b == node and a in inside], default=0)
+        return level[node]
+
+    return {node: of(node) for node in inside}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_chains_of_many_targets_are_ordered(spark, seed):
+    pairs = [(a, b) for a, b in random_pairs(seed, 24, 60) if a < b] + [(0, 1), (0, 1)]
+    starts = list(range(24)) + list(range(200, 290))  # two blocks of targets
+    down = graph.ordered_chain(frame(spark, pairs), targets(spark, starts)).collect()
+    assert sorted(map(tuple, down)) == sorted((s, n, d) for s in starts for n, d in longest(pairs, s).items())
+    up = {}
+    back = [(b, a) for a, b in pairs]
+    for s in starts:
+        inside = set(reach(back, s))
+        up[s] = {}
+        for n in sorted(inside):  # edges run to larger numbers
+            up[s][n] = max([up[s][a] + 1 for a, b in pairs if b == n and a in inside], default=0)
+    found = graph.ordered_chain(frame(spark, pairs), targets(spark, starts), graph.UPSTREAM).collect()
+    assert sorted(map(tuple, found)) == sorted((s, n, d) for s in starts for n, d in up[s].items())
+
+
+@pytest.mark.parametrize("direction", [graph.DOWNSTREAM, graph.UPSTREAM])
+@pytest.mark.parametrize("pairs", [[(1, 2), (2, 1)], [(0, 1), (1, 2), (2, 3), (3, 2), (3, 4)]])
+def test_an_order_behind_a_cycle_raises(spark, pairs, direction):
+    with pytest.raises(graph.CycleFound):
+        graph.ordered_chain(frame(spark, pairs), targets(spark, [1, 2]), direction)
+
+
+def test_a_round_shuffles_neither_edges_nor_what_was_visited(spark):
+    scratch = graph.Scratch(spark, "round")
+    n = 40_000
+    hops = scratch.save_by(spark.range(n).selectExpr("id AS node", "id + 1 AS next"), "hops", "node")
+    seen = scratch.save_by(spark.range(n).selectExpr("id AS node", "0L AS block", "1L AS mask", "0 AS depth"), "seen", "node", "block")
+    front = scratch.save(spark.range(5).selectExpr("id AS node", "0L AS block", "2L AS mask"), "front")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reached = graph._next_reached(front, hops, seen)
+        assert sorted(map(tuple, reached.collect())) == [(i, 0, 2) for i in range(1, 6)]
+        plan = reached._jdf.queryExecution().sparkPlan().toString()
+        final = reached._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Join" in plan
+    final = final.split("== Initial Plan ==")[-1]  # AQE prints both
+    assert final.count("Exchange hashpartitioning") == 2  # the frontier, and what it offers
+
+
 def test_topological_levels_respect_every_edge(spark):
     pairs = [(a, b) for a, b in random_pairs(5) if a < b]
     edges = frame(spark, pairs)

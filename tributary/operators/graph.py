@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,12 +89,19 @@ def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch:
     hops = numbers.encode(plain, "src", "dst").select(F.col(near).alias("node"), F.col(far).alias("next"))
     goals = numbers.encode(placed.withColumn("name", F.col("target")), "target")
     goals = goals.select("name", "target", F.shiftright("place", 6).alias("block"), F.col("place").bitwiseAND(63).cast("int").alias("bit"))
-    return numbers, scratch.save(hops, "hops"), scratch.save(goals, "goals")
+    return numbers, scratch.save_by(hops, "hops", "node"), scratch.save(goals, "goals")
 
 
-def _masks(kind: T.DataType, name: str) -> T.StructType:
-    fields = [("node", kind), ("block", T.LongType()), ("mask", T.LongType()), (name, T.IntegerType())]
-    return T.StructType([T.StructField(field, of) for field, of in fields])
+def _next_reached(frontier: DataFrame, hops: DataFrame, seen: DataFrame) -> DataFrame:
+    """What a round reaches for the first time: ``node, block, mask``.
+
+    ``hops`` are bucketed by ``node`` and ``seen`` by ``node, block``, so only the frontier and what it offers
+    are shuffled, however large the graph and the closure are by then.
+    """
+    known = seen.groupBy("node", "block").agg(F.bit_or("mask").alias("seen"))
+    offers = frontier.join(hops, "node").groupBy(F.col("next").alias("node"), "block").agg(F.bit_or("mask").alias("mask"))
+    fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+    return offers.join(known, ["node", "block"], "left").select("node", "block", fresh.alias("mask")).where("mask <> 0")
 
 
 def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -102,17 +109,16 @@ def _closure_of(hops: DataFrame, goals: DataFrame, scratch: Scratch, tag: str) -
 
     A row says which targets of a block first reach a node at that depth, one bit each.
     """
-    schema = _masks(hops.schema["node"].dataType, "depth")
-    start = goals.select(F.col("target").alias("node"), "block", F.expr("shiftleft(1L, bit)").alias("mask"))
-    frontier = scratch.save(start, f"{tag}/depth=0")
-    for depth in count(1):  # every round adds nodes, so it ends
-        seen = scratch.load(tag, schema).groupBy("node", "block").agg(F.bit_or("mask").alias("seen"))
-        offers = frontier.join(hops, "node").groupBy(F.col("next").alias("node"), "block").agg(F.bit_or("mask").alias("mask"))
-        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
-        reached = offers.join(seen, ["node", "block"], "left").select("node", "block", fresh.alias("mask")).where("mask <> 0")
-        frontier = scratch.save(reached, f"{tag}/depth={depth}")
+    reached = goals.groupBy(F.col("target").alias("node"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    visited = scratch.grown(tag, "node", "block")
+    for depth in count():  # every round adds nodes, so it ends
+        visited.add(reached.withColumn("depth", F.lit(depth)))
+        seen = visited.rows()
+        frontier = seen.where(F.col("depth") == depth).select("node", "block", "mask")
         if frontier.isEmpty():
-            return scratch.load(tag, schema)
+            visited.forget()
+            return seen
+        reached = _next_reached(frontier, hops, seen)
     raise AssertionError("unreachable")
 
 
@@ -128,57 +134,80 @@ def _listed(masks: DataFrame, goals: DataFrame, numbers: _Numbering, name: str)
 def _mask_levels(chain: DataFrame, hops: DataFrame, direction: str, scratch: Scratch) -> DataFrame:
     """Longest-path levels of a closure's masks: ``node, block, mask, level``.
 
-    Round k keeps the bits of the nodes that end a path of k edges inside the closure. What ends such
-    a path ends a shorter one as well, so a bit's level is the last round that keeps it, and each
-    round keeps fewer bits unless there is a cycle.
+    Each node of a block has a counter of inputs. A node whose inputs have all been seen is ready: its
+    levels are final and go on over its edges, once. Nodes with some inputs seen wait with what they
+    have been offered. Targets of one block may give a node different levels; a row holds the
+    targets of one level, at most 64 rows a node and block once it is ready.
     """
-    kept = scratch.save(chain.groupBy("node", "block").agg(F.bit_or("mask").alias("mask")), "kept-0")
-    src, dst = ("node", "next") if direction == DOWNSTREAM else ("next", "node")
-    ends = hops.select(F.col(src).alias("node"), F.col(dst).alias("end"))
-    if direction == UPSTREAM:  # an edge may lead out of a closure of ancestors
-        limit = kept.select(F.col("node").alias("end"), "block", F.col("mask").alias("limit"))
-        ends = scratch.save(ends.join(limit, "end"), "inside")
-    bits = lambda df: df.agg(F.sum(F.bit_count("mask"))).first()[0] or 0
-    size = bits(kept)
-    schema = _masks(kept.schema["node"].dataType, "level")
-    for level in count(1):
-        if direction == UPSTREAM:
-            moved = kept.join(ends, ["node", "block"]).withColumn("mask", F.col("mask").bitwiseAND(F.col("limit")))
-        else:
-            moved = kept.join(ends, "node")
-        after = moved.groupBy(F.col("end").alias("node"), "block").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
-        after = scratch.save(after, f"kept-{level}")
-        later = after.withColumnRenamed("mask", "later")
-        settled = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("later", F.lit(0).cast("long"))))
-        ended = kept.join(later, ["node", "block"], "left").select("node", "block", settled.alias("mask")).where("mask <> 0")
-        scratch.save(ended, f"levels/level={level - 1}")
-        kept, before, size = after, size, bits(after)
-        if not size:
-            return scratch.load("levels", schema)
-        if size >= before:
-            raise CycleFound(f"{size} places lie on or behind a cycle")
-    raise AssertionError("unreachable")
-
-
-def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratch, tag: str) -> DataFrame:
-    """Longest-path levels of ``nodes(by, node)`` over stored ``hops(by, src, dst)``.
-
-    Without a cycle every round keeps fewer nodes than the one before (the last level goes), so a
-    round that keeps as many shows a cycle.
+    kept = scratch.save_by(chain.groupBy("node", "block").agg(F.bit_or("mask").alias("mask")), "kept", "node", "block")
+    if direction == DOWNSTREAM:  # edges of a closure of descendants never leave it
+        ends = hops.withColumnRenamed("next", "end")
+        inputs = kept.join(ends, "node").groupBy(F.col("end").alias("node"), "block").agg(F.count(F.lit(1)).alias("inputs"))
+        need = kept.join(inputs, ["node", "block"])
+    else:  # all inputs of a node are in a closure of ancestors; an edge may lead out of it
+        ends = scratch.save_by(hops.select(F.col("next").alias("node"), F.col("node").alias("end")), "ends", "node")
+        need = kept.join(hops.groupBy("node").agg(F.count(F.lit(1)).alias("inputs")), "node")
+    need = scratch.save_by(need.select("node", "block", "inputs", F.col("mask").alias("limit")), "need", "node", "block")
+    state = lambda seen, ready: [
+        "node", "block", F.lit(0).alias("level"), "mask", F.lit(seen).cast("long").alias("seen"), F.lit(ready).alias("ready")
+    ]
+    step = kept.join(need, ["node", "block"], "left_anti").select(*state(1, True))
+    # a target that others of its block reach waits for its inputs; for itself it is at level 0
+    own = chain.where("depth = 0").join(need, ["node", "block"], "left_semi")
+    step = step.unionByName(own.select(*state(0, False)))
+    group = Window.partitionBy("node", "block")
+    later = group.orderBy(F.desc("level"), F.desc("seen"), "mask")
+    for turn in count():  # every round makes a node ready, so it ends
+        step = scratch.save(step, f"steps/turn={turn}")
+        if step.where("ready").isEmpty():
+            break
+        # one row of a ready node has counted its inputs; that row counts as the node's one arrival at each edge's end
+        offers = (
+            step.where("ready").join(ends, "node")
+            .groupBy(F.col("end").alias("node"), "block", (F.col("level") + 1).alias("level"))
+            .agg(F.bit_or("mask").alias("mask"), F.sum((F.col("seen") > 0).cast("long")).alias("seen"))
+        )
+        known = offers.unionByName(step.where("not ready").select(*offers.columns)).join(need, ["node", "block"])
+        above = F.coalesce(F.bit_or("mask").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        known = known.withColumns({"above": above, "total": F.sum("seen").over(group), "row": F.row_number().over(later)})
+        left = F.col("mask").bitwiseAND(F.bitwise_not("above")).bitwiseAND(F.col("limit"))
+        step = known.select(
+            "node", "block", "level", left.alias("mask"),
+            F.when(F.col("row") == 1, F.col("total")).otherwise(F.lit(0)).alias("seen"),
+            (F.col("total") == F.col("inputs")).alias("ready"),
+        ).where("mask <> 0 or seen > 0")
+    ready = scratch.load("steps", step.schema).where("ready")
+    left = kept.count() - ready.where("seen > 0").count()
+    if left:
+        raise CycleFound(f"{left} places lie on or behind a cycle")
+    return ready.where("mask <> 0").select("node", "block", "mask", "level")
+
+
+def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """Longest-path levels of ``nodes(by, node)`` and of all ends of ``hops(by, src, dst)``.
+
+    A node's level is the round in which the last of its inputs has been seen. An edge is used once, in
+    the round after its source is ready; only ready nodes and nodes that wait are shuffled.
     """
-    kept = scratch.save(nodes.select(*by, "node").distinct(), f"{tag}/level=0")
-    schema = T.StructType([*kept.schema.fields, T.StructField("level", T.IntegerType())])
-    size = kept.count()
-    for level in count(1):
-        starts = kept.withColumnRenamed("node", "src")
-        ends = hops.join(starts, [*by, "src"], "left_semi") if level > 1 else hops
-        kept = scratch.save(ends.select(*by, F.col("dst").alias("node")).distinct(), f"{tag}/level={level}")
-        before, size = size, kept.count()
-        if not size:
-            return scratch.load(tag, schema).groupBy(*by, "node").agg(F.max("level").alias("level"))
-        if size >= before:
-            raise CycleFound(f"{size} nodes lie on or behind a cycle")
-    raise AssertionError("unreachable")
+    key = [*by, "node"]
+    links = scratch.save_by(hops.select(*by, F.col("src").alias("node"), F.col("dst").alias("end")).distinct(), "links", *key)
+    need = links.groupBy(*by, F.col("end").alias("node")).agg(F.count(F.lit(1)).alias("inputs"))
+    need = scratch.save_by(need, "need", *key)
+    places = scratch.save_by(nodes.select(*key).unionByName(links.select(*key)).unionByName(need.select(*key)).distinct(), "places", *key)
+    step = places.join(need, key, "left_anti").select(*key, F.lit(1).cast("long").alias("seen"), F.lit(True).alias("ready"))
+    for level in count():  # every round makes a node ready, so it ends
+        step = scratch.save(step, f"steps/level={level}")
+        if step.where("ready").isEmpty():
+            break
+        arrived = step.where("ready").join(links, key).groupBy(*by, F.col("end").alias("node")).agg(F.count(F.lit(1)).alias("seen"))
+        known = arrived.unionByName(step.where("not ready").select(*key, "seen")).groupBy(*key).agg(F.sum("seen").alias("seen"))
+        step = known.join(need, key).select(*key, "seen", (F.col("seen") == F.col("inputs")).alias("ready"))
+    schema = T.StructType([*step.schema.fields, T.StructField("level", T.IntegerType())])
+    ready = scratch.load("steps", schema).where("ready")
+    left = places.count() - ready.count()
+    if left:
+        raise CycleFound(f"{left} nodes lie on or behind a cycle")
+    return ready.select(*key, "level")
 
 
 def _closure(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
@@ -234,18 +263,15 @@ def closed_edges(edges: DataFrame, chain: DataFrame, direction: str) -> DataFram
 def topological_levels(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     """Longest-path level of every node; ordering by it puts each edge's source first.
 
-    Round k keeps the nodes that end a path of k edges, so the level is the last round a node was
-    kept in. ``by`` names columns that separate independent graphs.
+    ``by`` names columns that separate independent graphs. Ends of edges count as nodes.
     """
     scratch = Scratch(nodes.sparkSession, "levels")
     by = list(by)
     edges = scratch.save(edges.select(*by, "src", "dst"), "edges")
     numbers = _Numbering(scratch, edges, nodes.select("node"))
-    hops = edges
-    if numbers.table is not None:
-        hops = scratch.save(numbers.encode(edges, "src", "dst").select(*by, "src", "dst"), "hops")
+    hops = numbers.encode(edges, "src", "dst")
     plain = numbers.encode(nodes.select(*by, "node"), "node")
-    return numbers.decode(_levels_of(hops, plain, by, scratch, "kept"), "node")
+    return numbers.decode(_levels_of(hops, plain, by, scratch), "node")
 
 
 def terminal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ broadcast when its files are under ``spark.sql.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,32 @@ def scratch_root(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+class Grown:
+    """A stored table in buckets of its keys, with as many buckets as a shuffle has partitions.
+
+    Spark takes the buckets from the catalog, so the table has an entry there until :meth:`forget`; the
+    files belong to the run's folder and outlive the entry, as do plans that were made from it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+        self.spark, self.path, self.keys = spark, path, list(keys)
+        self.name = f"tributary_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, df: DataFrame) -> None:
+        """Append rows; rows that are not yet spread by the keys are, so that a task writes one bucket."""
+        spread = df.repartition(self.buckets, *self.keys)
+        spread.write.format("parquet").mode("append").option("path", self.path).bucketBy(self.buckets, *self.keys).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        """All rows added so far."""
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        """Drop the catalog's entry; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 class Scratch:
     """One run's private folder of intermediate tables."""
 
@@ -36,6 +63,18 @@ class Scratch:
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def save_by(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """As :meth:`save`, in buckets of ``keys``: joins and groupings on them read it without a shuffle."""
+        grown = self.grown(name, *keys)
+        grown.add(df)
+        stored = grown.rows()
+        grown.forget()
+        return stored
+
+    def grown(self, name: str, *keys: str) -> Grown:
+        """A table in buckets of ``keys`` to which rounds add rows."""
+        return Grown(self.spark, f"{self.path}/{name}", keys)
+
     def load(self, name: str, schema) -> DataFrame:
         """Read a folder of ``key=value`` tables written by :meth:`save`."""
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
