@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import fingerprint
-from tributary.sources import artifacts, files, manifest, sinks
+from tributary.operators import fingerprint, stored
+from tributary.sources import artifacts, files, lister, manifest, sinks
 
 V = "https://schemas.example.com/manifest/%s.json"
 
@@ -206,3 +207,91 @@ def test_payload_round_trip(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "out"))
     counts = {r.section: r["count"] for r in back.groupBy("section").count().collect()}
     assert counts == {"target": 1, "chain": 2, "edges": 1, "lineage_warnings": 1, "direct": 1, "all_impacted": 1}
+
+
+def write_tree(root, paths):
+    for path, text in paths.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+
+
+def test_listed_files(spark, tmp_path):
+    write_tree(tmp_path / "a", {
+        "models/_hidden.sql": "select 1", "models/.dot.sql": "select 2", "models/empty.sql": "", "models/UP.SQL": "select 3",
+        "models/_models.yml": "version: 2", ".ci/x.YAML": "", "models/x.yml.txt": "", "target/run/old.sql": "select 4", "readme.md": "é",
+    })
+    write_tree(tmp_path / "b", {"deep/er/m.sql": "select 'ü'"})
+    roots = [str(tmp_path / "a"), str(tmp_path / "b") + "/", str(tmp_path / "missing")]
+    listed = lister.listed_files(spark, roots)
+    assert listed.rdd.getNumPartitions() == 3
+    found = {(r.root, r.path): (r.bytes, r.content) for r in listed.collect()}
+    assert set(p for _, p in found) == {
+        "models/_hidden.sql", "models/.dot.sql", "models/empty.sql", "models/UP.SQL", "models/_models.yml", ".ci/x.YAML",
+        "models/x.yml.txt", "readme.md", "deep/er/m.sql",
+    }
+    assert found[roots[0], "readme.md"] == (2, None)
+    sql = {(r.project_id, r.relative_path): r.raw_sql for r in lister.sql_files(spark, roots).collect()}
+    assert sql == {
+        (roots[0], "models/_hidden.sql"): "select 1", (roots[0], "models/.dot.sql"): "select 2", (roots[0], "models/empty.sql"): "",
+        (roots[0], "models/UP.SQL"): "select 3", (roots[1], "deep/er/m.sql"): "select 'ü'",
+    }
+    yaml = files.yaml_files(listed.selectExpr("root AS project_id", "path AS relative_path")).groupBy("project_id").count()
+    assert [tuple(r) for r in yaml.collect()] == [(roots[0], 2)]
+    assert lister.listed_files(spark, []).count() == 0
+
+
+def test_only_changed_projects_are_built_again(spark, tmp_path):
+    built = []
+
+    def keys(**prints):
+        rows = [(p, "static", "none", 1, f) for p, f in prints.items()]
+        return spark.createDataFrame(rows, "project_id string, mode string, reason string, model_count bigint, fingerprint string")
+
+    def builder(graphs):
+        def build(todo):
+            asked = sorted(r.project_id for r in todo.collect())
+            built.append(asked)
+            return spark.createDataFrame([(p, *e) for p in asked for e in graphs[p]], "project_id string, src string, dst string")
+
+        return build
+
+    def files_of(name):
+        return {(str(f), f.stat().st_mtime_ns) for f in (tmp_path / "rows").glob(f"project_id={name}/**/*.parquet")}
+
+    schema = spark.createDataFrame([], "project_id string, src string, dst string").schema
+    store = stored.StoredGraph(spark, str(tmp_path), schema)
+    assert store.rows().count() == 0 and store.keys().count() == 0 and store.clean() == 0
+    first = {"same": [("a", "b")], "edited": [("a", "b"), ("b", "c")], "gone": [("x", "y")], "emptied": [("a", "b")]}
+    store.refresh(keys(same="1", edited="1", gone="1", emptied="1"), builder(first))
+    assert store.rows().count() == 5
+    kept = files_of("same")
+    second = {"edited": [("a", "c")], "emptied": [], "fresh/ö": [("p", "q")], "void": []}
+    changes = store.refresh(keys(**{"same": "1", "edited": "2", "emptied": "2", "fresh/ö": "1", "void": "1"}), builder(second))
+    assert {r.project_id: r.change for r in changes.collect()} == {
+        "same": "same", "edited": "changed", "gone": "removed", "emptied": "changed", "fresh/ö": "new", "void": "new"
+    }
+    assert built == [["edited", "emptied", "gone", "same"], ["edited", "emptied", "fresh/ö", "void"]]
+    after = [("edited", "a", "c"), ("fresh/ö", "p", "q"), ("same", "a", "b")]
+    assert sorted(map(tuple, store.rows().collect())) == after
+    assert files_of("same") == kept
+    assert store.clean() == 3  # the old builds of edited and emptied, and the removed project
+    assert sorted(map(tuple, store.rows().collect())) == after and not files_of("gone") and files_of("same") == kept
+    store.refresh(keys(**{"same": "1", "edited": "2", "emptied": "2", "fresh/ö": "1", "void": "1"}), builder({}))
+    assert len(built) == 2
+
+
+def test_a_refresh_that_fails_changes_nothing(spark, tmp_path):
+    schema = spark.createDataFrame([], "project_id string, src string, dst string").schema
+    store = stored.StoredGraph(spark, str(tmp_path), schema)
+    keys = lambda f: spark.createDataFrame([("p", "static", "none", 1, f)], stored._KEYS)
+    rows = lambda end: lambda todo: spark.createDataFrame([("p", "a", end)], schema)
+    store.refresh(keys("1"), rows("b"))
+
+    def broken(todo):
+        raise RuntimeError("no build")
+
+    with pytest.raises(RuntimeError):
+        store.refresh(keys("2"), broken)
+    assert [tuple(r) for r in store.rows().collect()] == [("p", "a", "b")]
+    store.refresh(keys("2"), rows("c"))
+    assert [tuple(r) for r in store.rows().collect()] == [("p", "a", "c")]

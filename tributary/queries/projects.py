@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tributary.operators import contracts, fingerprint
+from tributary.operators import contracts, fingerprint, stored
 from tributary.operators import dependencies as D
 from tributary.queries import inputs as I
 from tributary.queries.registry import plain, query
+from tributary.scratch import Scratch
 from tributary.sources import artifacts, files, manifest, sinks
 
 _M = I.MANIFEST_SQL
@@ -164,10 +166,21 @@ def status_messages(spark, sf):
     return artifacts.status_messages(_projects(spark, sf))
 
 
-@query("s12_project_summary", _M + "SELECT project_id, 2::BIGINT AS model_count, 2::BIGINT AS source_table_count, 0::BIGINT AS yaml_file_count FROM m")
+@query(
+    "s12_project_summary",
+    _M + """, y AS (SELECT 'shop_' || l_orderkey AS project_id, count(*) AS n FROM lineitem WHERE l_linenumber % 3 <> 2 GROUP BY ALL)
+    SELECT project_id, CASE WHEN k IS NULL THEN 0 ELSE 2 END::BIGINT AS model_count, CASE WHEN k IS NULL THEN 0 ELSE 2 END::BIGINT AS source_table_count,
+      coalesce(n, 0)::BIGINT AS yaml_file_count FROM m FULL JOIN y USING (project_id)""",
+)
 def project_summary(spark, sf):
+    """Projects hold YAML files under both endings, files that only look like them, or nothing but YAML."""
     accepted = _accepted(spark, sf)
-    return sinks.project_summary(manifest.manifest_models(manifest.manifest_nodes(accepted)), manifest.manifest_sources(accepted))
+    ending = F.element_at(F.array(*map(F.lit, ("yml", "YAML", "yml.txt"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    inventory = I.table(spark, sf, "lineitem").select(
+        F.format_string("shop_%d", "l_orderkey").alias("project_id"), F.format_string("models/_line_%d.%s", "l_linenumber", ending).alias("relative_path")
+    )
+    models = manifest.manifest_models(manifest.manifest_nodes(accepted))
+    return sinks.project_summary(models, manifest.manifest_sources(accepted), files.yaml_files(inventory))
 
 
 @query(
@@ -241,9 +254,36 @@ def changed_projects(spark, sf):
     placed = models.join(region, "project_id")
     edited = placed.withColumn("raw_sql", F.when(F.col("n_regionkey") == 2, F.concat("raw_sql", F.lit(" -- v2"))).otherwise(F.col("raw_sql")))
     known = projects.join(region, "project_id")
-    stored = fingerprint.lineage_fingerprint(placed, known.where("n_regionkey <> 0"))
+    before = fingerprint.lineage_fingerprint(placed, known.where("n_regionkey <> 0"))
     current = fingerprint.lineage_fingerprint(edited, known.where("n_regionkey <> 1"))
-    return fingerprint.changed_projects(stored, current)
+    return fingerprint.changed_projects(before, current)
+
+
+@query(
+    "f3_rebuilt_graph",
+    I.CORPUS_SQL + """SELECT project_id, 'cust_' || ck AS src, name AS dst FROM models JOIN nation ON project_id = 'nation_' || n_nationkey
+      WHERE kind = 'order' AND n_regionkey <> 1 AND NOT (n_regionkey = 2 AND k % 2 = 0)""",
+)
+def rebuilt_graph(spark, sf):
+    """A stored graph after a refresh: some projects are new, some gone, in some every other order lost its reference."""
+    models, projects = _corpus_projects(spark, sf)
+    region = I.table(spark, sf, "nation").select(F.format_string("nation_%d", "n_nationkey").alias("project_id"), "n_regionkey")
+    placed, known = models.join(region, "project_id"), projects.join(region, "project_id")
+    lost = (F.col("n_regionkey") == 2) & F.col("name").rlike("[02468]$")
+    edited = placed.withColumn("raw_sql", F.when(lost, F.regexp_replace("raw_sql", r"ref\( 'cust_", "ref( 'gone_")).otherwise(F.col("raw_sql")))
+
+    def builder(found):
+        def build(todo):
+            own = found.join(todo, "project_id", "left_semi")
+            return D.known_ref_edges(own, D.model_dependencies(own))
+
+        return build
+
+    schema = T.StructType.fromDDL("project_id string, src string, dst string")
+    store = stored.StoredGraph(spark, Scratch(spark, "rebuilt").path, schema)
+    store.refresh(fingerprint.lineage_fingerprint(placed, known.where("n_regionkey <> 0")), builder(placed))
+    store.refresh(fingerprint.lineage_fingerprint(edited, known.where("n_regionkey <> 1")), builder(edited))
+    return store.rows()
 
 
 @query("q1_not_null", "SELECT o_orderkey FROM (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders) WHERE p IS NULL")
