@@ -43,7 +43,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    listed = F.translate(F.col("ids").cast("string"), "[] ", "")
+    listed = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(",")), F.lit("[]"))
     return bpe.round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
