@@ -154,7 +154,7 @@ def test_nearest_with_ties_and_unusable_vectors(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [None] + [1.0] * 7), (1080, [float("inf")] * 8), (1100, []), (1120, [1.0, 2.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as v", "3 as leaf")
-    got = ann.nearest(df, df.filter("vec_id % 20 = 0")).collect()
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), search=1.0).collect()  # exact
     ids = list(range(400))
     for q in range(0, 400, 20):
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
@@ -170,14 +170,33 @@ def test_nearest_with_repeated_rows(spark):
     x = np.random.default_rng(5).normal(size=(30, 8))
     twice = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(0, x[0].tolist())] * 40
     df = spark.createDataFrame(twice, "vec_id long, embedding array<double>")
-    got = ann.nearest(df, df.filter("vec_id < 2")).collect()
+    got = ann.nearest(df, df.filter("vec_id < 2"), search=1.0).collect()
     for q in (0, 1):
         mine = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
         assert mine == [i for _, i in nearest_by_force(list(range(30)), x, q, 20)]
 
 
-def test_recall_on_the_given_vectors(spark):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def test_every_query_gets_k_rows_however_little_is_searched(spark):
+    x = np.random.default_rng(6).normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 40, "vec_id long, embedding array<double>")
+    counts = ann.nearest(df, df, search=0.0).groupBy("query_id").count().collect()
+    assert len(counts) == 60 and {r["count"] for r in counts} == {20}
+
+
+def test_opened_leaves_do_not_grow_with_the_rows():
+    rng = np.random.default_rng(7)
+    opened = []
+    for n in (3_000, 30_000):
+        x = rng.normal(size=(n, 16))
+        forest = ann.fit_forest(x[:3_000], np.sqrt((x * x).sum(1)).max())
+        sizes = np.bincount(forest.leaves_of(x).ravel(), minlength=ann.TREES << forest.depth)
+        opened.append(np.mean([len(forest.open_leaves(q, sizes, ann.SEARCH * sizes.sum())) for q in x[:20]]))
+    assert 0.8 < opened[0] / opened[1] < 1.25
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     pdf = e.toPandas()
     ids, x = pdf["vec_id"].tolist(), np.stack(pdf["embedding"].to_numpy()).astype(float)
     got = {}

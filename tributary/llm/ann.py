@@ -5,7 +5,9 @@ fitted on a bounded sample; every vector is then routed to a leaf of each tree.
 largest inner product the nearest vector, all vectors get one more component that lifts them to
 the same norm (queries get 0 there). A query walks all trees through one priority queue, the
 branch with the largest margin next, and opens leaves until they hold ``SEARCH`` of all places
-(vectors times trees). Leaves are then scored exactly, in blocks of vectors and queries.
+(vectors times trees), whatever the number of vectors, and in any case until ``k`` other vectors are
+among them. Leaves are then scored exactly, in blocks of vectors and queries. A tree has the same
+number of leaves on a table of any size, so a query opens about the same number of leaves.
 
 The leaves opened first give each query a lower bound of its k-th score; the others only return
 what reaches it. Blocks have at most about ``BLOCK`` rows on either side, also for a leaf that
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from tributary.scratch import Scratch
 
 TREES = 16
-LEAF = 200
-#: Vectors the trees are fitted on, at most; and so the deepest tree.
+#: Sample vectors in a leaf at least.
+LEAF = 4
+#: Vectors the trees are fitted on, at most.
 SAMPLE = 20_000
-MAX_DEPTH = 11
-#: Places opened for a query, as a share of all places and at least.
-SEARCH, SEARCH_LEAST = 0.07, 16_000
+DEPTH = 8
+#: Places opened for a query, as a share of all places.
+SEARCH = 1 / 16
 FIRST_LEAVES = 8
 BLOCK = 2_000
 _SLACK = 1e-9
@@ -84,9 +87,9 @@ class Forest:
         return found
 
 
-def fit_forest(sample: np.ndarray, rows: int, norm: float, trees: int = TREES, seed: int = 11) -> Forest:
-    """A forest for ``rows`` vectors, from a sample of them."""
-    depth = max(0, min(MAX_DEPTH, int(np.ceil(np.log2(max(rows, 1) / LEAF))), int(np.log2(max(len(sample), 1)))))
+def fit_forest(sample: np.ndarray, norm: float, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> Forest:
+    """A forest from a sample of the vectors; trees of fewer levels only where the sample cannot fill their leaves."""
+    depth = min(depth, int(np.ceil(np.log2(max(len(sample) / LEAF, 1)))))
     nodes = (1 << depth) - 1
     forest = Forest(np.zeros((trees, nodes, sample.shape[1] + 1)), np.zeros((trees, nodes)), norm)
     x, rng = forest.lifted(sample), np.random.default_rng(seed)
@@ -198,14 +201,23 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", search: float = SEARCH
+    rows: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    search: float = SEARCH,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """``query_id, rank, id_col, score``: up to ``k`` vectors of ``rows`` with large inner products for each query, ties to smaller ids.
 
     Vectors that are null, zero, or hold null or non-finite components, rows without an id, and
     vectors of another length than most of the sample take no part on either side. A row with the
     query's own id is no candidate. Rows that repeat an id count as one, with its largest score;
-    a query id given more than once is searched once, with one of its vectors.
+    a query id given more than once is searched once, with one of its vectors. No rows on either
+    side give no rows. Tables of any size are searched alike: ``search`` is a share of the places,
+    1.0 compares all (exact), and each query gets ``k`` rows if there are so many other vectors.
+    Where vectors lie in groups, less search and deeper trees find the same with less work.
     """
     scratch = Scratch(rows.sparkSession, "ann")
     vectors = _vectors(rows, id_col, vector_col)
@@ -219,12 +231,13 @@ def nearest(
     sample = vectors.filter(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").toPandas()
     if sample.empty:
         sample = vectors.select("v").limit(1).toPandas()
-    forest = fit_forest(_matrix(sample["v"]), common["n"], common["norm"])
+    forest = fit_forest(_matrix(sample["v"]), common["norm"], depth=depth)
     indexed = scratch.save(_indexed(vectors, forest), "index")
-    sizes = np.zeros(TREES << forest.depth, np.int64)  # one number for each leaf, at most TREES * 2 ** MAX_DEPTH
+    sizes = np.zeros(TREES << forest.depth, np.int64)  # one number for each leaf, at most TREES * 2 ** depth
     for leaf, n in indexed.select("leaf", "id").distinct().groupBy("leaf").count().collect():  # repeats of an id don't fill the search
         sizes[leaf] = n
-    probes = scratch.save(_probes(asked, forest, sizes, max(search * float(sizes.sum()), SEARCH_LEAST)), "probes")
+    least = TREES * (k + 1)  # an id has one place in each tree, so these are k others at least
+    probes = scratch.save(_probes(asked, forest, sizes, max(search * float(sizes.sum()), least)), "probes")
     parts = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     turns = probes.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("turns"))
     splits = scratch.save(parts.join(turns, "leaf"), "splits")
