@@ -116,8 +116,9 @@ def cut_by_force(texts):
     return out
 
 
-@pytest.mark.parametrize(("bucket", "hot"), [(25, 1), (25, 3), (100_000, 8)])
-def test_repeats_by_force(spark, monkeypatch, bucket, hot):
+@pytest.mark.parametrize(("bucket", "hot", "tasks"), [(25, 1, 20_000), (25, 3, 20_000), (25, 3, 4), (100_000, 8, 20_000)])
+def test_repeats_by_force(spark, monkeypatch, bucket, hot, tasks):
+    monkeypatch.setattr(suffixes, "TASKS", tasks)
     monkeypatch.setattr(suffixes, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(bucket)
@@ -130,6 +131,18 @@ def test_repeats_by_force(spark, monkeypatch, bucket, hot):
     assert [g for _, g in got] == cut_by_force(texts)
 
 
+def test_only_leads_that_fill_buckets_are_hot(spark):
+    leads = spark.range(30_000).selectExpr("cast(substr(sha2(cast(id as string), 256), 1, 32) as binary) as lead", "5L as n")
+    cuts = suffixes.splitters(leads, 3_000)  # 50 leads a bucket
+    assert cuts.hot == {} and len(cuts.cuts) == 2_999 and cuts.buckets == 3_000
+    often = leads.unionByName(spark.range(1).selectExpr("cast(repeat('7', 32) as binary) as lead", "150000L as n"))
+    cuts = suffixes.splitters(often, 3_000)
+    assert list(cuts.hot) == [b"7" * 32] and abs(cuts.hot[b"7" * 32][1] - 1_500) <= 1
+    rows = [bytes(r["lead"]) for r in leads.collect()]
+    sizes = np.bincount(cuts.bucket_of(rows, np.zeros(len(rows), np.int64)))
+    assert sizes.max() <= 40
+
+
 def test_multikey_order():
     words = np.random.default_rng(1).integers(0, 3, (500, 6)).astype(np.uint64)
     assert words[suffixes.multikey_order(words)].tolist() == sorted(words.tolist())

@@ -8,12 +8,13 @@ found at an anchor, and there are only about two anchors for each 70 bytes.
 1. Anchors whose bytes occur once are left out by two bitmaps of fixed size (they may let
    through some that occur once, never hold back others). The same pass samples leading bytes.
 2. The suffixes of the rest (``LENGTH`` bytes from the anchor, and the bytes before it that a
-   window may reach) are range-partitioned by their leading bytes; splitters are quantiles of the
-   sample. Equal surroundings within a task are sent once; the later ones are removed where they are.
+   window may reach) are range-partitioned by their leading bytes; splitters are quantiles of a
+   sample that grows with the input (``SAMPLED`` leads a bucket), found by a running total over a
+   sorted table. Equal surroundings within a task are sent once; the later ones are removed where they are.
 3. Each bucket sorts its suffixes by multikey quicksort (eight bytes at a time, only tied runs go
    on) and compares neighbours. For each offset, the rows of a run with enough common bytes to the
    right and equal bytes to the left hold one window; all but the earliest are removed.
-4. Leading bytes that are a splitter ``HOT`` times or more (a passage that a large share of the
+4. Leading bytes that would fill ``HOT`` buckets or more (a passage that a large share of the
    documents have) would make one bucket too large. Their suffixes are dealt over as many buckets,
    and the windows are compared across the boundaries by a minimum for each distinct window.
 
@@ -29,11 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm.texts import whole
+from tributary.operators.windows import with_positions
 from tributary.scratch import Scratch
 
 LENGTH = 100
@@ -45,8 +48,10 @@ _RANGE_BITS = 19
 #: Anchors in a bucket, on average, before those that occur once have gone.
 BUCKET_ROWS = 100_000
 HOT = 8
-#: Leading bytes sampled for the splitters, in all and by a task.
-SAMPLE, TASK_SAMPLE = 20_000, 400
+#: Leading bytes sampled for the splitters, for each bucket on average.
+SAMPLED = 50
+#: Tasks of the comparison at most; beyond, a task takes several buckets, one after another.
+TASKS = 20_000
 _FLUSH_ANCHORS, _FLUSH_ROWS = 2_000_000, 150_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,16 +112,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint32), dtype=np.uint32)
 
 
-def _surveyed(rows: DataFrame, scratch: Scratch) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """Two bitmaps of the slots met twice or more, a sorted sample of leading bytes, and the number of anchors.
+def _surveyed(rows: DataFrame, scratch: Scratch) -> tuple[list[np.ndarray], DataFrame, int]:
+    """Two bitmaps of the slots met twice or more, a stored sample of leading bytes (``lead, n``), and the number of anchors.
 
-    The sizes of the bitmaps and of the sample do not depend on the input.
+    The sizes of the bitmaps do not depend on the input, the sample grows with it: anchors are drawn by
+    their number within the task, so that copies of one text are drawn at different places.
     """
+    rate = np.uint64(max(1, BUCKET_ROWS // SAMPLED))
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         size = total = 0
-        picked: list[tuple[int, bytes]] = []
+        picked: list[bytes] = []
+        begin = TaskContext.get().partitionId() << 40
 
         mask = np.uint32((1 << _RANGE_BITS) - 1)
 
@@ -128,25 +136,22 @@ def _surveyed(rows: DataFrame, scratch: Scratch) -> tuple[list[np.ndarray], np.n
                 runs = zip(np.split(slot, cuts), np.split(n, cuts), strict=True)
                 packed = [(which << 16 | int(s[0] >> np.uint32(_RANGE_BITS)), _packed(s & mask), _packed(s[c > 1] & mask)) for s, c in runs if len(s)]
                 yield pd.DataFrame(packed, columns=["part", "met", "again"])
+            yield pd.DataFrame([(-1, lead, b"") for lead in picked], columns=["part", "met", "again"])
 
         for batch in batches:
-            for h, data in zip(batch["h"], _bytes(batch["text"]), strict=True):
+            for data in _bytes(batch["text"]):
                 places, hashes = anchors(data)
                 held.append(hashes)
+                turn = _mixed(_mixed(np.arange(begin + total, begin + total + len(places), dtype=np.uint64)) * _OTHER)
+                drawn = places[(turn >> np.uint64(32)) % rate == 0]
+                picked += [data[p : p + GRAM].tobytes() for p in drawn.tolist()]
                 size += len(places)
                 total += len(places)
-                if len(places):
-                    turn = _mixed(places.astype(np.uint64) + np.uint64(h & 0xFFFFFFFFFFFFFFFF))
-                    few = np.argsort(turn, kind="stable")[: 1 + len(places) // 50]
-                    picked += [(int(turn[i] >> np.uint64(1)), data[places[i] : places[i] + GRAM].tobytes()) for i in few.tolist()]
-                    if len(picked) > 20 * TASK_SAMPLE:
-                        picked = sorted(picked)[:TASK_SAMPLE]
                 if size > _FLUSH_ANCHORS:
                     yield from flush()
-                    held, size = [], 0
+                    held, size, picked = [], 0, []
         if size:
             yield from flush()
-        yield pd.DataFrame([(-1, lead, turn.to_bytes(8, "big")) for turn, lead in sorted(picked)[:TASK_SAMPLE]], columns=["part", "met", "again"])
         yield pd.DataFrame([(-2, b"", total.to_bytes(8, "big"))], columns=["part", "met", "again"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,8 +165,8 @@ def _surveyed(rows: DataFrame, scratch: Scratch) -> tuple[list[np.ndarray], np.n
                 twice[_unpacked(again)] = True
         yield pd.DataFrame([(p, np.packbits(t).tobytes()) for p, (_, t) in state.items()], columns=["part", "bits"])
 
-    parts = scratch.save(rows.select("h", "text").mapInPandas(slots, "part int, met binary, again binary"), "slots")
-    leads = [bytes(r["met"]) for r in parts.filter("part = -1").orderBy("again").limit(SAMPLE).select("met").collect()]
+    parts = scratch.save(rows.select("text").mapInPandas(slots, "part int, met binary, again binary"), "slots")
+    leads = scratch.save(parts.filter("part = -1").groupBy(F.col("met").alias("lead")).agg(F.count("*").alias("n")), "leads")
     n = parts.filter("part = -2").agg(F.coalesce(F.sum(F.conv(F.hex("again"), 16, 10).cast("long")), F.lit(0))).first()[0]
     merged = parts.filter("part >= 0").repartition("part").mapInPandas(merge, "part int, bits binary").collect()  # at most 2 ** (BITMAP_BITS - 2) bytes
     scratch.drop("slots")
@@ -170,7 +175,7 @@ def _surveyed(rows: DataFrame, scratch: Scratch) -> tuple[list[np.ndarray], np.n
     for part, bits in merged:
         at = (part & 0xFFFF) * width
         maps[part >> 16][at : at + width] = np.frombuffer(bits, np.uint8)
-    return maps, np.sort(np.array(leads, dtype=f"S{GRAM}")), n
+    return maps, leads, n
 
 
 @dataclass
@@ -194,17 +199,25 @@ class Splitters:
         return out
 
 
-def splitters(sample: np.ndarray, buckets: int) -> Splitters:
-    """Quantiles of sorted leading bytes; a value that is several of them is a hot one."""
-    if not len(sample) or buckets < 2:
+def splitters(leads: DataFrame, buckets: int) -> Splitters:
+    """Quantiles of sampled leading bytes (``lead, n``); a value that fills ``HOT`` buckets or more is a hot one.
+
+    The sample stays in Spark; the driver gets the quantiles, 32 bytes a bucket.
+    """
+    sampled = leads.agg(F.sum("n")).first()[0]
+    if not sampled or buckets < 2:
         return Splitters(np.zeros(0, f"S{GRAM}"), {})
-    at = (np.arange(1, buckets) * len(sample)) // buckets
-    cuts, times = np.unique(sample[at], return_counts=True)
+    placed = with_positions(leads, [], ["lead"], sums={"upto": F.col("n")})
+    ends = placed.select("lead", F.expr("upto - n").alias("before"), "upto")
+    number = lambda c: F.expr(f"({c} * {buckets}L + {sampled - 1}L) div {sampled}L")  # noqa: E731  # quantiles before it
+    times = ends.select("lead", (number("upto") - F.greatest(number("before"), F.lit(1))).alias("times")).filter("times > 0")
+    cuts = sorted((bytes(r["lead"]), r["times"]) for r in times.collect())  # fewer than buckets
     hot, first = {}, len(cuts) + 1
-    for cut, n in zip(cuts[times >= HOT], times[times >= HOT], strict=True):
-        hot[bytes(cut).ljust(GRAM, b"\0")] = (first, int(n))
-        first += int(n)
-    return Splitters(cuts, hot)
+    for cut, n in cuts:
+        if n >= HOT:
+            hot[cut] = (first, n)
+            first += n
+    return Splitters(np.array([cut for cut, _ in cuts], dtype=f"S{GRAM}"), hot)
 
 
 def _is_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -342,17 +355,26 @@ def _windows(rows: pd.DataFrame, right: np.ndarray) -> Iterator[pd.DataFrame]:
 
 def _buckets(found: DataFrame, cuts: Splitters) -> DataFrame:
     """Spans known before or found within buckets (``stop`` set), and the windows of dealt-out runs (``k1, k2`` set)."""
-    plain = len(cuts.cuts) + 1
+    plain, tasks = len(cuts.cuts) + 1, min(cuts.buckets, TASKS)
+    shared = tasks < cuts.buckets
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
+        held: list[pd.DataFrame] = []
         for batch in batches:
             known = batch["stop"].notna()
             if known.any():
                 yield batch[known][["id", "h", "at", "stop"]].astype("int64").assign(k1=None, k2=None)
-            held.append(batch[~known])
+            runs = [rows for _, rows in batch[~known].groupby("bucket")] if shared else [batch[~known]]
+            for rows in runs:
+                if shared and held and held[-1]["bucket"].iloc[0] != rows["bucket"].iloc[0]:
+                    done, held = held, []
+                    yield from compared(done)
+                held.append(rows)
+        yield from compared(held)
+
+    def compared(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
-        del held
+        held.clear()
         if rows.empty:
             return
         rows, right, common = _sorted_bucket(rows)
@@ -365,7 +387,10 @@ def _buckets(found: DataFrame, cuts: Splitters) -> DataFrame:
             spans = _joined(_repeats_in(inner, common[several]))
             yield spans.assign(k1=None, k2=None)
 
-    return found.repartitionById(cuts.buckets, "bucket").mapInPandas(work, "id long, h long, at long, stop long, k1 long, k2 long")
+    dealt_out = found.repartitionById(tasks, F.col("bucket") % tasks)
+    if shared:
+        dealt_out = dealt_out.sortWithinPartitions("bucket")
+    return dealt_out.mapInPandas(work, "id long, h long, at long, stop long, k1 long, k2 long")
 
 
 def _across(windows: DataFrame) -> DataFrame:
@@ -380,8 +405,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     rows = _keyed(docs, id_col, text_col).drop("out")
-    maps, sample, n = _surveyed(rows, scratch)
-    cuts = splitters(sample, max(1, -(-n // BUCKET_ROWS)))
+    maps, leads, n = _surveyed(rows, scratch)
+    cuts = splitters(leads, max(1, -(-n // BUCKET_ROWS)))
     spans = scratch.save(_buckets(_surroundings(rows, maps, cuts), cuts), "buckets")
     known = spans.filter("stop is not null").select("id", "h", "at", "stop")
     return known.unionByName(_across(spans.filter("stop is null").select("id", "h", "at", "k1", "k2")))
