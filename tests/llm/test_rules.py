@@ -68,6 +68,10 @@ def test_keywords_hide_no_detection():
     for text in {e for p in patterns for e in examples(re._parser.parse(p))}:
         line = f"x released under the {text} x".replace("  ", " ")
         assert gated.scan(line) == free.scan(line), line
+    for label, _, pattern, weight in licenses.SENTENCES:
+        for text in examples(re._parser.parse(pattern)):
+            got = gated.scan(f"One; {text.upper()}. Two".replace(" and or ", " and/or "))
+            assert label in got[5].split(",") and got[6] >= weight, text
     assert gated.scan("FreeBSD License")[5] == "bsd-2-clause" and gated.scan("zero clause BSD license")[5] == "0bsd"
 
 

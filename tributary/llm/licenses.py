@@ -7,7 +7,8 @@ taken in the order of priority, length and place; one whose interval lies within
 before is suppressed. The four base phrases are counted apart and their labels always stay.
 
 The rules are the product of the names below and the contexts in which licenses are named, so
-that each license has a rule for its tag, for a grant, for a heading and for a bare mention.
+that each license has a rule for its tag, for a grant, for a heading and for a bare mention, and
+hand-written rules for sentences that only the text or the notice of one license has.
 """
 
 from __future__ import annotations
@@ -119,6 +120,52 @@ SENTENCES = (
     ("proprietary", "rights", r"all rights reserved", 0.4),
     ("proprietary", "confidential", r"confidential and proprietary", 0.7),
     ("zlib", "altered", r"altered source versions must be plainly marked as such", 0.98),
+    ("zlib", "altered", r"this notice may not be removed or altered from any source distribution", 0.95),
+    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("mit", "restriction", r"to deal in the software without restriction including without limitation the rights to use", 0.95),
+    ("ncsa", "restriction", r"to deal with the software without restriction including without limitation the rights to use", 0.95),
+    ("isc", "appear", r"provided that the above copyright notice and this permission notice appear in all copies", 0.8),
+    ("hpnd", "sell", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 0.95),
+    ("postgresql", "agreement", r"for any purpose without fee and without a written agreement is hereby granted", 0.95),
+    ("bsl-1.0", "organization", r"to any person or organization obtaining a copy of the software and accompanying documentation", 0.98),
+    ("bsd-3-clause", "endorse", r"nor the names of its contributors may be used to endorse or promote products derived from this software", 0.9),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.95),
+    ("bsd", "express", r"this software is provided by the copyright holders and contributors as is and any express or implied warranties", 0.8),
+    ("apache-2.0", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.95),
+    ("apache-2.0", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements", 0.98),
+    ("apache-2.0", "contributor", r"grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide", 0.95),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation", 0.7),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 0.9),
+    ("php-3.01", "php", r"products derived from this software may not be called php", 0.95),
+    ("gpl", "redistribute", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 0.95),
+    ("gpl", "guarantee", r"the gnu general public license is intended to guarantee your freedom to share and change", 0.9),
+    ("gpl-3.0", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works", 0.98),
+    ("agpl-3.0", "copyleft", r"the gnu affero general public license is a free copyleft license for software and other kinds of works", 0.98),
+    ("agpl-3.0", "remotely", r"if your software can interact with users remotely through a computer network", 0.95),
+    ("agpl-3.0", "remote", r"remote network interaction use with the gnu general public license", 0.95),
+    ("lgpl", "redistribute", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 0.95),
+    ("lgpl-3.0", "incorporates", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3", 0.98),
+    ("gfdl", "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 0.98),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts", 0.95),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1", 0.98),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 0.98),
+    ("mpl-2.0", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at", 0.98),
+    ("epl", "accompanying", r"the accompanying program is provided under the terms of this eclipse public license", 0.98),
+    ("cddl-1.0", "distribution", r"the contents of this file are subject to the terms of the common development and distribution license", 0.98),
+    ("sspl-1.0", "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service", 0.95),
+    ("bsl-1.1", "licensor", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 0.98),
+    ("ms-pl", "royalty", r"each contributor grants you a non exclusive worldwide royalty free copyright license to reproduce its contribution", 0.9),
+    ("artistic-1.0", "intent", r"the intent of this document is to state the conditions under which a package may be copied", 0.95),
+    ("artistic-2.0", "establishes", r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 0.98),
+    ("python-2.0", "psf", r"this license agreement is between the python software foundation psf and the individual or organization", 0.98),
+    ("ofl-1.1", "bundled", r"versions of the font software may be bundled redistributed and or sold with any software", 0.95),
+    ("unlicense", "compile", r"anyone is free to copy modify publish use compile sell or distribute this software", 0.98),
+    ("cc0-1.0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain", 0.98),
+    ("wtfpl", "verbatim", r"to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 0.98),
+    ("beerware", "stuff", r"as long as you retain this notice you can do whatever you want with this stuff", 0.95),
+    ("json", "evil", r"the software shall be used for good not evil", 0.95),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited", 0.8),
 )
 
 
@@ -235,7 +282,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One pass without a shuffle. Null and empty texts give no words, no labels and score 0. Base
     phrases are counted at every place, overlapping ones too. Equal detections (same priority,
-    place and length) go to the earlier rule. Repeated rows stay, null ids pass through.
+    place and length) go to the earlier rule. Repeated rows stay, null ids pass through. Texts of
+    any length are scanned whole, in time that grows with length and detections but for a logarithm.
     """
 
     @F.pandas_udf(FIELDS)
