@@ -295,3 +295,13 @@ def test_a_refresh_that_fails_changes_nothing(spark, tmp_path):
     assert [tuple(r) for r in store.rows().collect()] == [("p", "a", "b")]
     store.refresh(keys("2"), rows("c"))
     assert [tuple(r) for r in store.rows().collect()] == [("p", "a", "c")]
+
+
+def test_a_fleet_is_assigned_without_broadcasts(spark):
+    rows = [(f"f{i}/p{i}/{name}", "select 1") for i in range(50) for name in ("dbt_project.yml", "models/staging/a.sql", "other/b.sql")]
+    inventory = spark.createDataFrame(rows, "path string, raw_sql string")
+    assigned = files.assign_projects(inventory, files.project_roots(inventory.select("path")))
+    folders = spark.createDataFrame([(f"f{i}/p{i}", "models") for i in range(50)], "project_id string, model_root string")
+    found = files.fleet_models(assigned, folders).select("project_id", "name", "layer")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((f"f{i}/p{i}", "a", "staging") for i in range(50))

@@ -72,7 +72,8 @@ def project_roots(inventory: DataFrame, max_depth: int = 4) -> DataFrame:
 
     A folder counts when it holds the project file, lies at most ``max_depth`` levels down, has no
     hidden or skipped folder on the way and is not inside another project. Every candidate knows
-    its few ancestors, so nesting is an equi anti join. With a ``content`` column the project's own
+    its few ancestors, so nesting is an equi anti join. A fleet has as many roots as projects, and file sizes tell
+    nothing about paths made from them, so no join here or below hands a whole side to every task. With a ``content`` column the project's own
     ``name:`` line is used, else its folder name.
     """
     parts = F.split("path", "/")
@@ -93,10 +94,10 @@ def project_roots(inventory: DataFrame, max_depth: int = 4) -> DataFrame:
     ).where(F.col("n") < F.size("segments"))
     above = above.select("relative_path", F.array_join(F.slice("segments", F.lit(1), F.col("n")), "/").alias("ancestor"))
     nested = above.join(
-        candidates.select(F.col("relative_path").alias("ancestor")), "ancestor", "left_semi"
+        candidates.select(F.col("relative_path").alias("ancestor")).hint("merge"), "ancestor", "left_semi"
     ).select("relative_path")
     return (
-        candidates.join(nested.distinct(), "relative_path", "left_anti")
+        candidates.join(nested.distinct().hint("merge"), "relative_path", "left_anti")
         .select(
             "relative_path", F.coalesce(F.nullif("told", F.lit("")), F.try_element_at("segments", F.lit(-1))).alias("name")
         )
@@ -127,7 +128,7 @@ def assign_projects(inventory: DataFrame, roots: DataFrame, max_depth: int = 4)
     parts = F.split("path", "/")
     lengths = F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(max_depth)))
     folders = inventory.withColumn("n_", F.explode(lengths)).withColumn("project_id", F.array_join(F.slice(parts, F.lit(1), F.col("n_")), "/"))
-    known = roots.select(F.col("relative_path").alias("project_id")).distinct()
+    known = roots.select(F.col("relative_path").alias("project_id")).distinct().hint("merge")
     below = F.array_join(F.slice(parts, F.col("n_") + 1, F.size(parts)), "/")
     rest = [c for c in inventory.columns if c != "path"]
     return folders.join(known, "project_id").select("project_id", below.alias("relative_path"), *rest)
@@ -142,5 +143,5 @@ def fleet_models(files: DataFrame, folders: DataFrame) -> DataFrame:
     above = files.withColumn("n_", F.explode(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))))
     above = above.withColumn("model_root", F.array_join(F.slice(parts, F.lit(1), F.col("n_")), "/"))
     wanted = folders.select("project_id", F.rtrim(F.col("model_root"), F.lit("/")).alias("model_root")).distinct()
-    inside = above.join(wanted, ["project_id", "model_root"], "left_semi").select("project_id", "relative_path", "raw_sql").distinct()
+    inside = above.join(wanted.hint("merge"), ["project_id", "model_root"], "left_semi").select("project_id", "relative_path", "raw_sql").distinct()
     return sql_models(inside, roots=None)
