@@ -171,3 +171,29 @@ def test_comments_leave_a_blank_and_keywords_go_by_place(spark):
     for (text, name), want in kinds.items():
         row = spark.createDataFrame([(text, name)], "s string, n string").select(X.transformation_type(F.col("s"), F.col("n")).alias("o")).first()
         assert row.o == want
+
+
+def test_guarded_patterns_keep_their_results(spark):
+    texts = ["a", "f(a)", "f((a))", "f(((a)))", "f((((a))))", "f(((((a)))))", "cast(a as int)\n", "cast((a) as int)", ")a(", "f(a", "f(a))", "(a)(b)", "f()", "f(())",
+             "a AS\tint", "last", "x::numeric(3, 2)", "'it''s' || a -- b", "a /* b */ + c", "a \u0001 b", "EXTRACT(day FROM t)", "date '2020'", 't."a.b"', "Sum(a) OVER (order by b NULLS last)", "cAse when a then b end"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    code = X.code_of(F.col("t"))
+    shapes = df.select("t", X.skeleton(F.col("t")).alias("s")).collect()
+
+    def walked(text):
+        if "(" not in text:
+            return text.strip(" ")
+        depth, out = 0, ""
+        for piece in text:
+            after = depth + {"(": 1, ")": -1}.get(piece, 0)
+            out += piece if min(depth, after) <= 0 else ""
+            depth = after
+        return out.strip(" ")
+
+    assert [r.s for r in shapes] == [walked(r.t) for r in shapes]
+    made = {r.t: r for r in df.select("t", X.transformation_type(F.col("t"), F.lit("a")).alias("k"), X.referenced_columns(code).alias("r"), code.alias("c")).collect()}
+    assert made["cast(a as int)\n"].k == "cast" and made["cast((a) as int)"].k == "cast" and made["x::numeric(3, 2)"].k == "cast"
+    assert made["cAse when a then b end"].k == "conditional" and made["Sum(a) OVER (order by b NULLS last)"].k == "window"
+    assert made["EXTRACT(day FROM t)"].r == ["t"] and made["a AS\tint"].r == ["a"] and made["date '2020'"].r == []
+    assert made["Sum(a) OVER (order by b NULLS last)"].r == ["a", "b"] and made['t."a.b"'].r == ['t."a.b"']
+    assert made["a \u0001 b"].c == "a   b" and made["a /* b */ + c"].r == ["a", "c"]
