@@ -235,3 +235,33 @@ def test_projects_do_not_mix(spark):
     goal = edges.where("src.project_id = 'p'").select(F.col("src").alias("target"))
     chain = graph.downstream(edges, goal)
     assert [(r.model, r.column) for r in impact.impacted_nodes(chain).collect()] == [("b", "id")]
+
+
+def test_mixed_numbers_come_back(spark):
+    numbers = [0, 1, -1, 7, 2**31, 2**32, -(2**32), 2**63 - 1, -(2**63)] + [i * 99_991 for i in range(1000)]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    rows = df.select("n", graph._mixed(F.col("n")).alias("m")).select("n", "m", graph._unmixed(F.col("m")).alias("back")).collect()
+    assert all(r.n == r.back for r in rows) and len({r.m for r in rows}) == len(set(numbers))
+    order = [r.n for r in sorted(rows, key=lambda r: r.m)]
+    assert order != sorted(order)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_text_nodes_whose_hashes_are_shared(spark, monkeypatch, shared):
+    if shared:
+        monkeypatch.setattr(graph, "_hash_of", lambda name: F.length(name).cast("long"))
+    pairs = [("a", "b"), ("b", "a"), ("a", "cc"), ("cc", "d"), ("d", "ee"), ("x", "y"), ("y", "zz"), ("zz", "x"), ("w", "w"), (None, "a")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    found = {(r.node, r.component) for r in graph.cycle_components(edges).collect()}
+    assert found == {("a", "a"), ("b", "a"), ("x", "x"), ("y", "x"), ("zz", "x"), ("w", "w")}
+    starts = spark.createDataFrame([("a",), ("x",)], "target string")
+    down = graph.downstream(edges, starts).collect()
+    real = [p for p in pairs if p[0]]
+    assert sorted(map(tuple, down)) == sorted((s, n, d) for s in ("a", "x") for n, d in reach(real, s).items())
+
+
+def test_a_round_of_an_edge_search_needs_no_join_to_number_text(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    scratch = graph.Scratch(spark, "numbers")
+    plan = graph._Numbering(scratch, edges).encode(edges, "src", "dst")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,8 @@ from tributary.scratch import Scratch
 UPSTREAM = "upstream"
 DOWNSTREAM = "downstream"
 
-# Rounds of neighbour labels before labels start to jump.
-_PLAIN_ROUNDS = 4
+# Rounds of neighbour labels before labels start to jump: a jump shuffles all labels, a plain round only what moved.
+_PLAIN_ROUNDS = 12
 
 
 class CycleFound(RuntimeError):
@@ -37,27 +37,38 @@ def by_project(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"src": key("src"), "dst": key("dst")})
 
 
+def _hash_of(name: str) -> Column:
+    return F.xxhash64(name)
+
+
 class _Numbering:
     """Numbers for nodes that are not numbers themselves.
 
-    Rounds shuffle the keys over and over, so text and struct nodes are replaced by one bigint each.
-    The numbers are stored before use: a recomputed task reads the same ones.
+    Rounds shuffle the keys over and over, so text and struct nodes are replaced by one bigint each: the
+    hash of the name, which needs no join. Where two names share a hash (all are compared), numbers
+    are dealt and joined instead.
     """
 
     def __init__(self, scratch: Scratch, edges: DataFrame, *more: DataFrame):
-        self.table = None
+        self.table, self.hashed = None, False
         if isinstance(edges.schema["src"].dataType, T.IntegralType):
             return
         nodes = edges.select(F.explode(F.array("src", "dst")).alias("name_"))
         for column in more:
             nodes = nodes.unionByName(column.toDF("name_"))
         nodes = nodes.where("name_ is not null").distinct()
-        self.table = scratch.save(nodes.withColumn("number_", F.monotonically_increasing_id()), "numbers")
+        self.table = scratch.save(nodes.withColumn("number_", _hash_of("name_")), "numbers")
+        self.hashed = self.table.groupBy("number_").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+        if not self.hashed:
+            self.table = scratch.save(self.table.withColumn("number_", F.monotonically_increasing_id()), "numbers-dealt")
 
     def encode(self, df: DataFrame, *columns: str) -> DataFrame:
         if self.table is None:
             return df
         for column in columns:
+            if self.hashed:
+                df = df.where(F.col(column).isNotNull()).withColumn(column, _hash_of(column))
+                continue
             key = self.table.select(F.col("name_").alias(column), "number_")
             df = df.join(key, column).drop(column).withColumnRenamed("number_", column)
         return df
@@ -307,27 +318,42 @@ def _trimmed(edges: DataFrame, scratch: Scratch, tag: str, rounds: int = 20) ->
     return current
 
 
+_HALF = 0xFFFFFFFF
+
+
+def _mixed(number: Column) -> Column:
+    """A bigint in a random-looking order: two Feistel rounds, so :func:`_unmixed` gives the number back."""
+    high, low = F.shiftright(number, 32), number.bitwiseAND(_HALF)
+    for _ in range(2):
+        high, low = low, high.bitwiseXOR(F.hash(low).cast("long")).bitwiseAND(_HALF)
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def _unmixed(label: Column) -> Column:
+    high, low = F.shiftright(label, 32).bitwiseAND(_HALF), label.bitwiseAND(_HALF)
+    for _ in range(2):
+        high, low = low.bitwiseXOR(F.hash(high).cast("long")).bitwiseAND(_HALF), high
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
 def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """``node, above, below``: the least node that reaches it and the least one it reaches.
 
-    Nodes are ordered by hash first: in a random order a chain of components is split near its
+    Nodes are mixed first: in a random order a chain of components is split near its
     middle, so the number of outer passes grows with the logarithm of its length. Where short cycles
     have not settled it, a node also takes the label of its own label (what reaches that node
-    reaches this one too), so a label crosses a long path in few rounds.
+    reaches this one too), so a label crosses a long path in few rounds. Edges and labels are stored
+    in buckets of the node, so a plain round shuffles only what nodes that moved offer.
     """
-    links = scratch.save(
-        edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("down")).unionByName(
-            edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(False).alias("down"))
-        ),
-        f"{tag}/links",
-    )
-    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    src, dst = _mixed(F.col("src")), _mixed(F.col("dst"))
+    ways = edges.select(src.alias("a"), dst.alias("b"), F.lit(True).alias("down"))
+    links = scratch.save_by(ways.unionByName(edges.select(dst.alias("a"), src.alias("b"), F.lit(False).alias("down"))), f"{tag}/links", "a")
     state = (
         links.select(F.col("a").alias("node"))
         .distinct()
-        .select("node", own.alias("above"), own.alias("below"), F.lit(True).alias("fresh"))
+        .select("node", F.col("node").alias("above"), F.col("node").alias("below"), F.lit(True).alias("fresh"))
     )
-    state = scratch.save(state, f"{tag}/label-0")
+    state = scratch.save_by(state, f"{tag}/label-0", "node")
 
     for turn in count(1):  # labels only fall, so it ends
         offers = (
@@ -343,32 +369,33 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         news = state.join(offers, "node", "left")
         above, below = ["above", "from_above"], ["below", "from_below"]
         if turn > _PLAIN_ROUNDS:
-            over = state.where("above.n <> node").select(F.col("node").alias("via_above"), F.col("above").alias("jump_above"))
-            under = state.where("below.n <> node").select(F.col("node").alias("via_below"), F.col("below").alias("jump_below"))
-            news = news.join(over, F.col("above.n") == F.col("via_above"), "left")
-            news = news.join(under, F.col("below.n") == F.col("via_below"), "left")
+            over = state.where("above <> node").select(F.col("node").alias("via_above"), F.col("above").alias("jump_above"))
+            under = state.where("below <> node").select(F.col("node").alias("via_below"), F.col("below").alias("jump_below"))
+            news = news.join(over, F.col("above") == F.col("via_above"), "left")
+            news = news.join(under, F.col("below") == F.col("via_below"), "left")
             above, below = [*above, "jump_above"], [*below, "jump_below"]
         best_above, best_below = F.least(*above), F.least(*below)
         moved = (best_above < F.col("above")) | (best_below < F.col("below"))
-        state = scratch.save(
+        state = scratch.save_by(
             news.select("node", best_above.alias("above"), best_below.alias("below"), moved.alias("fresh")),
-            f"{tag}/label-{turn}",
+            f"{tag}/label-{turn}", "node",
         )
         scratch.drop(f"{tag}/label-{turn - 1}")
         if state.where("fresh").isEmpty():
-            return state.select("node", F.col("above.n").alias("above"), F.col("below.n").alias("below"))
+            return state.select(*(_unmixed(F.col(c)).alias(c) for c in ("node", "above", "below")))
     raise AssertionError("unreachable")
 
 
-def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20) -> DataFrame | None:
+def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20, trimmed: bool = False) -> DataFrame | None:
     """``node, root`` of each component of two nodes or more, ``root`` being one of them; None if there is none.
 
-    ``pairs`` is a stored table of distinct numbered edges without loops. Members of one component
+    ``pairs`` is a stored table of distinct numbered edges without loops (``trimmed``: by :func:`_trimmed`
+    already). Members of one component
     share both labels, and a node whose two labels agree is in the component of that label. Such
     components are taken out, edges between nodes of different labels are on no cycle and go as
     well, and the rest is searched again.
     """
-    rest = _trimmed(pairs, scratch, f"{tag}/pass-0", trims)
+    rest = pairs if trimmed else _trimmed(pairs, scratch, f"{tag}/pass-0", trims)
     searched = False
     for turn in count(1):  # every pass settles at least the component of the least node
         if rest.isEmpty():
@@ -386,8 +413,8 @@ def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20
         rest = _trimmed(rest, scratch, f"{tag}/pass-{turn}", trims)
     if not searched:
         return None
-    kind = pairs.schema["src"].dataType
-    found = scratch.load(f"{tag}/found", T.StructType([T.StructField("node", kind), T.StructField("root", kind)])).select("node", "root")
+    ends = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
+    found = scratch.load(f"{tag}/found", ends).select("node", "root")
     several = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     return found.join(several, "root").select("node", "root")
 
@@ -395,19 +422,38 @@ def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20
 def cycle_components(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle, as ``node, component`` (the least node of the component).
 
-    Memory stays linear in the edges: no reachability pairs are built.
+    Memory stays linear in the edges: no reachability pairs are built. Text and struct nodes stand as
+    their hashes while edges that are on no cycle are dropped: names that share a hash can only add
+    cycles. Only what is left is numbered by name.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    pairs = scratch.save(edges.select("src", "dst").distinct(), "edges")
-    numbers = _Numbering(scratch, pairs)
-    if numbers.table is not None:
-        pairs = scratch.save(numbers.encode(pairs, "src", "dst").select("src", "dst"), "pairs")
-    found = _components_of(pairs.where("src <> dst"), scratch, "search")
-    loops = numbers.decode(pairs.where("src = dst").select(F.col("src").alias("node")), "node")
-    loops = loops.withColumn("component", F.col("node"))
-    if found is None:
+    node = edges.schema["src"].dataType
+    plain = edges.select("src", "dst").where("src is not null and dst is not null")
+    whole = isinstance(node, T.IntegralType)
+    pairs = scratch.save(plain.distinct() if whole else plain, "edges")
+    key = (lambda end: F.col(end).cast("long")) if whole else _hash_of
+    loops = pairs.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+    pairs = pairs.where("src <> dst")
+    keyed = pairs.select(key("src").alias("src"), key("dst").alias("dst"))
+    keyed = keyed if whole else scratch.save(keyed.distinct(), "keyed")
+    rest = _trimmed(keyed, scratch, "trimmed")
+    if rest.isEmpty():
+        return loops
+    if whole:
+        named = _components_of(rest, scratch, "search", trimmed=True)
+        named = None if named is None else named.withColumn("node", F.col("node").cast(node))
+    else:
+        ends = rest.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        left = pairs.withColumns({"a": key("src"), "b": key("dst")}).join(ends, ["a", "b"], "left_semi")
+        left = scratch.save(left.select("src", "dst").distinct(), "left")
+        numbers = _Numbering(scratch, left)
+        if not numbers.hashed:
+            rest = scratch.save(numbers.encode(left, "src", "dst").select("src", "dst"), "pairs")
+        named = _components_of(rest, scratch, "search", trimmed=True)
+        named = None if named is None else numbers.decode(named, "node")
+    if named is None:
         return loops
-    named = numbers.decode(found, "node")
+    named = scratch.save(named, "named")
     least = named.groupBy("root").agg(F.min("node").alias("component"))
     real = named.join(least, "root").select("node", "component")
     alone = loops.join(real, "node", "left_anti")
