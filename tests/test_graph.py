@@ -265,3 +265,29 @@ def test_a_round_of_an_edge_search_needs_no_join_to_number_text(spark):
     scratch = graph.Scratch(spark, "numbers")
     plan = graph._Numbering(scratch, edges).encode(edges, "src", "dst")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def two_way_path(first, nodes):
+    return [p for i in range(first, first + nodes - 1) for p in ((i, i + 1), (i + 1, i))]
+
+
+def test_small_components_need_no_halving(spark, monkeypatch):
+    halved = []
+    search = graph._two_way_labels
+    monkeypatch.setattr(graph, "_two_way_labels", lambda *args: halved.append(1) or search(*args))
+    pairs = two_way_path(0, 64) + two_way_path(100, 100) + [(300, 301), (301, 302), (302, 300), (302, 310), (310, 311), (311, 310)]
+    dropped = graph.break_cycles(frame(spark, pairs))[1].collect()
+    assert {(r.src, r.dst) for r in dropped} == {p for p in pairs if p[0] > p[1]}
+    assert {r.src: r.component for r in dropped}[163] == 100
+    assert not halved
+
+
+def test_parts_that_do_not_fit_a_row_are_halved(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_ROW_NODES", 5)
+    monkeypatch.setattr(graph, "_PIECE_ROUNDS", 2)
+    pairs = two_way_path(200, 9)
+    for n, (seed, nodes, edges) in enumerate([(1, 5, 9), (4, 20, 45)]):
+        pairs += [(100 * n + 300 + a, 100 * n + 300 + b) for a, b in random_pairs(seed, nodes, edges)]
+    pairs = sorted(set(pairs))
+    dropped = graph.break_cycles(frame(spark, pairs))[1].collect()
+    assert {(r.src, r.dst) for r in dropped} == cut_by_rule(pairs)

@@ -22,6 +22,10 @@ DOWNSTREAM = "downstream"
 
 # Rounds of neighbour labels before labels start to jump: a jump shuffles all labels, a plain round only what moved.
 _PLAIN_ROUNDS = 12
+# Parts of at most so many nodes are settled in one row: the work there grows with the cube of the nodes, in words of 64.
+_ROW_NODES = 128
+# Rounds in which parts of a row's size are joined up; a part that takes more goes to the label search.
+_PIECE_ROUNDS = 8
 
 
 class CycleFound(RuntimeError):
@@ -386,23 +390,90 @@ def _two_way_labels(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     raise AssertionError("unreachable")
 
 
+def _reaches(start: str, end: str) -> str:
+    return f"getbit(reach[{start}][{end} div 64], {end} % 64) = 1"
+
+
+def _found_in_rows(arcs: DataFrame, group: str, through: str, found: str) -> DataFrame:
+    """The structs that ``found`` lists for each ``group`` of distinct ``arcs(group, a, b)``, by columns.
+
+    A group is one row. Its nodes take places from 0 in their order (``names``); ``near`` has the places that
+    their arcs lead to and ``reach`` what they reach, as bits in words of 64. Nodes ``k`` are let through in
+    their order, ``through`` being what a node gets that reaches ``k``.
+    """
+    outs = arcs.groupBy(group, "a").agg(F.collect_list("b").alias("outs"))
+    rows = outs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("a", "outs"))).alias("nodes"))
+    # bound in a lambda, so that it is worked out once a row
+    let = lambda name, value, then: f"transform(array({value}), {name} -> {then})[0]"
+    # nodes without an arc have no place and lead nowhere
+    near = "transform(nodes, node -> filter(transform(node.outs, b -> CAST(array_position(names, b) - 1 AS INT)), p -> p >= 0))"
+    bits = "aggregate(own, 0L, (bits, p) -> IF(p div 64 = w, bits | shiftleft(1L, p % 64), bits))"
+    first = f"transform(near, own -> transform(sequence(0, (size(names) - 1) div 64), w -> {bits}))"
+    more = "transform(reach, bits -> IF(getbit(bits[k div 64], k % 64) = 1, zip_with(bits, more, (x, y) -> x | y), bits))"
+    reach = f"aggregate(sequence(0, size(names) - 1), {first}, (reach, k) -> {let('more', through, more)})"
+    listed = let("names", "nodes.a", let("near", near, let("reach", reach, found)))
+    return rows.select(group, F.explode(F.expr(listed)).alias("found_")).select(group, "found_.*")
+
+
+def _members_in_rows(arcs: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes on a cycle, ``root`` being the least of its component; see :func:`_found_in_rows`."""
+    every = "sequence(0, size(names) - 1)"
+    root = f"names[filter({every}, j -> {_reaches('i', 'j')} AND {_reaches('j', 'i')})[0]]"
+    members = f"transform(filter({every}, i -> {_reaches('i', 'i')}), i -> struct(names[i] AS node, {root} AS root))"
+    return _found_in_rows(arcs, "piece", "reach[k]", members).select("node", "root")
+
+
+def _small_pieces(pairs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """``node, piece`` of the pieces, connected whatever the way of the edges, of at most :data:`_ROW_NODES` nodes.
+
+    A node has a parent in its piece that is no greater. In each round its parent, and the node itself, take
+    the least grandparent of a neighbour, so trees grow together in few rounds, however long a path is.
+    """
+    links = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(pairs.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    links = scratch.save_by(links, f"{tag}/links", "a")
+    state = links.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("parent"), F.lit(True).alias("moved"))
+    state = scratch.save_by(state, f"{tag}/parents-0", "node")
+    for turn in range(1, _PIECE_ROUNDS + 1):
+        above = state.join(state.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent")
+        offers = above.select(F.col("node").alias("a"), "grand").join(links, "a").groupBy(F.col("b").alias("node")).agg(F.min("grand").alias("low"))
+        own = F.struct("node", F.least("grand", "low").alias("parent"), F.col("parent").alias("was"))
+        hook = F.struct(F.col("parent").alias("node"), F.col("low").alias("parent"), F.lit(None).cast("long").alias("was"))
+        moves = above.join(offers, "node").select(F.explode(F.array(own, hook)).alias("m")).select("m.*")
+        news = moves.groupBy("node").agg(F.min("parent").alias("parent"), F.max("was").alias("was"))
+        state = scratch.save_by(news.select("node", "parent", (F.col("parent") < F.col("was")).alias("moved")), f"{tag}/parents-{turn}", "node")
+        scratch.drop(f"{tag}/parents-{turn - 1}")
+        settled = state.where("moved").isEmpty()
+        if settled:
+            break
+    few = state.groupBy(F.col("parent").alias("piece")).agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") <= _ROW_NODES).select("piece")
+    if not settled:  # some pieces may be in parts yet: an edge leads out of those
+        crossed = links.join(state.select(F.col("node").alias("a"), F.col("parent").alias("piece")), "a")
+        crossed = crossed.join(state.select(F.col("node").alias("b"), F.col("parent").alias("other")), "b").where("piece <> other")
+        few = few.join(crossed.select("piece").distinct(), "piece", "left_anti")
+    return scratch.save(state.select("node", F.col("parent").alias("piece")).join(few, "piece"), f"{tag}/small")
+
+
 def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20, trimmed: bool = False) -> DataFrame | None:
     """``node, root`` of each component of two nodes or more, ``root`` being one of them; None if there is none.
 
     ``pairs`` is a stored table of distinct numbered edges without loops (``trimmed``: by :func:`_trimmed`
-    already). Members of one component
+    already). Small pieces of the graph are settled in rows. In the others, members of one component
     share both labels, and a node whose two labels agree is in the component of that label. Such
     components are taken out, edges between nodes of different labels are on no cycle and go as
     well, and the rest is searched again.
     """
     rest = pairs if trimmed else _trimmed(pairs, scratch, f"{tag}/pass-0", trims)
-    searched = False
+    if rest.isEmpty():
+        return None
+    small = _small_pieces(rest, scratch, f"{tag}/pieces")
+    arcs = rest.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(small.withColumnRenamed("node", "a"), "a")
+    scratch.save(_members_in_rows(arcs), f"{tag}/found/turn=0")
+    rest = scratch.save(rest.join(small.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), f"{tag}/large")
     for turn in count(1):  # every pass settles at least the component of the least node
         if rest.isEmpty():
             break
         labels = _two_way_labels(rest, scratch, f"{tag}/pass-{turn}")
         scratch.save(labels.where("above = below").select("node", F.col("above").alias("root")), f"{tag}/found/turn={turn}")
-        searched = True
         open_nodes = labels.where("above <> below")
         heads = open_nodes.select(F.col("node").alias("src"), "above", "below")
         tails = open_nodes.select(F.col("node").alias("dst"), F.col("above").alias("above_"), F.col("below").alias("below_"))
@@ -411,8 +482,6 @@ def _components_of(pairs: DataFrame, scratch: Scratch, tag: str, trims: int = 20
             f"{tag}/pass-{turn}/rest",
         )
         rest = _trimmed(rest, scratch, f"{tag}/pass-{turn}", trims)
-    if not searched:
-        return None
     ends = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
     found = scratch.load(f"{tag}/found", ends).select("node", "root")
     several = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
@@ -473,22 +542,42 @@ def on_cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
+def _gone_in_rows(arcs: DataFrame) -> DataFrame:
+    """``lo, a, b`` of the arcs whose end ``b`` reaches their start ``a`` through nodes less than ``a``, ``a`` being above ``lo``.
+
+    Distinct ``arcs(lo, a, b)`` are those of intervals of at most :data:`_ROW_NODES` nodes.
+    """
+    # through node k only what is greater than k is reached anew: what is less would pass a node greater than itself
+    above = "transform(reach[k], (bits, w) -> CASE WHEN w > k div 64 THEN bits WHEN w = k div 64 THEN bits & shiftleft(-2L, k % 64) ELSE 0L END)"
+    gone = f"transform(filter(own, p -> p < i AND {_reaches('p', 'i')}), p -> struct(names[i] AS a, names[p] AS b))"
+    found = _found_in_rows(arcs, "lo", above, f"flatten(transform(near, (own, i) -> {gone}))")
+    return found.where("a > lo")
+
+
 def _cut_edges(todo: DataFrame, nodes: int, scratch: Scratch) -> DataFrame:
     """``s, d`` of the edges that go, from stored ``s, d, lo, hi, a, b``.
 
     Nodes are numbered in their order, 1 to ``nodes``. Node ``s`` joins the graph at time ``s``, and an
     edge is there once both its ends are. Its ends come to lie in one component at some time in
-    ``(lo, hi]``; ``a`` and ``b`` are its ends with what is one component at ``lo`` drawn together. Each
-    turn halves all intervals at once: one search finds the components at the middles, edges inside
-    them go on with the earlier half, the others, drawn together, with the later one.
+    ``(lo, hi]``; ``a`` and ``b`` are its ends with what is one component at ``lo`` drawn together. Intervals
+    with few nodes are settled at once (:func:`_gone_in_rows`); each turn halves all others: one search
+    finds the components at the middles, edges inside them go on with the earlier half, the others,
+    drawn together, with the later one.
     """
     base = nodes + 1
     if base * base >= 1 << 63:
         raise ValueError("too many nodes on cycles to number their intervals")
     cut = T.StructType([T.StructField("s", T.LongType()), T.StructField("d", T.LongType())])
     for turn in count():  # intervals halve, so it ends
-        scratch.save(todo.where("hi - lo = 1 and hi = s").select("s", "d"), f"cut/turn={turn}")
-        open_ = scratch.save(todo.where("hi - lo > 1").withColumn("mid", F.expr("(lo + hi) div 2")), f"open-{turn}")
+        scratch.save(todo.where("hi - lo = 1 and hi = s").select("s", "d"), f"cut/turn={turn}-of-one")
+        todo = todo.where("hi - lo > 1")
+        sizes = todo.select("lo", F.explode(F.array("a", "b")).alias("node")).distinct().groupBy("lo").agg(F.count(F.lit(1)).alias("nodes"))
+        few = scratch.save(sizes.where(F.col("nodes") <= _ROW_NODES).select("lo"), f"few-{turn}")
+        gone = _gone_in_rows(todo.select("lo", "a", "b").distinct().join(few, "lo", "left_semi"))
+        own = todo.where("s = a and d < s")  # a greater end than the start joins after it
+        scratch.save(own.join(gone, ["lo", "a", "b"], "left_semi").select("s", "d"), f"cut/turn={turn}-in-rows")
+        open_ = todo.join(few, "lo", "left_anti").withColumn("mid", F.expr("(lo + hi) div 2"))
+        open_ = scratch.save(open_, f"open-{turn}")
         if open_.isEmpty():
             return scratch.load("cut", cut).select("s", "d")
         there = F.greatest("s", "d") <= F.col("mid")
@@ -516,8 +605,9 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     The rule: of each component that has a cycle the largest edge (in node order) goes, again and
     again, until no cycle is left. That is: an edge goes exactly if it is a loop, or if its target
     reaches its source through nodes smaller than the source. The search for these edges halves
-    the node order (:func:`_cut_edges`), so the component searches grow with the logarithm of the
-    largest component, not with the cuts, and no component is ever gathered in a task.
+    the node order (:func:`_cut_edges`) until few nodes are left in a part, so the component searches
+    grow with the logarithm of the largest component, not with the cuts, and no more than
+    :data:`_ROW_NODES` nodes of a component are ever gathered in a row.
     ``component`` is the least node of the component that the edge was in.
     """
     scratch = Scratch(edges.sparkSession, "break-cycles")
