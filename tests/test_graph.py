@@ -291,3 +291,13 @@ def test_parts_that_do_not_fit_a_row_are_halved(spark, monkeypatch):
     pairs = sorted(set(pairs))
     dropped = graph.break_cycles(frame(spark, pairs))[1].collect()
     assert {(r.src, r.dst) for r in dropped} == cut_by_rule(pairs)
+
+
+def test_terminals_are_told_in_one_shuffle(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (2,), (None,), (4,)], "node long")
+    edges = frame(spark, [(1, 2), (1, 2), (2, 3), (None, 4), (1, None)])
+    flags = graph.terminal_nodes(nodes, edges)
+    assert "Join" not in flags._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.node: (r.is_source, r.is_sink) for r in flags.collect()} == {
+        1: (True, False), 2: (False, False), None: (True, True), 4: (False, True)
+    }
