@@ -209,6 +209,21 @@ def test_payload_round_trip(spark, tmp_path):
     assert counts == {"target": 1, "chain": 2, "edges": 1, "lineage_warnings": 1, "direct": 1, "all_impacted": 1}
 
 
+def test_a_payload_works_its_chain_out_once(spark):
+    from tributary.operators import graph
+
+    kind = "struct<model:string,column:string,layer:string>"
+    edge = "src {0}, dst {0}, transformation_type string, expression_sql string".format(kind)
+    raw, stg, mart = ("r", "id", "unknown"), ("s", "id", "staging"), ("m", "id", "marts")
+    edges = spark.createDataFrame([(raw, stg, "direct", "id"), (stg, mart, "direct", "id")], edge)
+    rows = spark.createDataFrame([(raw, [(raw, 0), (stg, 1), (mart, 2)])], f"target {kind}, reached array<struct<node:{kind},depth:int>>")
+    chain = rows.select("target", F.explode("reached").alias("r")).select("target", "r.node", "r.depth")
+    payload = sinks.lineage_payload(chain, edges, graph.DOWNSTREAM, impact=True)
+    assert "Generate" not in payload._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.section: r["count"] for r in payload.groupBy("section").count().collect()}
+    assert counts == {"target": 1, "chain": 3, "edges": 2, "direct": 1, "all_impacted": 2}
+
+
 def write_tree(root, paths):
     for path, text in paths.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)

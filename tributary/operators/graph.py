@@ -87,14 +87,14 @@ class _Numbering:
         return df.select(*order)
 
 
-def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch):
+def _stored_hops(edges: DataFrame, targets: DataFrame, direction: str, scratch: Scratch, stored: bool = False):
     """``(numbering, hops, goals)`` with near and far end swapped for the upstream direction.
 
     ``goals(name, target, block, bit)`` deals the targets to blocks of 64 in the order of their names, so
     that targets of one neighbourhood share blocks: what they reach is one row with a mask of bits.
     """
     plain = edges.select("src", "dst").where("src is not null and dst is not null")
-    if not isinstance(plain.schema["src"].dataType, T.IntegralType):
+    if not stored and not isinstance(plain.schema["src"].dataType, T.IntegralType):
         plain = scratch.save(plain, "edges")
     names = targets.select(F.col("target").cast(plain.schema["src"].dataType)).where("target is not null").distinct()
     placed = names.repartitionByRange("target").sortWithinPartitions("target").select("target", F.monotonically_increasing_id().alias("place"))
@@ -225,20 +225,20 @@ def _levels_of(hops: DataFrame, nodes: DataFrame, by: list[str], scratch: Scratc
     return ready.select(*key, "level")
 
 
-def _closure(edges: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
+def _closure(edges: DataFrame, targets: DataFrame, direction: str, stored: bool = False) -> DataFrame:
     scratch = Scratch(edges.sparkSession, f"closure-{direction}")
-    numbers, hops, goals = _stored_hops(edges, targets, direction, scratch)
+    numbers, hops, goals = _stored_hops(edges, targets, direction, scratch, stored)
     return _listed(_closure_of(hops, goals, scratch, "levels"), goals, numbers, "depth")
 
 
-def downstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every target with all its descendants: ``target, node, depth`` (the target has depth 0)."""
-    return _closure(edges, targets, DOWNSTREAM)
+def downstream(edges: DataFrame, targets: DataFrame, stored: bool = False) -> DataFrame:
+    """Every target with all its descendants: ``target, node, depth`` (the target has depth 0). ``stored`` edges are not written once more."""
+    return _closure(edges, targets, DOWNSTREAM, stored)
 
 
-def upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every target with all its ancestors: ``target, node, depth`` (the target has depth 0)."""
-    return _closure(edges, targets, UPSTREAM)
+def upstream(edges: DataFrame, targets: DataFrame, stored: bool = False) -> DataFrame:
+    """Every target with all its ancestors: ``target, node, depth`` (the target has depth 0). ``stored`` edges are not written once more."""
+    return _closure(edges, targets, UPSTREAM, stored)
 
 
 def ordered_chain(edges: DataFrame, targets: DataFrame, direction: str = DOWNSTREAM) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tributary.operators import graph, impact, windows
 from tributary.queries import inputs as I
 from tributary.queries.registry import node_text, plain, query
+from tributary.scratch import Scratch
 from tributary.sources import sinks
 
 
@@ -207,15 +208,18 @@ def impact_order(spark, sf):
       UNION ALL SELECT DISTINCT 'direct', target, dst, NULL FROM regions JOIN e ON src = target)""",
 )
 def lineage_payload(spark, sf):
-    edges = I.record_edges(spark, sf).select("*", F.lit("direct").alias("transformation_type"), F.lit("k").alias("expression_sql"))
-    chain = graph.downstream(edges, I.region_targets(spark, sf))
+    edges = Scratch(spark, "record").save(I.record_edges(spark, sf), "edges")
+    chain = graph.downstream(edges, I.region_targets(spark, sf), stored=True)
+    edges = edges.select("*", F.lit("direct").alias("transformation_type"), F.lit("k").alias("expression_sql"))
     payload = sinks.lineage_payload(chain, edges, graph.DOWNSTREAM, impact=True)
-    get = lambda path: F.get_json_object("record", path)
-    pair = lambda at: F.concat(get(f"$.{at}model"), F.lit("."), get(f"$.{at}column"))
+    node = "model STRING, column STRING"
+    # one pass over a record's text
+    read = payload.withColumn("r", F.from_json("record", f"{node}, direction STRING, source STRUCT<{node}>, target STRUCT<{node}>"))
+    pair = lambda at: F.concat(F.col(f"r.{at}model"), F.lit("."), F.col(f"r.{at}column"))
     section = F.col("section")
-    return payload.select(
+    return read.select(
         "section",
         node_text("target").alias("target"),
-        F.when(section == "target", get("$.column")).when(section == "edges", pair("source.")).otherwise(pair("")).alias("a"),
-        F.when(section == "target", get("$.direction")).when(section == "edges", pair("target.")).alias("b"),
+        F.when(section == "target", F.col("r.column")).when(section == "edges", pair("source.")).otherwise(pair("")).alias("a"),
+        F.when(section == "target", F.col("r.direction")).when(section == "edges", pair("target.")).alias("b"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import graph
 from tributary.operators.impact import impacted_nodes, require_downstream
+from tributary.scratch import Scratch
 
 
 def lineage_payload(
@@ -36,7 +37,9 @@ def lineage_payload(
         project = [F.col(f"{end}.project_id").alias("project_id")] if keyed else []
         return project + [F.col(f"{end}.node.{n}" if keyed else f"{end}.{n}").alias(n) for n in names]
 
-    start = chain.where("depth = 0")
+    scratch = Scratch(chain.sparkSession, "payload")
+    chain = scratch.save(chain, "chain")  # read by nearly every section
+    start = scratch.save(chain.where("depth = 0"), "start")
     out = records(start, "target", *parts("target", "column", "model", "layer"), F.lit(direction).alias("direction"))
     out = out.unionByName(records(chain, "chain", *parts("node", "model", "column", "layer")))
     inside = graph.closed_edges(edges, chain, direction)
